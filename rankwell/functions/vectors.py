@@ -28,4 +28,5 @@ def hash_embedding(t: Column, dim: int = 64) -> Column:
     """Bytes of the sha256 of a text, repeated to dim and scaled to unit length."""
     h = F.sha2(t, 256)
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double"))
-    return F.transform(raw, lambda x: F.when(norm(raw) == 0, x).otherwise(x / norm(raw)))
+    once = F.array(F.struct(raw.alias("v"), norm(raw).alias("n")))  # binds the norm, which each element needs
+    return F.transform(once, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, x).otherwise(x / s["n"])))[0]

@@ -1,0 +1,243 @@
+"""Operators that are plain relational plans, as SQL that Catalyst plans and DuckDB can check.
+
+``run`` is the fact relation of retrieval results (strategy, qid, rank, passage, score) and
+``qrels`` the graded judgements (qid, passage, grade), both derived from whole tables.
+``LISTED(x)`` stands for the sorted comma-joined values of a string column.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+RUN = """run AS (
+  SELECT strategy, qid, passage, score, rank FROM (
+    SELECT l_linenumber AS strategy, l_orderkey % 40 AS qid, l_partkey % 60 AS passage, CAST(l_extendedprice AS DOUBLE) AS score,
+      row_number() OVER (PARTITION BY l_linenumber, l_orderkey % 40 ORDER BY l_extendedprice DESC, l_orderkey, l_partkey) AS rank
+    FROM lineitem) r WHERE rank <= 10)"""
+QRELS = """qrels AS (SELECT o_orderkey % 40 AS qid, o_custkey % 50 AS passage, count(*) % 4 AS grade FROM orders GROUP BY o_orderkey % 40, o_custkey % 50)"""
+BASE = f"{RUN}, {QRELS}"
+DEDUP = """firsts AS (SELECT strategy, qid, passage, min(rank) AS rank FROM run GROUP BY strategy, qid, passage),
+dedup AS (SELECT strategy, qid, passage, row_number() OVER (PARTITION BY strategy, qid ORDER BY rank) AS pos FROM firsts),
+gold AS (SELECT qid, count(*) AS n_rel FROM qrels WHERE grade >= 1 GROUP BY qid),
+asked AS (SELECT DISTINCT strategy, qid FROM run)"""
+RATERS = """raters AS (SELECT doc_id, quality AS a, CASE WHEN toxic = 1 THEN 1 - quality ELSE quality END AS b FROM labels)"""
+GRADES = """raters AS (SELECT o_orderkey AS item, o_custkey % 8 AS qid, CAST(o_orderkey % 4 AS BIGINT) AS a, CAST((o_orderkey + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) % 4 AS BIGINT) AS b FROM orders)"""
+RECALL = f"""{BASE}, {DEDUP}, metric AS (
+  SELECT a.strategy, a.qid, CAST(count(q.passage) AS DOUBLE) / max(g.n_rel) AS recall, coalesce(1 / CAST(min(CASE WHEN q.passage IS NOT NULL THEN d.pos END) AS DOUBLE), 0) AS rr
+  FROM asked a LEFT JOIN gold g ON a.qid = g.qid LEFT JOIN dedup d ON a.strategy = d.strategy AND a.qid = d.qid AND d.pos <= 3
+  LEFT JOIN qrels q ON q.qid = d.qid AND q.passage = d.passage AND q.grade >= 1 GROUP BY a.strategy, a.qid)"""
+PAIRED = f"""{RECALL}, pair AS (SELECT a.strategy AS sa, b.strategy AS sb, a.qid, round(b.recall - a.recall, 4) AS delta FROM metric a JOIN metric b ON a.qid = b.qid AND b.strategy = a.strategy + 1)"""
+TURNS = """turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+asks AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM turns u JOIN turns a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"""
+POOL = f"""{RUN}, pool AS (SELECT qid, passage, count(DISTINCT strategy) AS n_strategies, min(rank) AS best_rank FROM run WHERE rank <= 3 GROUP BY qid, passage),
+universe AS (SELECT q.qid, p.passage FROM (SELECT DISTINCT qid FROM run) q CROSS JOIN (SELECT DISTINCT passage FROM run) p),
+outside AS (SELECT u.qid, u.passage FROM universe u LEFT JOIN pool p ON u.qid = p.qid AND u.passage = p.passage WHERE p.passage IS NULL)"""
+CLASS = """CASE WHEN regexp_matches(lower(question), 'not mentioned|unanswerable|outside') THEN 'UNANSWERABLE'
+ WHEN regexp_matches(lower(question), 'compar|differ|versus') THEN 'COMPARISON' WHEN regexp_matches(lower(question), 'summar|overview|resum') THEN 'SUMMARY'
+ WHEN regexp_matches(lower(question), 'how to|steps|procedure|como ') THEN 'PROCEDURAL' WHEN regexp_matches(lower(question), '[?]|^(what|who|when|where|which|que|quem) ') THEN 'LOCALIZED_FACT' ELSE 'UNCLASSIFIED' END"""
+
+PLANS: dict[str, str] = {}
+
+
+def plan(name: str, sql: str) -> None:
+    PLANS[name] = sql
+
+
+# --- scans and validation of sources
+plan("src01_page_scan", "SELECT page_id, url, length(coalesce(html, '')) AS n_chars, CASE WHEN coalesce(html, '') = '' THEN 'EXTRACTION_ERROR' ELSE 'OK' END AS status FROM pages WHERE page_id BETWEEN 10 AND 200")
+plan("src02_thin_reader", "SELECT page_id AS page_number, coalesce(html, '') AS text FROM pages")
+plan("src03_tiny_corpus", "SELECT concat('doc_', doc_id) AS document_id, 1 AS page_number, concat('doc_', doc_id, '_p1') AS chunk_id, text FROM documents WHERE trim(text) <> ''")
+plan("src04_questions", "SELECT qid, question, dup > 1 AS is_duplicate, trim(coalesce(question, '')) = '' AS is_empty FROM (SELECT concat('q', item_id) AS qid, text AS question, count(*) OVER (PARTITION BY item_id) AS dup FROM benchmark) q")
+plan("src05_split_filter", "SELECT concat('q', item_id) AS qid, CASE WHEN item_id % 5 = 4 THEN 'query_holdout' WHEN item_id % 2 = 0 THEN 'development' ELSE 'test' END AS split FROM benchmark WHERE NOT (item_id % 5 = 4)")
+plan("src06_passage_registry", "SELECT concat('ps_', substr(sha256(concat('b', item_id, ':1:0:', length(text), ':', sha256(text))), 1, 16)) AS passage_id, item_id, length(text) AS end_char, sha256(text) AS content_sha256 FROM benchmark")
+plan("src07_qrels_contract", f"WITH {QRELS} SELECT count(*) AS n, count(*) - count(DISTINCT qid * 1000 + passage) AS duplicate_pairs, count_if(grade NOT BETWEEN 0 AND 3) AS bad_grade, count_if(grade = 0) AS g0, count_if(grade = 1) AS g1, count_if(grade = 2) AS g2, count_if(grade = 3) AS g3 FROM qrels")
+plan("src08_annotation_export", "SELECT count(*) AS n, count_if(quality IS NULL) AS missing, count_if(quality NOT IN (0, 1)) AS bad_grade, count(*) - count(DISTINCT doc_id) AS duplicates FROM labels")
+plan("src09_adjudication_scan", f"WITH {GRADES} SELECT item, greatest(a, b) AS grade, CASE WHEN abs(a - b) >= 2 THEN 'COMPLETED' ELSE 'PENDING' END AS status FROM raters WHERE a <> b")
+plan("src10_result_matrix", f"WITH {RUN} SELECT strategy, count(DISTINCT qid) AS n_queries, count(*) AS n_rows, count(*) - count(DISTINCT qid * 100 + rank) AS duplicates FROM run GROUP BY strategy")
+plan("src11_evidence_errors", f"WITH {RUN} SELECT strategy, qid, rank, CASE WHEN score < 0 THEN 'NEGATIVE_SCORE' WHEN passage >= 50 THEN 'UNKNOWN_PASSAGE' WHEN rank > 10 THEN 'BAD_RANK' END AS error FROM run WHERE score < 0 OR passage >= 50 OR rank > 10")
+plan("src12_silver_equality", f"WITH {POOL}, silver AS (SELECT qid, passage FROM pool WHERE n_strategies > 1) SELECT count_if(s.qid IS NULL) AS only_pool, count_if(p.qid IS NULL) AS only_silver, count(*) AS pairs FROM pool p FULL OUTER JOIN silver s ON p.qid = s.qid AND p.passage = s.passage")
+plan("src14_ledger_scan", "SELECT user_id, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM events WHERE event_type IS NOT NULL GROUP BY user_id")
+plan("src15_replay_input", f"WITH {RECALL} SELECT strategy, qid, round(recall, 6) AS score FROM metric")
+plan("src17_directory_reader", "SELECT concat('doc_', doc_id) AS document_id, 1 AS page_number, length(text) AS n_chars FROM documents WHERE trim(text) <> '' AND length(text) >= 500")
+# --- ingest and chunk statistics
+plan("ing02_page_audit", "SELECT source, doc_id, length(text) AS char_count, CAST(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) - length(text) - 1 AS BIGINT) AS char_start, sha256(text) AS content_sha256, CASE WHEN length(text) < 10 THEN 'EMPTY_OR_NEAR_EMPTY' WHEN length(text) < 100 THEN 'LOW_CHARACTER_COUNT' END AS warning FROM documents")
+plan("ing03_corpus_audit", "SELECT lang, count(*) AS n_pages, count_if(length(text) < 50) AS n_empty, count_if(length(text) < 200) AS n_low, min(length(text)) AS min_chars, max(length(text)) AS max_chars, round(avg(length(text)), 4) AS mean_chars, round(100 * CAST(count_if(length(text) >= 50) AS DOUBLE) / count(*), 4) AS extractable_pct FROM documents GROUP BY lang")
+# --- retrieval bookkeeping
+plan("rtv09_top_slice", f"WITH {RUN} SELECT strategy, qid, passage, round(score, 4) AS score, rank FROM run WHERE rank <= 3")
+plan("rtv14_strategy_registry", f"WITH {RUN} SELECT strategy, CASE strategy WHEN 1 THEN 'F0' WHEN 2 THEN 'S0' WHEN 3 THEN 'W0' WHEN 4 THEN 'W1' WHEN 5 THEN 'H0' WHEN 6 THEN 'H1' ELSE 'H2' END AS label, count(*) AS n FROM run GROUP BY strategy")
+plan("rtv17_evidence_ranks", f"WITH {RUN}, post AS (SELECT strategy, qid, rank, row_number() OVER (PARTITION BY strategy, qid ORDER BY passage, rank) AS post_rank FROM run) SELECT r.strategy, r.qid, r.passage, r.rank AS pre_rank, CASE WHEN p.post_rank <= 3 THEN p.post_rank END AS post_rank FROM run r LEFT JOIN post p ON r.strategy = p.strategy AND r.qid = p.qid AND r.rank = p.rank")
+plan("rtv18_abstention_policy", f"WITH {RUN} SELECT strategy, qid, count(*) AS evidence, round(max(score), 4) AS best, count(*) < 2 OR max(score) IS NULL OR max(score) < 60000 AS abstain FROM run GROUP BY strategy, qid")
+# --- joins
+plan("jon02_run_qrels", f"WITH {BASE} SELECT r.strategy, r.qid, r.rank, r.passage, coalesce(q.grade, 0) AS grade, q.grade IS NULL AS unjudged FROM run r LEFT JOIN qrels q ON r.qid = q.qid AND r.passage = q.passage")
+plan("jon04_page_containment", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+plan("jon05_pair_join", f"WITH {GRADES} SELECT x.item, x.a, y.b FROM raters x JOIN raters y ON x.item = y.item")
+plan("jon06_silver_default", "SELECT d.doc_id, coalesce(l.quality, 0) AS human, l.quality IS NULL AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+plan("jon07_strategy_pairs", f"WITH {PAIRED} SELECT sa, sb, qid, delta FROM pair")
+plan("jon08_dropped", f"WITH {RUN}, kept AS (SELECT strategy, qid, passage FROM run WHERE rank <= 3) SELECT DISTINCT r.strategy, r.qid, r.passage FROM run r LEFT JOIN kept k ON r.strategy = k.strategy AND r.qid = k.qid AND r.passage = k.passage WHERE k.passage IS NULL")
+plan("jon09_queue_anti", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+plan("jon10_outside_pool", f"WITH {POOL} SELECT qid, passage FROM outside")
+plan("jon11_semi_hit", f"WITH {BASE} SELECT a.strategy, a.qid FROM (SELECT DISTINCT strategy, qid FROM run) a WHERE EXISTS (SELECT 1 FROM run r JOIN qrels q ON r.qid = q.qid AND r.passage = q.passage AND q.grade >= 2 WHERE r.strategy = a.strategy AND r.qid = a.qid AND r.rank <= 3)")
+plan("jon13_citation_rank", f"WITH {TURNS}, cited AS (SELECT conv_id, turn, CAST(length(answer) % 3 + 1 AS BIGINT) AS marker FROM asks), ev AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM turns) SELECT c.conv_id, c.turn, c.marker, e.turn AS evidence_turn FROM cited c LEFT JOIN ev e ON e.conv_id = c.conv_id AND e.rank = c.marker")
+plan("jon15_pool_provenance", f"WITH {POOL} SELECT p.qid, p.passage, LISTED(label) AS provenance FROM pool p JOIN (SELECT qid, passage, concat(strategy, ':', rank) AS label FROM run) r ON p.qid = r.qid AND p.passage = r.passage GROUP BY p.qid, p.passage")
+plan("jon16_unique_recovery", "SELECT lower(trim(text)) AS question, min(item_id) AS item_id FROM benchmark GROUP BY lower(trim(text)) HAVING count(*) = 1")
+# --- mapping and pooling
+plan("map03_evidence_summary", f"WITH {BASE} SELECT r.strategy, r.qid, count(*) AS n, count_if(r.passage < 50) AS mapped, count_if(r.passage >= 50) AS unresolved, count(DISTINCT r.passage) AS pages_found, max(CASE WHEN q.grade >= 1 THEN 1 ELSE 0 END) = 1 AS retrieval_hit FROM run r LEFT JOIN qrels q ON r.qid = q.qid AND r.passage = q.passage GROUP BY r.strategy, r.qid")
+plan("map04_page_parse", "SELECT page_id, regexp_extract(url, '/([0-9]+)', 1) AS page_text, regexp_matches(url, '/[0-9]+') AS has_page FROM pages")
+plan("map05_page_status", f"WITH {RUN} SELECT strategy, qid, CASE WHEN count(DISTINCT passage) = 0 THEN 'PAGE_METADATA_MISSING' WHEN count(DISTINCT passage) = 1 THEN 'EXACT_CANONICAL_PAGE' ELSE 'MULTI_PAGE_CANONICAL_COVERAGE' END AS status FROM run GROUP BY strategy, qid")
+plan("pol01_final_dropped", f"WITH {RUN} SELECT strategy, count_if(rank <= 3) AS final, count_if(rank > 3) AS dropped, count(*) AS total FROM run GROUP BY strategy")
+plan("pol02_reranker_stats", f"WITH {RUN} SELECT strategy, qid, count(*) AS pre, count_if(rank <= 3) AS selected, count_if(rank > 3) AS dropped FROM run WHERE strategy IN (4, 7) GROUP BY strategy, qid")
+plan("pol03_pool", f"WITH {POOL}, seen AS (SELECT qid, passage, strategy, row_number() OVER (PARTITION BY qid, passage ORDER BY strategy, rank) AS k, row_number() OVER (PARTITION BY qid, strategy, passage ORDER BY rank) AS j FROM run WHERE rank <= 3) SELECT qid, passage, count(*) AS n, count_if(j > 1) AS dup_within, count_if(k > 1 AND j = 1) AS dup_across FROM seen GROUP BY qid, passage")
+plan("pol04_outside_sample", f"WITH {POOL}, o AS (SELECT qid, passage, row_number() OVER (PARTITION BY qid ORDER BY sha256(concat('42:', qid, ':', passage))) AS r, count(*) OVER (PARTITION BY qid) AS n FROM outside) SELECT qid, passage FROM o WHERE r <= greatest(1, ceil(n / 10))")
+plan("pol05_disjointness", f"WITH {POOL} SELECT (SELECT count(*) FROM pool) AS n_pool, (SELECT count(*) FROM outside) AS n_outside, (SELECT count(*) FROM universe) AS n_union, (SELECT count(*) FROM (SELECT qid, passage FROM pool INTERSECT SELECT qid, passage FROM outside) i) AS n_both")
+plan("pol06_availability", f"WITH {RUN}, s AS (SELECT DISTINCT strategy FROM run), q AS (SELECT o_orderkey % 45 AS qid FROM orders GROUP BY o_orderkey % 45) SELECT s.strategy, q.qid, count(r.rank) AS n FROM s CROSS JOIN q LEFT JOIN run r ON r.strategy = s.strategy AND r.qid = q.qid GROUP BY s.strategy, q.qid")
+plan("pol07_blinded_view", f"WITH {POOL} SELECT qid, passage FROM pool")
+plan("pol08_blinded_package", f"WITH {BASE}, rel AS (SELECT DISTINCT qid, passage, 1 AS relevant FROM qrels WHERE grade >= 2), neg AS (SELECT qid, passage, 0 AS relevant FROM (SELECT qid, passage, row_number() OVER (PARTITION BY qid ORDER BY sha256(concat('neg:', qid, ':', passage))) AS r FROM qrels WHERE grade = 0) n WHERE r <= 5), u AS (SELECT * FROM rel UNION ALL SELECT * FROM neg) SELECT qid, passage, relevant, row_number() OVER (PARTITION BY qid ORDER BY sha256(concat('shuffle:', qid, ':', passage))) AS position FROM u")
+# --- filters and policies
+plan("flt01_holdout_guard", "SELECT qid FROM (SELECT concat(CASE WHEN item_id % 7 = 3 THEN 'Holdout_' ELSE 'q' END, item_id) AS qid FROM benchmark) b WHERE NOT contains(lower(qid), 'holdout')")
+plan("flt03_canonical_ids", "SELECT page_id, starts_with(url, 'https://') AS canonical FROM pages")
+plan("flt04_blinding", "SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), 'strategy|rank|score') AS leaks FROM conversations")
+plan("flt05_leakage", "SELECT doc_id, contains(translate(lower(text), '_-./ ', ''), 'goldanswer') OR contains(translate(lower(text), '_-./ ', ''), 'token=') AS leaks FROM documents")
+plan("flt07_secret_scan", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'token = |password|api_key') THEN '[REDACTED]' ELSE substr(text, 1, 80) END AS preview FROM documents")
+plan("flt08_span_containment", f"WITH {TURNS} SELECT conv_id, turn, answer = '' OR contains(answer, substr(answer, 3, 20)) AS literal FROM asks")
+plan("flt09_role_grade", f"WITH {QRELS} SELECT qid, passage, grade, CASE grade WHEN 0 THEN 'NEGATIVE_CONTROL' WHEN 1 THEN 'CONTEXTUAL' WHEN 2 THEN 'SUPPORTING' ELSE 'PRIMARY' END AS role FROM qrels")
+plan("flt10_export_validation", "SELECT count_if(l.quality IS NULL) AS not_covered, count_if(l.quality NOT IN (0, 1)) AS bad, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+plan("flt12_silver_records", "SELECT doc_id, CASE WHEN quality NOT IN (0, 1) THEN 'BAD_GRADE' WHEN toxic NOT IN (0, 1) THEN 'BAD_FLAG' ELSE 'OK' END AS status FROM labels")
+plan("flt13_artifact_audit", f"WITH {RECALL} SELECT strategy, qid, abs(recall - round(recall, 4)) <= 1e-3 AS close FROM metric")
+plan("flt14_smoke_gate", f"WITH {RUN} SELECT qid, CASE WHEN count(*) = 70 THEN 'SMOKE_POSITIVE_OK' WHEN count(*) = 0 THEN 'SMOKE_ABSTENTION_OK' ELSE 'SMOKE_FAILED' END AS gate FROM run GROUP BY qid")
+plan("flt16_routing_ladder", f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN question = '' THEN 'EMPTY' WHEN length(question) > 1500 THEN 'TOO_LONG' WHEN length(answer) < 20 THEN 'LOW_CONFIDENCE' ELSE 'ACCEPTED' END AS status FROM asks")
+plan("flt18_preflight", f"WITH {RUN} SELECT strategy, count(DISTINCT qid) AS queries, count(*) AS n_rows, round(CAST(count_if(passage < 50) AS DOUBLE) / count(*), 4) AS coverage FROM run GROUP BY strategy")
+# --- evaluation
+plan("evl01_recall_at_k", f"WITH {RECALL} SELECT strategy, qid, round(recall, 6) AS recall, round(rr, 6) AS rr FROM metric")
+plan("evl02_reciprocal_rank", f"WITH {RECALL} SELECT strategy, qid, round(rr, 6) AS rr FROM metric")
+plan("evl03_mrr", f"WITH {RECALL} SELECT strategy, round(avg(rr), 6) AS mrr, count(*) AS n FROM metric GROUP BY strategy")
+plan("evl04_passage_recall", f"WITH {BASE}, {DEDUP} SELECT a.strategy, a.qid, round(CAST(count(DISTINCT q.passage) AS DOUBLE) / max(g.n_rel), 6) AS recall, CASE WHEN max(g.n_rel) IS NULL THEN 'NOT_COMPUTABLE' ELSE 'COMPUTED' END AS status FROM asked a LEFT JOIN gold g ON a.qid = g.qid LEFT JOIN run r ON r.strategy = a.strategy AND r.qid = a.qid AND r.rank <= 5 LEFT JOIN qrels q ON q.qid = r.qid AND q.passage = r.passage AND q.grade >= 1 GROUP BY a.strategy, a.qid")
+plan("evl05_mrr_no_cut", f"WITH {BASE} SELECT r.strategy, r.qid, coalesce(round(1 / CAST(min(CASE WHEN q.grade >= 1 THEN r.rank END) AS DOUBLE), 6), 0) AS rr FROM run r LEFT JOIN qrels q ON q.qid = r.qid AND q.passage = r.passage GROUP BY r.strategy, r.qid")
+IDEAL = "ideal AS (SELECT qid, sum((power(2, grade) - 1) / log2(k + 1)) AS idcg FROM (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, passage) AS k FROM qrels) o WHERE k <= 3 GROUP BY qid)"
+plan("evl06_ndcg", f"WITH {BASE}, {IDEAL} SELECT r.strategy, r.qid, round(CASE WHEN max(i.idcg) > 0 THEN sum((power(2, coalesce(q.grade, 0)) - 1) / log2(r.rank + 1)) / max(i.idcg) ELSE 0 END, 4) AS ndcg FROM run r LEFT JOIN ideal i ON i.qid = r.qid LEFT JOIN qrels q ON q.qid = r.qid AND q.passage = r.passage WHERE r.rank <= 3 GROUP BY r.strategy, r.qid")
+plan("evl07_citations", f"WITH {BASE}, {DEDUP}, cited AS (SELECT strategy, qid, passage FROM run WHERE rank IN (1, 3)) SELECT c.strategy, c.qid, round(CAST(count(q.passage) AS DOUBLE) / count(*), 6) AS precision_, round(CAST(count(q.passage) AS DOUBLE) / max(g.n_rel), 6) AS recall FROM cited c LEFT JOIN qrels q ON q.qid = c.qid AND q.passage = c.passage AND q.grade >= 1 LEFT JOIN gold g ON g.qid = c.qid GROUP BY c.strategy, c.qid")
+plan("evl08_not_computable", f"WITH {RUN} SELECT DISTINCT strategy, qid, CAST(NULL AS DOUBLE) AS value, 'NOT_COMPUTABLE_MISSING_NUGGETS' AS status FROM run")
+plan("evl09_page_metrics", f"WITH {BASE}, {DEDUP} SELECT a.strategy, a.qid, count(q.passage) > 0 AS hit, coalesce(1 / CAST(min(CASE WHEN q.passage IS NOT NULL THEN d.pos END) AS DOUBLE), 0) AS page_mrr, CASE WHEN max(g.n_rel) IS NULL THEN 1 ELSE round(CAST(count(DISTINCT q.passage) AS DOUBLE) / max(g.n_rel), 6) END AS page_recall FROM asked a LEFT JOIN gold g ON a.qid = g.qid LEFT JOIN dedup d ON a.strategy = d.strategy AND a.qid = d.qid LEFT JOIN qrels q ON q.qid = d.qid AND q.passage = d.passage AND q.grade >= 1 GROUP BY a.strategy, a.qid")
+plan("evl10_abstention_matrix", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'CORRECT_ANSWER' WHEN quality = 1 THEN 'FALSE_ABSTENTION' WHEN toxic = 1 THEN 'CORRECT_ABSTENTION' ELSE 'FALSE_ANSWER' END AS category, (quality = 1) = (toxic = 0) AS correct FROM labels")
+plan("evl11_human_qrels", f"WITH {BASE}, {IDEAL}, valid AS (SELECT strategy, qid, passage, row_number() OVER (PARTITION BY strategy, qid ORDER BY rank) AS pos FROM run WHERE rank <= 5 AND passage < 50), gold AS (SELECT qid, count(*) AS n_rel FROM qrels WHERE grade >= 1 GROUP BY qid) SELECT v.strategy, v.qid, round(CAST(count_if(q.grade >= 1) AS DOUBLE) / max(g.n_rel), 4) AS recall, round(coalesce(1 / CAST(min(CASE WHEN q.grade >= 1 THEN v.pos END) AS DOUBLE), 0), 4) AS mrr, round(sum((power(2, coalesce(q.grade, 0)) - 1) / log2(v.pos + 1)) / max(i.idcg), 4) AS ndcg, count_if(q.grade IS NULL) AS unjudged FROM valid v LEFT JOIN qrels q ON q.qid = v.qid AND q.passage = v.passage LEFT JOIN gold g ON g.qid = v.qid LEFT JOIN ideal i ON i.qid = v.qid GROUP BY v.strategy, v.qid")
+plan("evl12_judged_coverage", f"WITH {BASE} SELECT r.strategy, r.qid, round(CAST(count(q.grade) AS DOUBLE) / count(*), 4) AS coverage, coalesce(count_if(q.grade = 0), 0) AS false_positives FROM run r LEFT JOIN qrels q ON q.qid = r.qid AND q.passage = r.passage WHERE r.rank <= 3 GROUP BY r.strategy, r.qid")
+plan("evl13_reranker_damage", f"WITH {BASE}, rel AS (SELECT r.strategy, r.qid, r.passage, r.rank FROM run r JOIN qrels q ON q.qid = r.qid AND q.passage = r.passage AND q.grade >= 1), post AS (SELECT DISTINCT strategy, qid, passage FROM rel WHERE rank <= 3) SELECT e.strategy, e.qid, count(*) AS pre_relevant, count(DISTINCT CASE WHEN p.passage IS NULL THEN e.passage END) AS dropped, round(CAST(count(DISTINCT CASE WHEN p.passage IS NULL THEN e.passage END) AS DOUBLE) / count(*), 4) AS dropped_rate FROM rel e LEFT JOIN post p ON p.strategy = e.strategy AND p.qid = e.qid AND p.passage = e.passage GROUP BY e.strategy, e.qid")
+plan("evl14_page_damage", f"WITH {BASE}, rel AS (SELECT r.strategy, r.qid, r.rank FROM run r JOIN qrels q ON q.qid = r.qid AND q.passage = r.passage AND q.grade >= 1) SELECT strategy, qid, count_if(rank <= 3) AS pre_hits, count_if(rank BETWEEN 4 AND 6) AS post_hits, count_if(rank <= 3) - count_if(rank BETWEEN 4 AND 6) AS lost FROM rel GROUP BY strategy, qid")
+plan("evl15_capped_recall", f"WITH {BASE}, {DEDUP} SELECT r.strategy, r.qid, least(1, round(CAST(count(q.passage) AS DOUBLE) / max(g.n_rel), 6)) AS recall, count(q.passage) > 0 AS hit FROM run r LEFT JOIN qrels q ON q.qid = r.qid AND q.passage = r.passage AND q.grade >= 1 LEFT JOIN gold g ON g.qid = r.qid WHERE r.rank <= 3 GROUP BY r.strategy, r.qid")
+plan("evl16_single_page", f"WITH {BASE}, target AS (SELECT qid, min(passage) AS passage FROM qrels WHERE grade = 3 GROUP BY qid) SELECT r.strategy, r.qid, count_if(r.passage = t.passage) > 0 AS hit, CASE WHEN count_if(r.passage = t.passage) > 0 THEN round(1 / CAST(3 AS DOUBLE), 6) ELSE 0 END AS precision_ FROM run r LEFT JOIN target t ON t.qid = r.qid WHERE r.rank <= 3 GROUP BY r.strategy, r.qid")
+plan("evl17_abstention_correct", "SELECT doc_id, CASE WHEN toxic IS NULL THEN NULL WHEN toxic = 1 AND quality = 0 THEN 1 WHEN toxic = 0 AND quality = 1 THEN 1 ELSE 0 END AS score, CASE WHEN toxic = 1 AND quality = 0 THEN 'CORRECTLY_ABSTAINED' WHEN toxic = 0 AND quality = 1 THEN 'CORRECTLY_ANSWERED' ELSE 'WRONG' END AS reason FROM labels")
+plan("evl19_typed_triad", f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN length(answer) < 30 THEN 'NOT_APPLICABLE' ELSE 'COMPUTED' END AS status, CASE WHEN length(answer) < 30 THEN NULL ELSE round(least(1, CAST(length(question) AS DOUBLE) / length(answer)), 4) END AS score, CASE WHEN length(answer) < 30 THEN 'abstained' ELSE '' END AS reason FROM asks")
+plan("evl20_call_ledger", "SELECT user_id, count(*) AS physical, count(DISTINCT event_type) AS logical, count(*) - count(DISTINCT event_type) AS retries, count_if(value >= 50) AS failed, count_if(value < 50 OR value IS NULL) AS success, count(*) = count_if(value >= 50) + count_if(value < 50 OR value IS NULL) AS balanced FROM events GROUP BY user_id")
+plan("evl21_grade_distribution", f"WITH {QRELS} SELECT grade, count(*) AS n, count(DISTINCT qid) AS queries, CAST(power(2, grade) - 1 AS DOUBLE) AS gain FROM qrels GROUP BY grade")
+plan("evl22_abstention_question", f"WITH {QRELS} SELECT qid, bool_and(grade = 0) AS is_abstention FROM qrels GROUP BY qid")
+plan("evl23_split_means", f"WITH {RECALL} SELECT strategy, CASE WHEN qid < 20 THEN 'development' ELSE 'test' END AS split, round(avg(recall), 4) AS mean_recall, count(recall) AS n FROM metric GROUP BY strategy, CASE WHEN qid < 20 THEN 'development' ELSE 'test' END")
+plan("evl24_summary", f"WITH {RECALL} SELECT strategy, round(avg(recall), 4) AS recall, round(avg(rr), 4) AS mrr, round(avg(CASE WHEN rr > 0 THEN 1 ELSE 0 END), 4) AS hit_rate, count(*) AS n FROM metric GROUP BY strategy")
+plan("evl25_describe", f"WITH {RECALL} SELECT strategy, round(avg(recall), 4) AS mean, round(median(recall), 4) AS median, round(CASE WHEN count(recall) = 1 THEN 0 ELSE stddev_samp(recall) END, 4) AS std, round(min(recall), 4) AS least, round(max(recall), 4) AS most, count(recall) AS n FROM metric GROUP BY strategy")
+plan("evl26_strategy_summary", f"WITH {RECALL}, neg AS (SELECT qid FROM qrels GROUP BY qid HAVING max(grade) < 3) SELECT m.strategy, count(*) AS n, count_if(n.qid IS NULL) AS answerable, count_if(n.qid IS NOT NULL) AS negative, round(avg(CASE WHEN n.qid IS NULL THEN recall END), 4) AS recall_answerable, round(avg(recall), 4) AS recall_all, round(avg(rr), 4) AS mrr, count_if(rr = 0) AS misses, count_if(rr = 1) AS firsts FROM metric m LEFT JOIN neg n ON n.qid = m.qid GROUP BY m.strategy")
+plan("evl27_leaderboard", f"WITH {RECALL} SELECT strategy, round(avg(recall), 4) AS recall, row_number() OVER (ORDER BY round(avg(recall), 4) DESC, strategy) AS place FROM metric GROUP BY strategy")
+plan("evl28_feedback_validation", "SELECT event_type, count(*) AS n, count_if(value IS NULL) AS n_null, count_if(value < 0 OR value > 100) AS out_of_range FROM events GROUP BY event_type")
+plan("evl29_metric_dictionary", "SELECT * FROM (VALUES ('recall_at_k', 'ratio', true), ('mrr', 'ratio', true), ('ndcg_at_k', 'ratio', true), ('judged_coverage', 'ratio', true), ('dropped', 'count', false)) AS t(name, unit, normalized)")
+# --- statistics
+plan("sta01_paired", f"WITH {PAIRED} SELECT sa, sb, count_if(delta > 0) AS wins, count_if(delta = 0) AS ties, count_if(delta < 0) AS losses, count_if(delta IS NULL) AS missing, round(avg(delta), 4) + 0 AS mean_delta, round(median(delta), 4) AS median_delta, round(stddev_samp(delta), 4) AS std_delta, LISTED(gain) AS benefited FROM (SELECT *, CASE WHEN delta > 0 THEN CAST(qid AS VARCHAR(9)) END AS gain FROM pair) p GROUP BY sa, sb")
+plan("sta02_transitions", f"WITH {RECALL} SELECT a.strategy, count_if(a.rr > 0 AND b.rr = 0) AS to_abstain, count_if(a.rr = 0 AND b.rr > 0) AS to_answer, count(*) AS n FROM metric a JOIN metric b ON a.qid = b.qid AND b.strategy = a.strategy + 1 GROUP BY a.strategy")
+plan("sta03_compare", f"WITH {PAIRED} SELECT sa, sb, round(avg(delta), 4) + 0 AS mean_diff, CASE WHEN avg(delta) > 0.01 THEN 'IMPROVED' WHEN avg(delta) < -0.01 THEN 'WORSE' ELSE 'INCONCLUSIVE' END AS conclusion FROM pair GROUP BY sa, sb")
+plan("sta05_cohens_d", f"WITH {PAIRED} SELECT sa, sb, round(CASE WHEN coalesce(stddev_samp(delta), 0) = 0 THEN 0 ELSE avg(delta) / stddev_samp(delta) END, 4) AS d FROM pair GROUP BY sa, sb")
+KAPPA = "tab AS (SELECT a, b, count(*) AS n FROM raters GROUP BY a, b), tot AS (SELECT sum(n) AS t FROM tab), ra AS (SELECT a, sum(n) AS n FROM tab GROUP BY a), rb AS (SELECT b, sum(n) AS n FROM tab GROUP BY b)"
+plan("sta06_kappa", f"WITH {RATERS}, {KAPPA}, po AS (SELECT CAST(sum(CASE WHEN a = b THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS p FROM tab), pe AS (SELECT sum(CAST(ra.n AS DOUBLE) * rb.n) / max(CAST(t AS DOUBLE) * t) AS p FROM ra JOIN rb ON ra.a = rb.b CROSS JOIN tot) SELECT round(CASE WHEN pe.p = 1 THEN 1 ELSE (po.p - pe.p) / (1 - pe.p) END, 6) AS kappa FROM po CROSS JOIN pe")
+
+
+def _weighted(weight: str) -> str:
+    """1 less the ratio of observed to expected disagreement."""
+    return f"WITH {GRADES}, {KAPPA}, o AS (SELECT sum(CAST({weight} AS DOUBLE) * n) / max(CAST(t AS DOUBLE)) AS v FROM tab CROSS JOIN tot), e AS (SELECT sum({weight} * CAST(ra.n AS DOUBLE) * rb.n) / max(CAST(t AS DOUBLE) * t) AS v FROM ra CROSS JOIN rb CROSS JOIN tot) SELECT round(CASE WHEN e.v = 0 THEN 1 ELSE 1 - o.v / e.v END, 6) AS kappa FROM o CROSS JOIN e"
+
+
+plan("sta07_linear_kappa", _weighted("abs(a - b)"))
+plan("sta08_quadratic_kappa", _weighted("((a - b) * (a - b))"))
+plan("sta09_agreement_report", f"WITH {GRADES} SELECT qid, count(*) AS n, count_if(a = b) AS exact, count_if(abs(a - b) = 1) AS adjacent, count_if(abs(a - b) >= 2) AS severe, round(CAST(count_if((a >= 1) = (b >= 1)) AS DOUBLE) / count(*), 4) AS binary_agreement FROM raters GROUP BY qid")
+plan("sta10_confusion", f"WITH {GRADES} SELECT a, b, count(*) AS n, abs(a - b) AS distance FROM raters GROUP BY a, b")
+plan("sta11_calibration", "SELECT count(*) AS n, count_if(quality = toxic) AS agree, round(CAST(count_if(quality = 1 AND toxic = 0) AS DOUBLE) / count_if(quality = 1), 4) AS fnr, CASE WHEN count(*) < 30 THEN 'INSUFFICIENT' WHEN CAST(count_if(quality = 1 AND toxic = 0) AS DOUBLE) / count_if(quality = 1) <= 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM labels")
+plan("sta12_classification", f"WITH {PAIRED} SELECT sa, sb, CASE WHEN count(*) < 5 THEN 'UNDERPOWERED' WHEN min(delta) >= 0 THEN 'DOMINANT' WHEN max(delta) <= 0 THEN 'DOMINATED' ELSE 'MIXED' END AS label FROM pair GROUP BY sa, sb")
+plan("sta13_abstention_diagnosis", f"WITH {BASE} SELECT r.strategy, r.qid, max(coalesce(q.grade, 0)) AS best, CASE WHEN max(coalesce(q.grade, 0)) < 1 THEN 'RETRIEVAL_FAILURE' WHEN max(coalesce(q.grade, 0)) = 1 THEN 'INSUFFICIENT_RETRIEVED_SUPPORT' ELSE 'QREL_OR_QUESTION_AMBIGUITY' END AS category, count_if(q.grade = 3) AS g3 FROM run r LEFT JOIN qrels q ON q.qid = r.qid AND q.passage = r.passage GROUP BY r.strategy, r.qid")
+plan("sta14_metric_matrix", f"WITH {RECALL} SELECT strategy, qid, coalesce(CAST(CAST(round(recall * 10000) AS BIGINT) AS VARCHAR(20)), 'NA') AS recall_e4 FROM metric")
+# --- annotation workflow
+QUEUE = f"{POOL}, risk AS (SELECT qid, passage, n_strategies > 2 AS risky, row_number() OVER (PARTITION BY qid ORDER BY sha256(concat('b:', qid, ':', passage))) AS r, count(*) OVER (PARTITION BY qid) AS n FROM pool), b AS (SELECT qid, passage, risky FROM risk WHERE risky OR r <= greatest(1, round(0.2 * n)))"
+plan("ann01_queues", f"WITH {QUEUE} SELECT qid, passage, risky FROM b")
+plan("ann02_order", f"WITH {POOL} SELECT qid, passage, row_number() OVER (PARTITION BY qid ORDER BY sha256(concat(qid, ':A:', passage))) AS priority_rank FROM pool")
+plan("ann03_routing_manifest", f"WITH {QUEUE} SELECT (SELECT count(*) FROM pool) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM b WHERE NOT risky) AS n_random")
+plan("ann04_supplemental", f"WITH {QUEUE} SELECT qid, passage FROM pool EXCEPT SELECT qid, passage FROM b")
+plan("ann05_merge_exports", f"WITH {QUEUE}, rest AS (SELECT qid, passage FROM pool EXCEPT SELECT qid, passage FROM b) SELECT qid, passage, 'B' AS origin FROM b UNION ALL SELECT qid, passage, 'SUPPLEMENT' AS origin FROM rest")
+plan("ann06_adjudication_queue", f"WITH {GRADES} SELECT item, a, b, CASE WHEN abs(a - b) >= 2 THEN 'SEVERE' ELSE 'ADJACENT' END AS reason, regexp_matches(substr(sha256(concat(qid, ':', item)), 16, 1), '[13579bdf]') AS swapped FROM raters WHERE a <> b")
+plan("ann07_final_qrels", f"WITH {GRADES} SELECT item, qid, CASE WHEN a = b THEN a ELSE greatest(a, b) END AS grade, CASE WHEN a = b THEN 'CONSENSUS' ELSE 'ADJUDICATED' END AS source FROM raters")
+plan("ann10_progress", "SELECT d.lang, count(*) AS n, count(l.doc_id) AS done, round(100 * CAST(count(l.doc_id) AS DOUBLE) / count(*), 2) AS pct FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang")
+plan("ann11_legacy_migration", "SELECT concat('q', item_id) AS qid, length(text) > 100 AS answerable, CASE WHEN length(text) > 100 THEN NULL ELSE 'LEGACY_UNSPECIFIED' END AS reason, CAST(NULL AS BIGINT) AS grade FROM benchmark")
+# --- routing
+plan("agt01_classify", f"WITH {TURNS} SELECT conv_id, turn, {CLASS} AS query_class FROM asks")
+plan("agt02_route", f"WITH {TURNS}, c AS (SELECT conv_id, turn, {CLASS} AS k FROM asks) SELECT conv_id, turn, CASE k WHEN 'COMPARISON' THEN 'H2' WHEN 'SUMMARY' THEN 'H1' WHEN 'PROCEDURAL' THEN 'W1' WHEN 'UNANSWERABLE' THEN 'W1' ELSE 'W0' END AS strategy, k = 'UNCLASSIFIED' AS fallback FROM c")
+plan("agt04_fixed_router", f"WITH {RUN} SELECT qid, min(strategy) AS chosen FROM run GROUP BY qid")
+plan("agt05_execution_ladder", "SELECT event_id, CASE WHEN event_type IS NULL THEN 'UNKNOWN_TOOL' WHEN user_id IS NULL THEN 'UNAUTHORIZED' WHEN value < 0 THEN 'BAD_ARGUMENTS' WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 10 THEN 'BUDGET_EXCEEDED' ELSE 'EXECUTED' END AS status FROM events")
+plan("agt06_budget", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 10 AS within FROM events")
+plan("agt07_accumulator", f"WITH {RUN}, o AS (SELECT qid, passage, strategy * 100 + rank AS seq, row_number() OVER (PARTITION BY qid, passage ORDER BY strategy, rank) AS k FROM run) SELECT qid, passage, seq, k = 1 AS is_new FROM o")
+plan("agt08_stop_policy", f"WITH {RUN}, o AS (SELECT qid, strategy, row_number() OVER (PARTITION BY qid, passage ORDER BY strategy, rank) AS k FROM run), s AS (SELECT qid, strategy, count_if(k = 1) AS fresh FROM o GROUP BY qid, strategy), g AS (SELECT *, sum(CASE WHEN fresh > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY strategy) AS grp FROM s), c AS (SELECT qid, strategy, fresh, CAST(sum(CASE WHEN fresh = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, grp ORDER BY strategy) AS BIGINT) AS idle FROM g) SELECT qid, strategy, fresh, idle, CASE WHEN idle >= 2 THEN 'STOP_NO_NEW_EVIDENCE' WHEN strategy >= 7 THEN 'STOP_BUDGET' ELSE 'CONTINUE' END AS decision FROM c")
+plan("agt09_one_shot", f"WITH {RUN}, pick AS (SELECT qid, min(strategy) AS strategy FROM run GROUP BY qid) SELECT r.qid, r.strategy, count(*) AS evidence, count(DISTINCT r.passage) AS passages, CASE WHEN count(*) >= 3 THEN 'ANSWERED' ELSE 'ABSTAINED' END AS outcome FROM run r JOIN pick p ON p.qid = r.qid AND p.strategy = r.strategy GROUP BY r.qid, r.strategy")
+plan("agt10_policy_replay", f"WITH {RECALL}, best AS (SELECT qid, max(recall) AS top FROM metric GROUP BY qid), routed AS (SELECT qid, recall FROM metric WHERE strategy = qid % 7 + 1) SELECT count(*) AS n, round(avg(r.recall), 6) AS routed_mean, round(avg(b.top), 6) AS oracle_mean, round(avg(b.top - r.recall), 6) AS regret, count_if(abs(b.top - r.recall) <= 1e-9) AS ties, count_if(b.top - r.recall > 1e-9) AS losses FROM routed r JOIN best b ON b.qid = r.qid")
+# --- generation side
+plan("gen01_evidence_blocks", f"WITH {RUN} SELECT strategy, qid, LISTED(block) AS prompt FROM (SELECT strategy, qid, concat('[E', rank, '] passage ', passage) AS block FROM run WHERE rank <= 5) b GROUP BY strategy, qid")
+plan("gen02_answer_parse", f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN trim(answer) = '' THEN 'ABSTAIN' WHEN starts_with(trim(answer), '{{') THEN 'JSON' ELSE 'ANSWER' END AS kind FROM asks")
+plan("gen03_citation_map", f"WITH {TURNS} SELECT conv_id, turn, regexp_extract(answer, concat(chr(92), '[E([0-9]+)', chr(92), ']'), 1) AS first_marker, CASE WHEN answer = '' THEN 'NOT_APPLICABLE' WHEN regexp_matches(answer, concat(chr(92), '[E[0-9]+', chr(92), ']')) THEN 'AVAILABLE' WHEN regexp_matches(answer, concat(chr(92), '[[0-9]+', chr(92), ']')) THEN 'LEGACY' ELSE 'UNAVAILABLE' END AS status FROM asks")
+plan("gen04_sanitise", f"WITH {TURNS} SELECT conv_id, turn, sha256(answer) AS sha, length(answer) AS n_chars, substr(answer, 1, 500) AS preview FROM asks")
+plan("gen05_score_parse", "SELECT raw, least(1, greatest(0, coalesce(TRY_CAST(nullif(regexp_extract(raw, '\"score\" *: *([0-9.]+)', 1), '') AS DOUBLE), 0))) AS score FROM (SELECT concat('{\"score\": ', item_id / 20, '}') AS raw FROM (SELECT CAST(item_id AS BIGINT) AS item_id FROM benchmark) b UNION ALL SELECT 'none' UNION ALL SELECT '{\"score\": 1.7}') t WHERE NOT contains(raw, 'e-')")
+plan("gen06_fake_generator", f"WITH {RUN} SELECT strategy, qid, concat('Based on ', max(CASE WHEN rank = 1 THEN passage END), ' and ', max(CASE WHEN rank = 2 THEN passage END)) AS answer, least(3, count(*)) AS citations FROM run GROUP BY strategy, qid")
+plan("gen09_backoff", "SELECT n, least(60, 2 * power(2, n)) AS wait FROM (SELECT DISTINCT o_orderkey % 8 AS n FROM orders) t")
+# --- streaming-shaped, batch form
+plan("str01_observed_rate", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86400' SECOND PRECEDING AND CURRENT ROW) AS in_window FROM events")
+plan("str02_quota_accounting", "SELECT user_id, event_type, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM events GROUP BY user_id, event_type")
+plan("str03_resume", "SELECT user_id, event_type, event_id AS last_event FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) e WHERE r = 1")
+# --- extras
+plan("nbk01_evidence_table", f"WITH {RUN} SELECT strategy, qid, rank, round(score, 4) AS score, coalesce(CAST(CASE WHEN passage < 50 THEN passage END AS VARCHAR(9)), 'n/d') AS page FROM run")
+plan("nbk03_newest_valid", "SELECT user_id, max(CASE WHEN value IS NOT NULL THEN event_id END) AS checkpoint FROM events GROUP BY user_id")
+plan("nbk04_contract_diff", "SELECT doc_id, CASE WHEN n_chars <> length(text) THEN 'n_chars' WHEN lang IS NULL THEN 'lang' END AS mismatch FROM documents")
+plan("nbk05_supersede", "SELECT user_id, event_type, count(*) - 1 AS superseded, max(event_id) AS current_record FROM events GROUP BY user_id, event_type")
+plan("nbk06_feedback_frames", f"WITH {RUN} SELECT count(*) AS n_rows, count(DISTINCT strategy * 100000 + qid * 100 + rank) AS n_ids FROM run")
+plan("nbk07_quality_gate", "SELECT 'documents_unique' AS gate, count(*) = count(DISTINCT doc_id) AS ok FROM documents UNION ALL SELECT 'labels_covered', count_if(quality IS NULL) = 0 FROM labels UNION ALL SELECT 'pages_nonempty', count_if(html IS NULL) = 0 FROM pages")
+plan("nbk08_same_corpus", f"WITH {RUN} SELECT count(DISTINCT n) = 1 AS same FROM (SELECT strategy, count(DISTINCT qid) AS n FROM run GROUP BY strategy) s")
+plan("nbk09_manifest_ladder", "SELECT page_id, CASE WHEN url IS NULL THEN 'MISSING_URL' WHEN length(sha256(url)) <> 64 THEN 'BAD_SHA' ELSE 'OK' END AS status FROM pages")
+
+_LISTED = re.compile(r"LISTED\((\w+)\)")
+
+
+def duckdb_text(sql: str) -> str:
+    return _LISTED.sub(r"coalesce(string_agg(\1, ',' ORDER BY \1), '')", sql)
+
+
+def spark_text(sql: str) -> str:
+    return _LISTED.sub(r"array_join(array_sort(collect_list(\1)), ',')", sql)
+
+
+FUNCTIONS = {"sha256": "(s STRING) RETURNS STRING RETURN sha2(s, 256)", "regexp_matches": "(s STRING, r STRING) RETURNS BOOLEAN RETURN regexp_like(s, r)", "starts_with": "(s STRING, p STRING) RETURNS BOOLEAN RETURN startswith(s, p)"}
+
+
+def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Registers the tables that a statement names, and the functions that Spark calls otherwise."""
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    for name, body in FUNCTIONS.items():
+        if f"{name}(" in sql:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+
+
+def query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = spark_text(sql)
+        views(spark, sf_dir, text)
+        return spark.sql(text)
+
+    return run
+
+
+QUERIES = {name: query(sql) for name, sql in PLANS.items()}
+ORACLE_SQL = {name: duckdb_text(sql) for name, sql in PLANS.items()}

@@ -1,4 +1,6 @@
 """All registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from rankwell.plans import frames, portable
+
+QUERIES = portable.QUERIES | frames.QUERIES
+ORACLE_SQL = portable.ORACLE_SQL | frames.ORACLE_SQL
