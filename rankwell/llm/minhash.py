@@ -31,6 +31,8 @@ REGISTERS, BAND = 192, 6
 MANTISSA_BITS = 10
 #: Most members and shingles of one block of a candidate group.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_500_000
+#: Up to this many candidate nodes (about 40 bytes each) are broadcast to pick their sets; more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
 #: Share of registers that agree by accident (for equal sizes), times 2^-MANTISSA_BITS.
 ACCIDENT = 0.169919487159739 / 2**MANTISSA_BITS
 
@@ -247,8 +249,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.85) -> Da
     dealt = part.select("node", F.col("band_key").alias("grp"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "node", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
     )
-    # a class with its full set: that of the row which gave its node
-    full = live.join(classes.select("set_key", F.col("node")), "set_key").where("doc_id = node").groupBy("set_key", "node").agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles"))
+    # full sets of the classes that are in a group: those of the rows which gave their nodes
+    wanted = materialise(part.select("node").distinct().join(classes.select("node", "set_key"), "node"), "wanted").select(F.col("node").alias("doc_id"), "set_key")
+    few = wanted.count() <= BROADCAST_NODES
+    rows = live.select("doc_id", "set_key", "registers", "shingles").join(F.broadcast(wanted) if few else wanted, ["doc_id", "set_key"], "left_semi")
+    full = rows.groupBy(F.col("doc_id").alias("node"), "set_key").agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles"))
     links = _group_links(dealt.join(full.drop("set_key"), "node"), similarity)
     # sets of rows that share a doc_id are one document
     same = live.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").join(live.select("doc_id", "set_key").distinct(), "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
