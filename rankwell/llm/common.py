@@ -40,6 +40,19 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what materialise wrote for df, once nothing reads it any more."""
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, df as it is beyond."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow by a function from a batch to dicts of columns."""
     from pyspark.sql.types import StructType

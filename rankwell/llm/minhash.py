@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm import textvec as tv
-from rankwell.llm.common import arrow_map, materialise
+from rankwell.llm.common import arrow_map, discard, materialise, small
 from rankwell.llm.components import connected_components
 
 #: Registers, and how many make a band: 32 bands of 6.  A pair of similarity 0.85 shares
@@ -31,7 +31,7 @@ REGISTERS, BAND = 192, 6
 MANTISSA_BITS = 10
 #: Most members and shingles of one block of a candidate group.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_500_000
-#: Up to this many candidate nodes (about 40 bytes each) are broadcast to pick their sets; more are joined by a shuffle.
+#: Up to this many candidate nodes or groups (about 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 #: Share of registers that agree by accident (for equal sizes), times 2^-MANTISSA_BITS.
 ACCIDENT = 0.169919487159739 / 2**MANTISSA_BITS
@@ -244,21 +244,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.85) -> Da
     member = materialise(band_keys(classes), "bands")
     groups = member.groupBy("band_key").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("node").alias("least")).where("c > 1")
     # bands that gave the same group are compared once
-    once = groups.groupBy("c", "total", "sum", "least").agg(F.min("band_key").alias("band_key")).select("band_key", F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    part = member.join(once, "band_key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    once = materialise(groups.groupBy("c", "total", "sum", "least").agg(F.min("band_key").alias("band_key")).select("band_key", F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "groups")
+    part = member.join(small(once, BROADCAST_NODES), "band_key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = part.select("node", F.col("band_key").alias("grp"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "node", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
     )
     # full sets of the classes that are in a group: those of the rows which gave their nodes
     wanted = materialise(part.select("node").distinct().join(classes.select("node", "set_key"), "node"), "wanted").select(F.col("node").alias("doc_id"), "set_key")
-    few = wanted.count() <= BROADCAST_NODES
-    rows = live.select("doc_id", "set_key", "registers", "shingles").join(F.broadcast(wanted) if few else wanted, ["doc_id", "set_key"], "left_semi")
+    rows = live.select("doc_id", "set_key", "registers", "shingles").join(small(wanted, BROADCAST_NODES), ["doc_id", "set_key"], "left_semi")
     full = rows.groupBy(F.col("doc_id").alias("node"), "set_key").agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles"))
     links = _group_links(dealt.join(full.drop("set_key"), "node"), similarity)
     # sets of rows that share a doc_id are one document
     same = live.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").join(live.select("doc_id", "set_key").distinct(), "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     comps = connected_components(links.unionByName(same))
+    slim = materialise(sketch.select("doc_id", "n_shingles", "set_key"), "sizes")
+    for done in (sketch, member, once):
+        discard(done)
     label = classes.join(comps, "node", "left").select("set_key", F.coalesce("component", "node").alias("found"))
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
+    out = slim.join(label, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
