@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankwell.llm import decontam, minhash, packing, pii, quality
-from rankwell.llm.common import doc_columns, materialise, table
+from rankwell.llm.common import doc_columns, materialise, small, table
+
+#: Up to this many ids of dropped documents are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest doc_id stays."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return doc_columns(docs).join(gone, "doc_id", "left_anti")
+    gone = materialise(minhash.near_duplicates(docs).where("not kept").select("doc_id"), "gone")
+    return doc_columns(docs).join(small(gone, BROADCAST_IDS), "doc_id", "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
