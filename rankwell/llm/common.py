@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What an Arrow batch holds at most: a worker's memory does not follow the length of texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -60,6 +62,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = StructType.fromDDL(schema)
+    for name, most in BATCH.items():
+        df.sparkSession.conf.set(name, most)
 
     def run(batches):
         kind = to_arrow_schema(out)

@@ -169,7 +169,7 @@ def _confirm(nodes: list[int], side: np.ndarray, sets: list[np.ndarray], reg: np
         o, column = o[keep], np.unique(column[keep], return_inverse=True)[1]
         width = int(column.max()) + 1 if len(column) else 0
         shared = np.zeros((c, c), np.float32)
-        step = max(64, 16_000_000 // (4 * c))
+        step = max(64, 4_000_000 // c)
         for lo in range(0, width, step):
             here = (column >= lo) & (column < lo + step)
             m = np.zeros((c, min(step, width - lo)), np.float32)

@@ -19,7 +19,7 @@ _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
 
 #: Bytes of one slice; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = (1 << 20) - 64
 
 
 def class_table(separators: bytes) -> np.ndarray:
