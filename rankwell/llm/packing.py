@@ -31,6 +31,9 @@ from rankwell.llm import textvec as tv
 from rankwell.llm.common import arrow_map, materialise
 from rankwell.llm.tokens import PieceEncoder, default_path
 
+#: Pieces that share a bucket of ranks, on average at most, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 500_000, 64
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -202,14 +205,16 @@ def _ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     return within.join(before, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "bucket")
 
 
-def pack(pieces: DataFrame, size: int = 2048, n_groups: int = 256, buckets: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, n_groups: int = 256, buckets: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset: gapless from 0 in each sequence.
 
     pieces must be materialised, or at least give the same rows whenever it is run.
-    An empty table gives an empty result.
+    An empty table gives an empty result.  The number of buckets follows that of pieces, so
+    that one length of all pieces is ranked in parts of about BUCKET_ROWS at any size.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    buckets = buckets or max(LEAST_BUCKETS, -(-sum(histogram.values()) // BUCKET_ROWS))
     runs = plan(histogram, size, n_groups)
     # runs of a length lie in ascending rank: a slice of ranks finds them without a scan of all
     table = spark.createDataFrame(runs, "length long, first long, last long, seq long, offset long")
