@@ -55,6 +55,15 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def hand_back() -> None:
+    """Returns freed memory to the system, as workers stay for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc only
+        libc.malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow by a function from a batch to dicts of columns."""
     from pyspark.sql.types import StructType
@@ -70,6 +79,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
         for b in batches:
             for cols in fn(b):
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in kind], schema=kind)
+            hand_back()
 
     return df.mapInArrow(run, out)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm import textvec as tv
-from rankwell.llm.common import arrow_map, discard, materialise, small
+from rankwell.llm.common import arrow_map, discard, hand_back, materialise, small
 from rankwell.llm.components import connected_components
 
 #: Registers, and how many make a band: 32 bands of 6.  A pair of similarity 0.85 shares
@@ -30,7 +30,7 @@ from rankwell.llm.components import connected_components
 REGISTERS, BAND = 192, 6
 MANTISSA_BITS = 10
 #: Most members and shingles of one block of a candidate group.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_500_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 500_000
 #: Up to this many candidate nodes or groups (about 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 #: Share of registers that agree by accident (for equal sizes), times 2^-MANTISSA_BITS.
@@ -223,6 +223,7 @@ def _group_links(rows: DataFrame, similarity: float) -> DataFrame:
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=kind)
                 out.clear()
+            hand_back()
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=kind)
 

@@ -20,6 +20,8 @@ _inv = np.ones(1, U64)
 
 #: Bytes of one slice; a longer text is a slice of its own.
 SLICE_BYTES = (1 << 20) - 64
+#: Texts of one slice at most.
+SLICE_ROWS = 1024
 
 
 def class_table(separators: bytes) -> np.ndarray:
@@ -96,7 +98,7 @@ class Slice:
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cuts a string column into slices of about limit bytes; nulls are empty texts."""
+    """Cuts a string column into slices of about limit bytes and SLICE_ROWS texts; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -109,7 +111,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + SLICE_ROWS, max(hi, lo + 1))
         yield Slice(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
