@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from rankwell.plans import frames, portable
+from rankwell.plans import frames, portable, trace
 
-QUERIES = portable.QUERIES | frames.QUERIES
-ORACLE_SQL = portable.ORACLE_SQL | frames.ORACLE_SQL
+QUERIES = portable.QUERIES | frames.QUERIES | trace.QUERIES
+ORACLE_SQL = portable.ORACLE_SQL | frames.ORACLE_SQL | trace.ORACLE_SQL
