@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rankwell.functions import text as T
 from rankwell.functions import vectors as V
-from rankwell.operators import chunking, retrieval
-from rankwell.sources import files
+from rankwell.operators import chunking, retrieval, trace
+from rankwell.sources import checkpoints, files
 from rankwell.streaming import quota
 
 
@@ -69,3 +69,30 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.append_new(df, str(tmp_path / "ledger"), ["id"]) == 0
     assert files.append_new(df, str(tmp_path / "ledger"), ["id"]) == 2
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2
+
+
+def test_sealed_state():
+    text = checkpoints.seal({"b": 1, "a": "é"})
+    assert checkpoints.unseal(text) == {"a": "é", "b": 1}
+    for bad in ("{", "{}", text.replace(": 1", ": 2")):
+        with pytest.raises(checkpoints.Corrupt):
+            checkpoints.unseal(bad)
+    with pytest.raises(ValueError):
+        checkpoints.run_folder("/x", "../y")
+
+
+def test_rows_resume(spark, tmp_path):
+    rows = spark.createDataFrame([("q1", "F0", 1), ("q2", "F0", 2)], "query_id string, strategy string, n int")
+    path = str(tmp_path / "rows")
+    checkpoints.append_rows(rows.where("n = 1"), path)
+    done = checkpoints.finished(rows.schema, spark, path)
+    assert [r.query_id for r in checkpoints.remaining(rows, done).collect()] == ["q2"]
+    checkpoints.append_rows(rows, path)
+    assert sorted(r.n for r in checkpoints.finished(rows.schema, spark, path).collect()) == [1, 2]
+
+
+def test_ratios_of_nothing(spark):
+    tree = spark.createDataFrame([("a", "p", 0, False), ("b", "p", 0, False), ("c", "p", 0, False)], "node_id string, parent_id string, tokens long, relevant boolean")
+    run = spark.createDataFrame([(1, "a")], "query_id long, node_id string")
+    r = trace.trace_ratios(trace.merge_decisions(run, tree)).first()
+    assert (r.merges_performed, r.merges_refused, r.context_expansion_ratio, r.preservation, r.loss) == (0, 1, 1.0, 1.0, 0.0)
