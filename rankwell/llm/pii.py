@@ -5,7 +5,9 @@ letters for letters of their script, a valid check digit, octets for octets, a g
 of the same gender.  A replacement is a function of the key and the entity's canonical
 form, so an entity is replaced alike wherever and however it is written.  Distinct
 entities that would get one replacement, or one that is itself an entity of the corpus,
-are counted on to their next candidate until all are distinct.
+are counted on to their next candidate until all are distinct.  Names are told apart by
+their parts: distinct family names of a script get distinct ones, and so do the given
+names under one family name, gender and script.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ LITERAL_EXCEPTIONS = 500
 MOST_ATTEMPTS = 40
 #: From this attempt on, a replacement may be longer than its entity.
 LONGER_FROM = 6
+#: Most syllables added to a part of a name, one for each attempt.
+MOST_ADDED = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Titles that tell a gender. Fixed values.
@@ -133,41 +137,77 @@ def _fields(x: Column, made: dict) -> Column:
     return x
 
 
-def _name(x: Column, key: str) -> Column:
-    """Title kept, given name of the same gender, made-up family name, all in the script of the entity."""
-    gender, script = F.when(x["e"].rlike(rf"^(?:{MALE})\.? "), "m").otherwise("f"), x["script"]
-    family, first = None, None
+def _added(parts: list[str], h: Column, attempt: Column) -> Column:
+    """As many syllables as there were attempts, up to MOST_ADDED."""
+    return F.concat(*[F.when(attempt > i, _pick(parts, _number(h, 40 + 6 * i))).otherwise("") for i in range(MOST_ADDED)])
+
+
+def _family(x: Column) -> Column:
+    """Made-up family name in the script of the entity."""
+    h, out = x["family_h"], None
     for s, parts in SYLLABLES.items():
-        made = F.initcap(F.concat(*[_pick(parts, _number(x["family_h"], 1 + 6 * i)) for i in range(4)]))
-        family = F.when(script == s, made) if family is None else family.when(script == s, made)
+        made = F.initcap(F.concat(*[_pick(parts, _number(h, 1 + 6 * i)) for i in range(4)], _added(parts, h, x["family_try"])))
+        out = F.when(x["script"] == s, made) if out is None else out.when(x["script"] == s, made)
+    return F.when(x["kind"] == "name", out)
+
+
+def _given(x: Column) -> Column:
+    """Given name of the same gender and script."""
+    h, out = x["given_h"], None
     for (sex, s), names in GIVEN.items():
-        hit, name = (gender == sex) & (script == s), _pick(names, _number(x["given_h"], 1))
-        first = F.when(hit, name) if first is None else first.when(hit, name)
+        hit, name = (x["gender"] == sex) & (x["script"] == s), F.concat(_pick(names, _number(h, 1)), _added(SYLLABLES[s], h, x["given_try"]))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return F.when(x["given"] != "", out)
+
+
+def _name(x: Column) -> Column:
+    """Title kept, given and family name replaced."""
     title = F.regexp_extract(x["e"], rf"^((?:{MALE}|{FEMALE})\.? )", 1)
-    return F.concat(title, F.when(x["given"] != "", F.concat(first, F.regexp_extract(x["rest"], r"^[^ -]+([ -])", 1))).otherwise(""), family)
+    return F.concat(title, F.when(x["given"] != "", F.concat(x["new_given"], F.regexp_extract(x["rest"], r"^[^ -]+([ -])", 1))).otherwise(""), x["new_family"])
+
+
+def _family_canon(x: Column, family: Column) -> Column:
+    return F.concat_ws("/", x["script"], family)
+
+
+def _given_canon(x: Column, given: Column) -> Column:
+    return F.concat_ws("/", x["gender"], x["script"], x["family"], given)
+
+
+#: What a name consists of; empty parts for other kinds.
+NAME_STEPS = [
+    {"rest": lambda x: F.when(x["kind"] == "name", F.regexp_replace(x["e"], rf"^(?:{MALE}|{FEMALE})\.? ", "")).otherwise("")},
+    {"given": lambda x: F.regexp_extract(x["rest"], r"^([^ -]+)[ -]", 1)},
+    {"family": lambda x: F.regexp_extract(x["rest"], r"([^ -]+)$", 1)},
+    {"script": lambda x: F.when(x["e"].rlike(r"\p{IsCyrillic}"), "cyrillic").when(x["e"].rlike(r"\p{IsGreek}"), "greek").otherwise("latin")},
+    {"gender": lambda x: F.when(x["e"].rlike(rf"^(?:{MALE})\.? "), "m").otherwise("f")},
+]
 
 
 def annotated(ents: Column, key: str, attempt_of) -> Column:
     """Array of structs (e, kind, canon, attempt, new, ...) of an array of matches.
 
-    new is the replacement of match e, and e itself where kind is null.
+    new is the replacement of match e, and e itself where kind is null.  attempt_of takes
+    a kind and a canonical form; the parts of names are of the kinds family and given.
     """
-    last = lambda x: F.regexp_extract(x["rest"], r"([^ -]+)$", 1)
+    later = lambda n: F.when(n > 0, n.cast("string"))
     steps = [
         {"canon": lambda x: _canon(x["e"], x["kind"])},
-        {"attempt": attempt_of},
+        {"attempt": lambda x: attempt_of(x["kind"], x["canon"])},
         {"h": lambda x: _hex(F.lit(key), x["kind"], x["canon"], x["attempt"].cast("string"))},
         {"d": lambda x: F.regexp_replace(x["e"], "[^0-9]", "")},
         {"dig": lambda x: _digits(x["h"])},
         {"lead": lambda x: F.translate(F.substring(x["dig"], 1, 1), "01", "79")},
         {"domain": lambda x: F.when(x["kind"] == "email", F.substring_index(F.lower(x["e"]), "@", -1)).otherwise("")},
         {"dh": lambda x: _hex(F.lit(key), F.lit("domain"), x["domain"])},
-        {"rest": lambda x: F.when(x["kind"] == "name", F.regexp_replace(x["e"], rf"^(?:{MALE}|{FEMALE})\.? ", "")).otherwise("")},
-        {"given": lambda x: F.regexp_extract(x["rest"], r"^([^ -]+)[ -]", 1)},
+        *NAME_STEPS,
+        {"family_try": lambda x: F.when(x["kind"] == "name", attempt_of(F.lit("family"), _family_canon(x, x["family"]))).otherwise(0)},
+        {"given_try": lambda x: F.when(x["given"] != "", attempt_of(F.lit("given"), _given_canon(x, x["given"]))).otherwise(0)},
         # the family name alone decides its replacement, so "Mr A B" and "Mr B" stay one person's
-        {"family_h": lambda x: _hex(F.lit(key), F.lit("family"), last(x))},
-        {"given_h": lambda x: _hex(F.lit(key), F.lit("given"), x["given"])},
-        {"script": lambda x: F.when(x["e"].rlike(r"\p{IsCyrillic}"), "cyrillic").when(x["e"].rlike(r"\p{IsGreek}"), "greek").otherwise("latin")},
+        {"family_h": lambda x: _hex(F.lit(key), F.lit("family"), x["family"], later(x["family_try"]))},
+        {"given_h": lambda x: _hex(F.lit(key), F.lit("given"), x["given"], later(x["given_try"]))},
+        {"new_family": _family},
+        {"new_given": _given},
         {"digits": lambda x: _new_digits(x)},
         {"new": lambda x: _replacement(x, key)},
     ]
@@ -197,7 +237,7 @@ def _replacement(x: Column, key: str) -> Column:
     secret = F.when(e.rlike("^[0-9a-f]+$") & (F.length(e) <= 128), F.substr(h, F.lit(1), F.length(e))).otherwise(_mapped(e, h))
     iban = F.concat(F.substring(e, 1, 2), _mapped(F.substr(e, F.lit(3)), h))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _refilled(e, card)).when(kind.isin("phone", "ssn"), _refilled(e, x["digits"]))
-    return out.when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "name", _name(x, key)).otherwise(e)
+    return out.when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "name", _name(x)).otherwise(e)
 
 
 def matches(text: Column) -> Column:
@@ -206,23 +246,37 @@ def matches(text: Column) -> Column:
 
 
 def entity_table(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, canon, e): e is the least written form of an entity."""
+    """Distinct (kind, canon, e): e is the least written form of an entity.  A name counts by its parts."""
     e = docs.select(F.explode(F.array_distinct(matches(F.col("text")))).alias("e"))
     typed = e.groupBy("e").count().select("e", _kind(F.col("e")).alias("kind")).where("kind is not null")
-    return typed.select("kind", _canon(F.col("e"), F.col("kind")).alias("canon"), "e").groupBy("kind", "canon").agg(F.min("e").alias("e"))
+    whole = typed.where("kind <> 'name'").select("kind", _canon(F.col("e"), F.col("kind")).alias("canon"), "e")
+    parts = typed.where("kind = 'name'").select("e", F.explode(_name_parts(F.col("e"))).alias("part")).select("part.kind", "part.canon", "e")
+    return whole.unionByName(parts).groupBy("kind", "canon").agg(F.min("e").alias("e"))
+
+
+def _name_parts(e: Column) -> Column:
+    """Array of (kind, canon) of the parts of a name."""
+    items = F.array(F.struct(e.alias("e"), F.lit("name").alias("kind")))
+    for step in NAME_STEPS:
+        items = _with(items, **step)
+    part = lambda kind, canon: F.struct(F.lit(kind).alias("kind"), canon.alias("canon"))
+    found = F.transform(items, lambda x: F.array(part("family", _family_canon(x, x["family"])), part("given", F.when(x["given"] != "", _given_canon(x, x["given"])))))
+    return F.filter(F.flatten(found), lambda p: p["canon"].isNotNull())
 
 
 def exceptions(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     """(kind, canon, attempt) of the entities that can't keep their first candidate, and their number."""
     known = materialise(entity_table(docs).withColumn("attempt", F.lit(0)), "entities")
-    everyone = known.select("kind", F.col("canon").alias("taken"))
+    everyone = known.select("kind", F.col("canon").alias("s"), F.lit(True).alias("taken"))
     for _ in range(MOST_ATTEMPTS):
-        with_new = known.withColumn("x", annotated(F.array("e"), key, lambda x: F.col("attempt"))[0])
-        with_new = with_new.select("kind", "canon", "e", "attempt", F.col("x.new").alias("new")).withColumn("s", _canon(F.col("new"), F.col("kind"))).drop("new")
-        # names may repeat: coreference binds them to their parts
+        own = lambda kind, canon: F.when(F.col("kind") == kind, F.col("attempt")).otherwise(0)
+        with_new, x = known.withColumn("x", annotated(F.array("e"), key, own)[0]), F.col("x")
+        s = F.when(F.col("kind") == "family", _family_canon(x, x["new_family"])).when(F.col("kind") == "given", _given_canon(x, x["new_given"]))
+        with_new = with_new.select("kind", "canon", "e", "attempt", s.otherwise(_canon(x["new"], F.col("kind"))).alias("s"))
+        with_new = materialise(with_new, "entities")
         firsts = with_new.groupBy("kind", "s").agg(F.min(F.struct(-F.col("attempt"), F.col("canon")))["canon"].alias("owner"))
-        judged = with_new.join(firsts, ["kind", "s"]).join(everyone, (with_new.kind == everyone.kind) & (with_new.s == everyone.taken), "left").drop(everyone.kind)
-        clash = ((F.col("canon") != F.col("owner")) | F.col("taken").isNotNull()) & (F.col("kind") != "name")
+        judged = with_new.join(firsts, ["kind", "s"]).join(everyone, ["kind", "s"], "left")
+        clash = (F.col("canon") != F.col("owner")) | F.col("taken").isNotNull()
         after = materialise(judged.select("kind", "canon", "e", (F.col("attempt") + clash.cast("int")).alias("attempt"), clash.alias("clash")), "entities")
         known, n = after.drop("clash"), after.where("clash").count()
         if not n:
@@ -244,14 +298,14 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-v1") -> DataFrame:
     rare, n = exceptions(own, key)
     found = own.withColumn("ents", matches(F.col("text")))
     if not n:
-        attempt = lambda x: F.lit(0)
+        attempt = lambda kind, canon: F.lit(0)
     elif n <= LITERAL_EXCEPTIONS:
         pairs = [x for r in rare.collect() for x in (F.lit(f"{r['kind']}\u001f{r['canon']}"), F.lit(r["attempt"]))]  # at most LITERAL_EXCEPTIONS rows
         table = F.create_map(*pairs)
-        attempt = lambda x: F.coalesce(F.element_at(table, F.concat_ws("\u001f", x["kind"], x["canon"])), F.lit(0))
+        attempt = lambda kind, canon: F.coalesce(F.element_at(table, F.concat_ws("\u001f", kind, canon)), F.lit(0))
     else:
         found = _with_attempts(found, rare)
-        attempt = lambda x: F.coalesce(F.element_at(F.col("tries"), x["e"]), F.lit(0))
+        attempt = lambda kind, canon: F.coalesce(F.element_at(F.col("tries"), F.concat_ws("\u001f", kind, canon)), F.lit(0))
     some = found.withColumn("done", F.when(F.size("ents") > 0, annotated(F.col("ents"), key, attempt)))
     some = some.withColumn("done", F.transform("done", lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("new"))))
     new = F.col("done.new")
@@ -270,6 +324,10 @@ def _with_attempts(found: DataFrame, rare: DataFrame) -> DataFrame:
     """Adds tries: attempt of each rare entity of a text, joined by entity, then by text."""
     keyed = found.withColumn("text_key", F.when(F.size("ents") > 0, F.sha2("text", 256)))
     each = keyed.where("text_key is not null").select("text_key", F.explode(F.array_distinct("ents")).alias("e")).distinct()
-    each = each.withColumn("kind", _kind(F.col("e"))).withColumn("canon", _canon(F.col("e"), F.col("kind")))
-    tries = each.join(rare, ["kind", "canon"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("tries"))
+    here = each.withColumn("kind", _kind(F.col("e")))
+    whole = here.where("kind <> 'name'").select("text_key", "kind", _canon(F.col("e"), F.col("kind")).alias("canon"))
+    parts = here.where("kind = 'name'").select("text_key", F.explode(_name_parts(F.col("e"))).alias("part")).select("text_key", "part.kind", "part.canon")
+    each = whole.unionByName(parts).distinct()
+    entry = F.struct(F.concat_ws("\u001f", "kind", "canon").alias("k"), F.col("attempt").alias("v"))
+    tries = each.join(rare, ["kind", "canon"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(entry)).alias("tries"))
     return keyed.join(tries, "text_key", "left").drop("text_key")

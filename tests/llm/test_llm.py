@@ -124,6 +124,19 @@ def test_pii(spark, none):
     assert pii.replace_entities(none).count() == 0
 
 
+@pytest.mark.parametrize("literal", [500, 0])
+def test_pii_names_stay_distinct(spark, monkeypatch, literal):
+    monkeypatch.setattr(pii, "LITERAL_EXCEPTIONS", literal)
+    many = [f"{a}{b}" for a in "Ab Be Ci Do Eg Fa".split() for b in "bert dan gor lin mar nos pet".split()]
+    names = [f"Mr {g} Smith" for g in many] + [f"Κύριος {g} Παππάς" for g in "Ανδρέας Βασίλης Γρηγόρης Ερμής Ζήνων Θωμάς Ιάσων Κίμων Λάζαρος Μάρκος".split()]
+    names += ["Mr Lokatabo", "Mr Smith", "Mr Abbert Jones", "Mrs Abbert Smith"]  # the first is Smith's first candidate
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(names)], "doc_id long, text string, source string")
+    new = [r.text for r in sorted(pii.replace_entities(d).collect())]
+    assert len(set(new)) == len(names) and not set(new) & set(names)
+    family = {n.split(" ")[-1] for n in new[:42]}
+    assert family == {new[-3].split(" ")[1]} == {new[-1].split(" ")[-1]} and family != {new[-2].split(" ")[-1]}
+
+
 def test_near_duplicates_brute_force(spark, odd, none):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
     assert {(1, 3, 1, True), (5, 3, 1, False), (2, 0, 2, True), (4, 0, 4, True), (None, 3, None, True), (7, 29_997, 6, False), (9, 1, 9, True), (10, 1, 9, False)} <= got
