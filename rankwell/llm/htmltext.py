@@ -46,6 +46,9 @@ LABELLED = [
     (60, 0.0, 4, 1.0, 80, 0.0, 1, 0, 1), (120, 0.05, 60, 0.0, 40, 0.0, 1, 0, 1), (25, 0.0, 90, 0.0, 70, 0.0, 1, 0, 1), (11, 0.0, 60, 0.0, 55, 0.0, 1, 0, 1),
     (8, 0.0, 2, 1.0, 90, 0.0, 1, 1, 1), (40, 0.1, 8, 0.0, 5, 1.0, 1, 0, 1), (16, 0.0, 30, 0.0, 2, 0.0, 1, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
     (5, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0), (30, 0.9, 2, 1.0, 3, 1.0, 1, 0, 0), (3, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0), (2, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0),
+    (60, 0.0, 40, 0.0, 1, 1.0, 2, 0, 1), (90, 0.02, 70, 0.0, 3, 1.0, 2, 0, 1), (8, 0.0, 60, 0.0, 2, 1.0, 2, 0, 1), (150, 0.0, 80, 0.0, 12, 1.0, 2, 0, 1),
+    (3, 1.0, 3, 1.0, 2, 1.0, 2, 0, 1), (2, 1.0, 45, 0.0, 1, 1.0, 2, 0, 1), (5, 1.0, 4, 1.0, 8, 1.0, 2, 0, 1), (55, 0.1, 3, 1.0, 6, 0.9, 2, 0, 1),
+    (1, 0.0, 20, 0.0, 3, 1.0, 2, 0, 1), (48, 0.9, 5, 1.0, 5, 1.0, 2, 0, 1), (6, 0.0, 3, 1.0, 2, 1.0, 2, 1, 1), (2, 1.0, 2, 1.0, 1, 1.0, 2, 0, 1), (7, 0.0, 20, 0.0, 20, 0.0, 1, 0, 1),
     (15, 0.7, 60, 0.0, 2, 1.0, 1, 0, 0), (6, 0.5, 5, 1.0, 40, 0.0, 1, 0, 0), (4, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0), (50, 0.8, 12, 1.0, 9, 1.0, 1, 0, 0),
 ]
 
@@ -91,14 +94,19 @@ def _zone(tag: str, attrs: str, above: int) -> int:
         return 0
     if tag == "header":
         return 3 if above in (2, 3) else 0
+    within = above
     if attrs and ("class" in attrs.lower() or "id" in attrs.lower() or "role" in attrs.lower() or "hidden" in attrs.lower()):
         for name, *values in ATTR.findall(attrs):
             name, value = name.lower(), next((v for v in values if v), "")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return 0
-            if name in ("class", "id", "role") and tag not in ("html", "body") and tag not in BODY and HINT.search(value):
-                return 0
-    return 2 if tag in BODY else above
+            if name in ("class", "id", "role") and tag not in ("html", "body") and tag not in BODY:
+                hints = {m[0].strip().strip("_-").lower() for m in HINT.finditer(value)}
+                if hints == {"header"} and above in (2, 3):  # as a header element: its heading is the article's
+                    within = 3
+                elif hints:
+                    return 0
+    return 2 if tag in BODY else within
 
 
 def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:

@@ -196,6 +196,19 @@ def test_page_text(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_page_text_keeps_the_article():
+    long, links = "word " * 60, "".join(f"<li><a href='#'>Link {i}</a></li>" for i in range(4))
+    page = f"<nav><a>Home</a></nav><article><div class='entry-header'><h1>Head line</h1><div>By line</div></div><p>{long}</p><p>Short end.</p><ul>{links}</ul><p>{long}last</p></article><footer><a href='#'>Imprint</a></footer><div class=related><a>More</a></div>"
+    want = ["Head line", long.strip(), "Short end.", "Link 0", "Link 1", "Link 2", "Link 3", f"{long}last"]
+    assert htmltext.main_text(page).split("\n") == want
+    assert htmltext.main_text(f"<article><p>{long}</p><ul>{links}</ul></article><footer><a>Imprint</a></footer>").split("\n")[1:] == want[3:7]
+    assert htmltext.main_text(f"<div class='header'><h1>Site</h1></div><article><p>{long}</p><div class='header-ads'>Buy</div></article>") == long.strip()
+    for words in (1, 7, 46, 300):
+        for density in (0.0, 0.5, 1.0):
+            for aw, ad in ((0, 0.0), (1, 1.0), (3, 0.7), (12, 1.0), (200, 0.0)):
+                assert all(htmltext.verdict((words, density, bw, bd, aw, ad, 2, h)) for bw, bd in ((0, 0.0), (2, 1.0), (90, 0.0)) for h in (0, 1))
+
+
 def brute_base(t):
     w = WHITE.findall(t or "")
     lines = [x for x in (t or "").split("\n") if WHITE.search(x)]
