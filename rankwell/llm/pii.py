@@ -29,16 +29,24 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Titles that tell a gender. Fixed values.
 MALE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Don|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Señorita|Doña|Госпожа|Κυρία"
+#: A phone number without country code, and a name with inner capitals or apostrophes.
+_LOCAL = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}++(?:['’]?\p{Lu}\p{Ll}++)*+"
+#: Digits of a card, the likeliest first.
+CARD_DIGITS = [16, 15, 19, 14, 13, 18, 17]
+#: Country codes of one or two digits; others have three.
+_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: One pattern for each type, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,24}(?![\p{L}\p{N}-])",
     "secret": r"(?<=[=:]|[=:][\"']|[=:] |[=:] [\"'])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}+(?![\p{L}\p{N}@.])",
     "ip": rf"(?<![0-9.\p{{L}}]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9\p{{L}}]|\.[0-9])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9-])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+[1-9](?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9])){{6,14}}|{_LOCAL})(?![0-9-])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}.])[0-9](?:[ -]?[0-9]){12,18}+(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    # groups of digits, of which _pieces finds the cards
+    "card": rf"(?<![\p{{L}}\p{{N}}.])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![\p{{L}}\p{{N}}])(?:[ -](?!{_LOCAL}(?![0-9-])|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-]))[0-9]++(?![\p{{L}}\p{{N}}@]|\.[0-9]))*+",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? {_WORD}(?:[ -]{_WORD})?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Given names by gender and script, and syllables of made-up family names. Fixed values.
@@ -78,7 +86,7 @@ def _pick(words: list[str], i: Column) -> Column:
 def _kind(e: Column) -> Column:
     """Type of a match; null if it is none after all."""
     out = F.when(e.rlike("@"), "email").when(e.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
-    out = out.when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(e.rlike(r"^(?:\+|\([0-9]{3}\)|[0-9]{3}-[0-9]{3}-[0-9]{4}$)"), "phone")
+    out = out.when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(e.rlike(rf"^(?:\+[0-9 .()-]+|{_LOCAL})$"), "phone")
     out = out.when(e.rlike(rf"^(?:{MALE}|{FEMALE})\.? "), "name").when(e.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4})+") & F.length(e).between(16, 42), "iban")
     out = out.when(e.rlike(r"^[0-9][0-9 -]*$"), F.when((_check_sum(F.regexp_replace(e, "[^0-9]", "")) == 0), "card"))
     return out.when(e.rlike(r"^[A-Za-z0-9_+/-]{16,}$"), "secret")
@@ -93,7 +101,7 @@ def _check_sum(d: Column, last_doubled: bool = False) -> Column:
 
 
 def _canon(e: Column, kind: Column) -> Column:
-    return F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(e, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind == "email", F.lower(e)).otherwise(e)
+    return F.when(kind == "phone", F.regexp_replace(e, r"(?!^\+)[^0-9]", "")).when(kind.isin("ssn", "card"), F.regexp_replace(e, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind == "email", F.lower(e)).otherwise(e)
 
 
 def _chars(e: Column) -> Column:
@@ -220,7 +228,7 @@ def annotated(ents: Column, key: str, attempt_of) -> Column:
 def _new_digits(x: Column) -> Column:
     """The digits that take the place of a phone's, card's or ssn's."""
     n, d, dig = F.length(x["d"]), x["d"], x["dig"]
-    code = F.length(F.regexp_extract(x["e"], r"^\+([0-9]{1,3}?)(?:[ .(-]|(?<=[0-9]{3}))", 1))
+    code = F.when(x["e"].startswith("+"), F.length(F.regexp_extract(d, _CODE, 1))).otherwise(0)
     phone = F.concat(F.substr(d, F.lit(1), code), x["lead"], F.substr(dig, F.lit(2), n - code - 1))
     card = F.concat(F.substring(d, 1, 1), F.substr(dig, F.lit(1), n - 2))
     return F.when(x["kind"] == "phone", phone).when(x["kind"] == "card", card).when(x["kind"] == "ssn", F.concat(x["lead"], F.substr(dig, F.lit(2), F.lit(8))))
@@ -240,11 +248,45 @@ def _replacement(x: Column, key: str) -> Column:
     return out.when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "name", _name(x)).otherwise(e)
 
 
-def matches(text: Column) -> Column:
+def _pieces(e: Column) -> Column:
+    """A match cut into its cards and what is between them; most are one piece.
+
+    From left to right, the groups of digits that make 13 to 19 digits with a valid check
+    digit are a card; a group that begins none is a piece of its own.
+    """
+    groups = F.split(e, r"(?<=[ -])", -1)
+
+    def take(gs: Column, acc: Column, i: Column) -> Column:
+        def one(last: Column) -> Column:
+            piece = F.regexp_replace(F.array_join(F.slice(gs, i + 1, last - i + 1), ""), "[ -]$", "")
+            return F.transform(F.array(F.struct(piece.alias("piece"), F.regexp_replace(piece, "[^0-9]", "").alias("d"), last.alias("last"))), lambda c: F.when(F.length(c["d"]).between(13, 19), F.when(_check_sum(c["d"]) == 0, F.struct(F.array_position(F.array(*map(F.lit, CARD_DIGITS)), F.length(c["d"])).alias("place"), c["piece"].alias("piece"), c["last"].alias("last")))))[0]
+
+        found = F.array_min(F.filter(F.transform(F.sequence(i, F.least(i + 18, F.size(gs) - 1)), one), lambda c: c.isNotNull()))
+        step = F.transform(F.array(found), lambda c: F.when(c.isNull(), F.struct(F.concat(acc["out"], F.array(gs[i])).alias("out"), (i + 1).alias("next"))).otherwise(
+            F.struct(F.concat(acc["out"], F.filter(F.array(c["piece"], F.regexp_extract(gs[c["last"]], "[ -]?$", 0)), lambda p: p != "")).alias("out"), (c["last"] + 1).alias("next"))))[0]
+        return F.when(i < acc["next"], acc).otherwise(step)
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
+    cut = F.transform(F.array(groups), lambda gs: F.aggregate(F.sequence(F.lit(0), F.size(gs) - 1), start, lambda acc, i: take(gs, acc, i))["out"])[0]
+    return F.when(e.rlike("^[0-9](?:[ -]?[0-9]){12}") & e.rlike("[ -]"), cut).otherwise(F.array(e))
+
+
+def _raw(text: Column) -> Column:
     """All matches of a text.  Every type but names has a digit or an at sign, which is quick to rule out."""
     return F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.rlike(PATTERNS["name"]), F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def matches(text: Column) -> Column:
+    """All matches of a text, cut into pieces."""
+    return F.flatten(F.transform(_raw(text), _pieces))
+
+
+def _between(text: Column) -> Column:
+    """What stands before each piece of a text's matches, and after the last."""
+    counts = F.transform(_raw(text), lambda e: F.size(_pieces(e)))
+    return F.flatten(F.zip_with(F.split(text, ANY, -1), counts, lambda a, n: F.concat(F.array(a), F.array_repeat(F.lit(""), F.coalesce(n, F.lit(1)) - 1))))
+
+
 def entity_table(docs: DataFrame) -> DataFrame:
     """Distinct (kind, canon, e): e is the least written form of an entity.  A name counts by its parts."""
     e = docs.select(F.explode(F.array_distinct(matches(F.col("text")))).alias("e"))
@@ -309,7 +351,7 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-v1") -> DataFrame:
     some = found.withColumn("done", F.when(F.size("ents") > 0, annotated(F.col("ents"), key, attempt)))
     some = some.withColumn("done", F.transform("done", lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("new"))))
     new = F.col("done.new")
-    parts = F.split("text", ANY, -1)
+    parts = _between(F.col("text"))
     joined = F.array_join(F.flatten(F.zip_with(parts, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     text = F.when(F.col("done").isNotNull(), joined).otherwise(F.col("text"))
     kinds = F.filter(F.coalesce(F.col("done.kind"), F.array().cast("array<string>")), lambda k: k.isNotNull())

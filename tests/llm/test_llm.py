@@ -124,6 +124,24 @@ def test_pii(spark, none):
     assert pii.replace_entities(none).count() == 0
 
 
+def test_pii_written_forms(spark):
+    cards = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "4111 1111 1111 1111 5500 0000 0000 0004 x", "9 4111-1111-1111-1111, 12a", "4111 1111 1111 1111 10.1.2.3"]
+    phones = ["+15551234567", "+1 555 1234567", "555.123.4567", "555 123 4567", "(555) 123 4567"]
+    names = ["Mr McDonald", "Mr O'Brien", "Mrs Anna D’Angelo-x", "Mr Adam McDonald said"]
+    texts = cards + phones + names + ["4111 1111 1111 1112 12", "1 " * 3000]
+    d = spark.createDataFrame([(i, f"see {t}", "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = [r.text for r in sorted(pii.replace_entities(d).collect())]
+    for old, new in zip(cards, got, strict=False):
+        assert "1111" not in new and len(new) == len(f"see {old}") or "10.1.2.3" in old and "1111" not in new, (old, new)
+    card = re.sub(r"\D", "", got[0])[:16]
+    assert got[0].endswith(" 12/27") and got[1] == f"see {card} 123" and re.sub(r"\D", "", got[2])[:16] == card and "0004" not in got[2] and got[3].endswith(", 12a") and "10.1.2.3" not in got[4]
+    plus = [re.sub(r"\D", "", t) for t in got[5:7]]
+    bare = {re.sub(r"\D", "", t) for t in got[7:10]}
+    assert plus[0] == plus[1] != "15551234567" and plus[0][0] == "1" and len(bare) == 1 and bare != {"5551234567"}
+    assert not re.search("McDonald|Brien|Angelo|Anna", "".join(got[10:14])) and got[10].split(" ")[-1] == got[13].split(" ")[3]
+    assert got[14:] == [f"see {t}" for t in texts[14:]]
+
+
 @pytest.mark.parametrize("literal", [500, 0])
 def test_pii_names_stay_distinct(spark, monkeypatch, literal):
     monkeypatch.setattr(pii, "LITERAL_EXCEPTIONS", literal)
