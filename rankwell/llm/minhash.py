@@ -82,8 +82,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def least_estimate(either: np.ndarray, similarity: float) -> np.ndarray:
-    """Estimates four standard deviations below the similarity go on to verification."""
-    return similarity - 4 * np.sqrt(similarity * (1 - similarity) / np.maximum(either, 1)) - 1e-9
+    """Estimates down to six standard deviations below the similarity go on to verification."""
+    return similarity - 6 * np.sqrt(similarity * (1 - similarity) / np.maximum(either, 1)) - 1e-9
 
 
 def _pack(shingles: np.ndarray) -> bytes:

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import re
 import zlib
 from itertools import combinations
@@ -178,6 +179,12 @@ def test_near_duplicates_brute_force(spark, odd, none):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("n", [150, 192])
+def test_estimate_loses_no_link(n):
+    least = float(minhash.least_estimate(np.array([n]), 0.85)[0])
+    assert sum(math.comb(n, k) * 0.85**k * 0.15 ** (n - k) for k in range(n + 1) if k / n < least) < 1e-7
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
