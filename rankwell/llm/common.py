@@ -64,6 +64,17 @@ def hand_back() -> None:
         libc.malloc_trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH, unless they are bounded tighter already.
+
+    The settings stay: a plan reads them when it is run, after its operator has returned.
+    """
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, most)
+        if not (now.isdigit() and 0 < int(now) <= int(most)):
+            spark.conf.set(name, most)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow by a function from a batch to dicts of columns."""
     from pyspark.sql.types import StructType
@@ -71,8 +82,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = StructType.fromDDL(schema)
-    for name, most in BATCH.items():
-        df.sparkSession.conf.set(name, most)
+    bound_batches(df.sparkSession)
 
     def run(batches):
         kind = to_arrow_schema(out)

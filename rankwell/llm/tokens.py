@@ -50,6 +50,7 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.size = self.tok.get_vocab_size(with_added_tokens=True)
         spec = json.loads(self.tok.to_str())
         #: whether the normalizer folds case and drops spaces
         self.folds = spec["normalizer"] is not None
@@ -164,6 +165,38 @@ class PieceEncoder:
         return ids, upto[np.searchsorted(starts, s.offsets)]
 
 
+class ByteDecoder:
+    """Bytes of ids of a byte-level vocabulary; ids from size on are reserved ones, without bytes."""
+
+    _open: dict[str, "ByteDecoder"] = {}
+
+    def __init__(self, path: str):
+        enc = PieceEncoder.of(path)
+        if enc.folds:
+            raise ValueError("texts can't be read back from ids of a vocabulary that folds them")
+        self.size = enc.size
+        back = {c: b for b, c in enc.alphabet.items()}
+        pieces = [b""] * (self.size + 16)
+        for token, i in enc.tok.get_vocab(with_added_tokens=True).items():
+            pieces[i] = bytes(back[c] for c in token)
+        self.n = np.array([len(p) for p in pieces])
+        self.at = np.cumsum(self.n) - self.n
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    @classmethod
+    def of(cls, path: str) -> "ByteDecoder":
+        """The worker's decoder of that file."""
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, end to end, and the first byte of each (len + 1 entries)."""
+        n = self.n[ids]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        return self.data[np.repeat(self.at[ids] - edge[:-1], n) + np.arange(edge[-1])], edge
+
+
 def encode_texts(texts: pa.Array, path: str):
     """(row, ids) of each text of an Arrow column, by slices of bounded size."""
     enc = PieceEncoder.of(path)

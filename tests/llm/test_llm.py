@@ -62,6 +62,27 @@ def test_chat_round_trip(spark, none):
     assert chat.format_conversations(c.limit(0)).count() == 0
 
 
+def test_chat_long(spark):
+    """A conversation of 200,000 turns, a turn of 5 MB, repeated turns, extra columns."""
+    many = spark.range(200_000).selectExpr("cast(9 as long) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t ', id) AS text", "1 AS ids")
+    big = "ab ### c\\\\ " * 500_000
+    one = spark.createDataFrame([(8, 0, "assistant", big, 1), (8, 1, "user", "x", 1), (8, 1, "user", "x", 1)], "conv_id long, turn long, role string, text string, ids int")
+    got = {r.conv_id: r for r in chat.format_conversations(many.unionByName(one)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[9].n_turns == 200_000 and got[9].loss_sha256 == sha("".join(f"t {i}" for i in range(1, 200_000, 2)))
+    assert got[9].turns_sha256 == sha("".join(f"{'user' if i % 2 == 0 else 'assistant'}\nt {i}\n" for i in range(200_000)))
+    assert got[8].n_turns == 3 and got[8].loss_sha256 == sha(big) and got[8].turns_sha256 == sha(f"assistant\n{big}\nuser\nx\nuser\nx\n")
+    pieces = chat.render_conversations(chat.assemble(one)).orderBy("char_start").collect()
+    assert chat.parse("".join(p.formatted for p in pieces)) == [("assistant", big), ("user", "x"), ("user", "x")]
+    assert sum(len(p.formatted) for p in pieces) == got[8].formatted_chars
+
+
+def test_chat_escapes(spark):
+    texts = ["\\", "###", "a ## # </turn>", "\\###", "</turn></turn>", "é ### ñ", ""]
+    assert chat._escaped(pa.array(texts)).to_pylist() == [chat.escape(t) for t in texts]
+    assert [chat.unescape(chat.escape(t)) for t in texts] == texts
+
+
 def test_decontamination_edges(spark, odd, none):
     items = spark.createDataFrame([(1, "c D e"), (2, None), (3, "..."), (4, "word5 word6 word7"), (None, "a b")], "item_id long, text string")
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.report(odd, items).collect()}
