@@ -1,8 +1,11 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into blocks at block-level tags.  Each block has its word count and link
-density, those of its neighbours, and the zone of the elements around it.  A small tree,
-trained on the labelled table below, keeps or drops a block.
+density and those of its neighbours; as these alone can't tell a short paragraph from an
+advert of equal length, it also has what the markup says: whether it stands in the
+article or main element, whether the page has one, whether an element that goes around
+articles holds it, and whether it is a heading.  A tree trained on the blocks of the
+labelled pages below keeps or drops it; nothing overrides the tree.
 """
 
 from __future__ import annotations
@@ -23,40 +26,89 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 SILENT = "script style template noscript svg math iframe object canvas textarea title head xmp noembed noframes audio video datalist".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 AROUND = set("nav footer aside form button select option menu dialog label fieldset".split())
-BODY = set("article main".split())
-#: Words in class, id or role that mark what stands around an article.
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|paywall|popup|promo\w*|recommended|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|widget|complementary|contentinfo|search|alert|dialog)(?=$|[\s_-])",
-    re.I,
-)
+#: Elements that hold the article, by how closely.
+INSIDE = {"main": 1, "article": 2}
+#: Words of a class, id or role that mark what stands around an article, wherever they are in a name.
+MARKS = set("advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter pager pagination paywall popup recommended related share sharing sidebar sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words that mark it only as the last word of a name: tag-list, but not tag-politics.
+LAST_MARKS = MARKS | set("ad ads alert banner complementary contentinfo dialog header legal login notice promo promos replies reply respond search signup skip social tag tags".split())
+#: Last words of a name that say nothing.
+PLAIN = set("area bar block box container content group inner item items links list outer panel row section slot unit wrap wrapper".split())
+#: First words of a name that say what its element has, not what it is.
+HAS = set("has have hide is js no not with without".split())
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in SILENT}
 SPACE = re.compile(r"\s+")
 
-#: Labelled blocks: words, link density, words before, its link density, words after, its link
-#: density, zone (0 around the article, 1 neither, 2 in the article), heading; keep.  Fixed values.
+_T = lambda n: " ".join(["word"] * n)
+_A = lambda n: f"<a href='#'>{_T(n)}</a>"
+_NAV = "<nav><ul>" + "".join(f"<li>{_A(n)}</li>" for n in (1, 2, 1)) + "</ul></nav>"
+_MENU = "<ul>" + "".join(f"<li>{_A(n)}</li>" for n in (1, 2, 1, 3)) + "</ul>"
+_P = lambda *lengths: "".join(f"<p>{_T(n)}</p>" for n in lengths)
+#: Lengths of which each follows each.
+_ANY = (1, 1, 3, 1, 12, 1, 40, 1, 150, 3, 3, 12, 3, 40, 3, 150, 12, 12, 40, 12, 150, 40, 40, 150, 150, 1)
+#: Labelled pages: markup, and of each of its blocks in order whether it is of the main text.  Fixed values.
 LABELLED = [
-    (6, 1.0, 0, 0.0, 5, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0, 0, 0), (12, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0),
-    (30, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0), (80, 0.0, 60, 0.0, 3, 0.0, 0, 0, 0), (9, 0.2, 120, 0.0, 0, 0.0, 0, 0, 0), (45, 0.1, 0, 0.0, 8, 1.0, 0, 0, 0),
-    (200, 0.0, 9, 0.0, 0, 0.0, 0, 0, 0), (4, 0.0, 0, 0.0, 90, 0.0, 0, 1, 0), (3, 0.0, 3, 1.0, 20, 0.0, 0, 1, 0), (25, 0.6, 2, 1.0, 2, 1.0, 0, 0, 0),
-    (10, 0.0, 8, 0.0, 60, 0.0, 2, 1, 1), (60, 0.0, 10, 0.0, 45, 0.0, 2, 0, 1), (1, 0.0, 40, 0.0, 50, 0.0, 2, 0, 1), (3, 0.0, 1, 0.0, 70, 0.0, 2, 0, 1),
-    (150, 0.02, 60, 0.0, 9, 0.0, 2, 0, 1), (2, 1.0, 60, 0.0, 55, 0.0, 2, 0, 1), (18, 0.5, 40, 0.0, 30, 0.0, 2, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 2, 0, 1),
-    (7, 0.0, 0, 0.0, 12, 0.0, 2, 0, 1), (400, 0.1, 3, 0.0, 0, 0.0, 2, 0, 1), (5, 0.0, 200, 0.0, 9, 0.2, 2, 0, 1), (4, 1.0, 4, 0.0, 4, 1.0, 2, 0, 1),
-    (60, 0.0, 4, 1.0, 80, 0.0, 1, 0, 1), (120, 0.05, 60, 0.0, 40, 0.0, 1, 0, 1), (25, 0.0, 90, 0.0, 70, 0.0, 1, 0, 1), (11, 0.0, 60, 0.0, 55, 0.0, 1, 0, 1),
-    (8, 0.0, 2, 1.0, 90, 0.0, 1, 1, 1), (40, 0.1, 8, 0.0, 5, 1.0, 1, 0, 1), (16, 0.0, 30, 0.0, 2, 0.0, 1, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    (5, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0), (30, 0.9, 2, 1.0, 3, 1.0, 1, 0, 0), (3, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0), (2, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0),
-    (60, 0.0, 40, 0.0, 1, 1.0, 2, 0, 1), (90, 0.02, 70, 0.0, 3, 1.0, 2, 0, 1), (8, 0.0, 60, 0.0, 2, 1.0, 2, 0, 1), (150, 0.0, 80, 0.0, 12, 1.0, 2, 0, 1),
-    (3, 1.0, 3, 1.0, 2, 1.0, 2, 0, 1), (2, 1.0, 45, 0.0, 1, 1.0, 2, 0, 1), (5, 1.0, 4, 1.0, 8, 1.0, 2, 0, 1), (55, 0.1, 3, 1.0, 6, 0.9, 2, 0, 1),
-    (1, 0.0, 20, 0.0, 3, 1.0, 2, 0, 1), (48, 0.9, 5, 1.0, 5, 1.0, 2, 0, 1), (6, 0.0, 3, 1.0, 2, 1.0, 2, 1, 1), (2, 1.0, 2, 1.0, 1, 1.0, 2, 0, 1), (7, 0.0, 20, 0.0, 20, 0.0, 1, 0, 1),
-    (15, 0.7, 60, 0.0, 2, 1.0, 1, 0, 0), (6, 0.5, 5, 1.0, 40, 0.0, 1, 0, 0), (4, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0), (50, 0.8, 12, 1.0, 9, 1.0, 1, 0, 0),
+    (f"{_NAV}<div>{_T(12)}</div><article><h1>{_T(9)}</h1>{_P(60, 1, 4, 150, 3)}</article><footer>{_T(9)}</footer>", "0000 111111 0"),
+    (f"{_NAV}<div>{_T(30)}</div><article><h2>{_T(3)}</h2>{_P(2, 20, 7)}{_MENU}{_P(40)}</article><div>{_T(80)}</div><div>{_A(3)}</div>", "0000 1111 1111 1 00"),
+    (f"<header><h1>{_T(2)}</h1></header><article><header><h1>{_T(6)}</h1><p>{_T(3)}</p></header>{_P(90, 5)}<aside>{_T(25)}</aside>{_P(1)}<div class='comments'>{_P(40, 60)}</div></article>", "0 10 11 0 1 00"),
+    (f"<article>{_P(200)}<footer>{_A(1)}</footer></article><footer>{_A(1)}{_T(8)}</footer>", "1 00"),
+    (f"<article>{_P(45, 30)}</article><nav>{_A(1)}</nav>", "11 0"),
+    (f"<article><p>{_A(12)}</p>{_P(3)}<p>{_A(2)} {_T(40)}</p></article><p>{_T(70)}</p><ul><li>{_A(6)}</li></ul>", "111 00"),
+    (f"<main>{_NAV}<h1>{_T(7)}</h1><article>{_P(80, 2)}</article><h2>{_T(2)}</h2>{_P(25)}</main>{_P(9)}", "000 1 11 00 0"),
+    (f"{_MENU}<main><h1>{_T(5)}</h1>{_P(2, 100, 30)}{_MENU}</main><div>{_T(40)}</div><h2>{_T(2)}</h2>", "0000 1 111 1111 00"),
+    (f"<div>{_T(10)}</div><main>{_P(8, 1, 60)}<form>{_T(5)}</form></main><h3>{_T(2)}</h3>{_MENU}", "0 111 0 00000"),
+    (f"{_MENU}<h1>{_T(8)}</h1>{_P(90, 25, 60, 11, 40)}<div>{_A(1)} {_A(1)}</div>", "0000 1 11111 0"),
+    (f"<div>{_A(2)}</div><h1>{_T(4)}</h1>{_P(30, 45, 18)}{_MENU}<p>{_T(3)}</p>", "0 1 111 0000 0"),
+    (f"<h1>{_T(6)}</h1>{_P(50)}<p>{_T(20)} {_A(3)} {_T(20)}</p>{_P(6, 70)}<h2>{_T(3)}</h2>{_P(35, 120)}<div>{_A(5)} {_A(4)}</div>", "1 1 1 11 1 11 0"),
+    (f"<div class='sidebar'>{_P(60, 30)}</div><div class='cookie-notice'>{_T(25)}</div>{_P(70, 15, 80)}<div class='comments'>{_P(50, 90)}</div><footer>{_T(20)}</footer>", "00 0 111 00 0"),
+    (f"{_NAV}<div>{_T(8)} {_A(6)}</div>{_P(120, 22)}<div>{_T(2)} {_A(9)}</div>", "000 0 11 0"),
+    (f"<div>{_P(*_ANY)}</div><article>{_P(*_ANY)}{_MENU}{_P(2)}{_MENU}{_P(55)}{_MENU}</article>{_P(*_ANY)}", "0" * 26 + "1" * 40 + "0" * 26),
+    (f"{_P(*_ANY)}<main>{_P(*_ANY)}{_MENU}{_P(2)}{_MENU}{_P(55)}{_MENU}</main>{_P(*_ANY)}", "0" * 26 + "1" * 40 + "0" * 26),
+    (f"<article>{_MENU}<div class='share'>{_P(3, 40, 1)}</div>{_P(1)}<aside>{_P(1, 150)}</aside>{_P(2)}</article>", "1111 000 1 00 1"),
+    (f"{_NAV}<div><h1>{_T(2)}</h1>{_P(16, 32)}</div><div>{_T(2)}</div>", "000 1 11 0"),
+    (f"<div>{_T(1)}</div><div><h1>{_T(1)}</h1>{_P(40, 2, 60, 3, 25)}<h2>{_T(1)}</h2>{_P(30)}</div><p>{_T(3)} {_A(2)}</p>", "0 1 11111 1 1 0"),
+    (f"{_MENU}<div><h2>{_T(1)}</h2>{_P(14)}<h2>{_T(3)}</h2>{_P(18, 75)}</div><div>{_A(1)} {_A(2)}</div><div>{_T(2)}</div>", "0000 1 1 1 11 0 0"),
+    (f"{_P(20)}", "1"),
+    (f"{_P(1)}", "1"),
+    (f"{_P(4)}", "1"),
+    (f"{_P(9)}", "1"),
+    (f"<p>{_T(60)}</p><p>{_T(50)}</p>", "11"),
+    (f"{_MENU}<div>{_A(5)}</div>", "0000 0"),
+    (f"<form>{_T(2)}</form><div><h1>{_T(5)}</h1>{_P(14, 55, 9, 80)}</div><aside>{_P(30)}</aside>", "0 1 1111 0"),
+    (f"<div>{_T(30)} {_A(27)}</div><div>{_A(2)}</div>{_P(65, 33)}", "0 0 11"),
 ]
 
 
+def features(found: list[tuple]) -> list[tuple]:
+    """Of each block: words, link density, those of the block before and of the block after, the
+    highest place of the page (2 an article, 1 main, 0 neither), how far below it the block stands,
+    whether an element around articles holds it, and heading (2 the first level, 1 others)."""
+    top = max((b[3] for b in found if not b[4]), default=0)
+    none = (None, 0, 0.0)
+    sides = zip([none, *found], [*found[1:], none], strict=False)
+    return [(w, d, before[1], before[2], after[1], after[2], top, top - inside, int(around), heading) for (_, w, d, inside, around, heading), (before, after) in zip(found, sides, strict=False)]
+
+
+@cache
+def labelled() -> np.ndarray:
+    """The training table: features of each labelled block, and whether it is kept."""
+    rows = []
+    for page, kept in LABELLED:
+        found, flags = features(blocks(page)), kept.replace(" ", "")
+        assert len(found) == len(flags), (page, len(found))
+        rows += [(*f, int(k)) for f, k in zip(found, flags, strict=True)]
+    return np.array(rows, float)
+
+
 @cache
-def tree(depth: int = 5):
-    """CART by Gini impurity on LABELLED: (feature, cut, below, above) or a verdict."""
-    data = np.array(LABELLED, float)
+def tree(depth: int = 7, without: tuple[int, ...] = ()):
+    """CART by Gini impurity on the labelled blocks: (feature, cut, below, above) or a verdict.
+
+    without names features by number that it may not use.
+    """
 
     def grow(d: np.ndarray, left: int):
         y = d[:, -1]
@@ -65,7 +117,7 @@ def tree(depth: int = 5):
         best = None
         for f in range(d.shape[1] - 1):
             v = np.unique(d[:, f])
-            for cut in (v[1:] + v[:-1]) / 2:
+            for cut in () if f in without else (v[1:] + v[:-1]) / 2:
                 low = d[:, f] <= cut
                 p, q = y[low].mean(), y[~low].mean()
                 gini = low.sum() * p * (1 - p) + (~low).sum() * q * (1 - q)
@@ -76,56 +128,84 @@ def tree(depth: int = 5):
         _, f, cut, low = best
         return (f, cut, grow(d[low], left - 1), grow(d[~low], left - 1))
 
-    return grow(data, depth)
+    return grow(labelled(), depth)
 
 
-def verdict(row: tuple) -> bool:
-    node = tree()
+def verdict(row: tuple, node=None) -> bool:
+    node = tree() if node is None else node
     while not isinstance(node, bool):
         node = node[2] if row[node[0]] <= node[1] else node[3]
     return node
 
 
-def _zone(tag: str, attrs: str, above: int) -> int:
-    """Zone of an element in one of the given zone: what stands around stays around."""
-    if above == 0:
-        return 0
+def _marks(name: str) -> set[str]:
+    """Words of a name that mark what stands around an article."""
+    words = [w.lower() for w in NAME.findall(name)]
+    if not words or words[0] in HAS:
+        return set()
+    while len(words) > 1 and words[-1] in PLAIN:
+        words.pop()
+    return (MARKS & set(words)) | (LAST_MARKS & set(words[-1:]))
+
+
+@cache
+def _named(value: str) -> frozenset[str]:
+    return frozenset().union(*map(_marks, value.split()))
+
+
+def _kind(tag: str, attrs: str) -> str:
+    """'around', 'header' or '' of an element by its tag and attributes."""
     if tag in AROUND:
-        return 0
-    if tag == "header":
-        return 3 if above in (2, 3) else 0
-    within = above
-    if attrs and ("class" in attrs.lower() or "id" in attrs.lower() or "role" in attrs.lower() or "hidden" in attrs.lower()):
+        return "around"
+    kind = "header" if tag == "header" else ""
+    low = attrs.lower()
+    if "class" in low or "id" in low or "role" in low or "hidden" in low:
         for name, *values in ATTR.findall(attrs):
             name, value = name.lower(), next((v for v in values if v), "")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return 0
-            if name in ("class", "id", "role") and tag not in ("html", "body") and tag not in BODY:
-                hints = {m[0].strip().strip("_-").lower() for m in HINT.finditer(value)}
-                if hints == {"header"} and above in (2, 3):  # as a header element: its heading is the article's
-                    within = 3
-                elif hints:
-                    return 0
-    return 2 if tag in BODY else within
-
-
-def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
-    """(text, words, link density, zone, heading) of each block with text."""
+                return "around"
+            if name in ("class", "id", "role") and tag not in ("html", "body") and tag not in INSIDE and len(value) < 500:
+                found = _named(value)
+                if found == {"header"}:
+                    kind = "header"
+                elif found:
+                    return "around"
+    return kind
+
+
+def blocks(page: str) -> list[tuple[str, int, float, int, bool, int]]:
+    """(text, words, link density, place, around, heading) of each block with text.
+
+    An element around articles that holds the page's first heading of the first level,
+    article or main, and at least half of its words, is a wrapper of the page and counts
+    as nothing.  In an article, of a header only headings count.
+    """
     out, parts, linked = [], [], 0
-    stack: list[tuple[str, int]] = []
-    zone, links, heading, at, n = 1, 0, 0, 0, len(page)
+    stack: list[tuple] = []
+    inside, held, header, mark = 0, (), False, ()
+    holds: dict[int, int] = {}  # elements around articles: their words
+    wraps: set[int] = set()  # those that hold the page's first article, main or first heading
+    seen: set[str] = set()
+    links, heading, at, n, total_words = 0, 0, 0, len(page), 0
 
     def close():
-        nonlocal linked
+        nonlocal linked, mark, total_words
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 words = text.count(" ") + 1
                 total = sum(map(len, parts)) or 1
-                keep = zone if zone != 3 else (2 if heading else 0)
-                out.append((text, words, min(1.0, linked / total), keep, bool(heading)))
+                ids = held + mark
+                total_words += words
+                for i in ids:
+                    holds[i] += words
+                out.append((text, words, min(1.0, linked / total), inside, ids, header and not heading, heading))
             parts.clear()
-        linked = 0
+        linked, mark = 0, ()
+
+    def new() -> int:
+        holds[len(holds)] = 0
+        return len(holds) - 1
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -147,17 +227,16 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
         elif tag == "br":
             parts.append(" ")
         if m[1]:
-            if tag in ("p", "br") or not any(t == tag for t, _ in stack):
+            if tag in ("p", "br") or not any(e[0] == tag for e in stack):
                 if tag == "a":
                     links = 0
                 continue
             while stack:
-                t, z = stack.pop()
+                t, inside, held, header = stack.pop()
                 if t == "a":
                     links = 0
                 if t[0] == "h" and t[1:].isdigit():
                     heading = 0
-                zone = z
                 if t == tag:
                     break
             continue
@@ -174,33 +253,35 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
                 else:
                     at = end.end() if end else n
             continue
-        if tag == "p":  # a paragraph ends at the next block; only what its attributes say counts
-            if _zone(tag, m[3], zone) == 0 and zone:
-                end = re.compile(r"</p\b[^>]*>|<(?:p|div|article|section|footer|h[1-6]|ul|ol|table)\b", re.I).search(page, at)
-                at = n if end is None else (end.end() if end[0].startswith("</") else end.start())
+        kind = _kind(tag, m[3])
+        if tag == "p":  # a paragraph ends at the next block and is on no stack
+            if kind:
+                mark = (new(),)
             continue
         if tag == "a":
             links = 1
         if tag[0] == "h" and tag[1:].isdigit():
-            heading = 1
-        stack.append((tag, zone))
-        zone = _zone(tag, m[3], zone)
+            heading = 2 if tag == "h1" else 1
+        stack.append((tag, inside, held, header))
+        if kind == "around" or kind == "header" and not inside:
+            held = (*held, new())
+        elif kind == "header":
+            header = True
+        if tag in INSIDE or tag == "h1":
+            if tag not in seen:
+                seen.add(tag)
+                wraps.update(held)
+            if tag in INSIDE:
+                inside, header = max(inside, INSIDE[tag]), False
     close()
-    return out
+    wide = {i for i in wraps if 2 * holds[i] >= total_words}
+    return [(t, w, d, place, aside or not wide.issuperset(ids), h) for t, w, d, place, ids, aside, h in out]
 
 
 def main_text(page: str | None) -> str:
     """Text of the blocks that the tree keeps, one to a line."""
     found = blocks(page or "")
-    if any(b[3] == 2 for b in found):  # a page that marks its article has its text there
-        found = [(t, w, d, z if z == 2 else 0, h) for t, w, d, z, h in found]
-    kept = []
-    for i, (text, words, density, zone, heading) in enumerate(found):
-        _, bw, bd, *_ = found[i - 1] if i else ("", 0, 0.0)
-        _, aw, ad, *_ = found[i + 1] if i + 1 < len(found) else ("", 0, 0.0)
-        if verdict((words, density, bw, bd, aw, ad, zone, int(heading))):
-            kept.append(text)
-    return "\n".join(kept)
+    return "\n".join(b[0] for b, row in zip(found, features(found), strict=True) if verdict(row))
 
 
 def extract(pages: DataFrame) -> DataFrame:

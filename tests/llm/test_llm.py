@@ -5,6 +5,7 @@ import io
 import math
 import re
 import zlib
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -252,7 +253,96 @@ def test_page_text_keeps_the_article():
     for words in (1, 7, 46, 300):
         for density in (0.0, 0.5, 1.0):
             for aw, ad in ((0, 0.0), (1, 1.0), (3, 0.7), (12, 1.0), (200, 0.0)):
-                assert all(htmltext.verdict((words, density, bw, bd, aw, ad, 2, h)) for bw, bd in ((0, 0.0), (2, 1.0), (90, 0.0)) for h in (0, 1))
+                assert all(htmltext.verdict((words, density, bw, bd, aw, ad, 2, 0, 0, h)) for bw, bd in ((0, 0.0), (2, 1.0), (90, 0.0)) for h in (0, 1))
+
+
+class ArticleOnly(HTMLParser):
+    """Main text of a page by the standard library's parser: blocks inside article, less what goes around."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.lines, self.now = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        self.lines += [text] if text else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("a", "b", "br"):
+            self.cut()
+        self.now += [" "] if tag == "br" else []
+        if tag not in ("br", "meta", "p", "input"):
+            self.open.append((tag, dict(attrs).get("class") in ("ad", "comments", "sidebar", "cookie-notice") or tag in ("nav", "aside", "footer", "form", "script", "style")))
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b"):
+            self.cut()
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(out for _, out in self.open):
+            self.now.append(data)
+
+
+def article_only(page):
+    p = ArticleOnly()
+    p.feed(page or "")
+    p.close()
+    p.cut()
+    return "\n".join(p.lines)
+
+
+def test_page_text_of_the_table(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r for r in htmltext.extract(pages).collect()}
+    assert set(got) == set(html)
+    for i, r in got.items():
+        assert r.text == article_only(html[i]) and r.n_chars == len(r.text)
+
+
+LOREM = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore."
+#: Pages of several shapes: markup and main text.
+SHAPES = [
+    (f"<nav><a>Home</a></nav><div class='post type-post tag-politics category-news'><h1>Title here</h1><p>{LOREM}</p><p>{LOREM} {LOREM}</p></div><footer>Imprint</footer>", f"Title here\n{LOREM}\n{LOREM} {LOREM}"),
+    (f"<form id=aspnet><nav><a>Home</a></nav><article><h1>Title</h1><p>{LOREM}</p><p>Yes.</p></article></form>", f"Title\n{LOREM}\nYes."),
+    (f"<article><p>{LOREM}</p><p>{LOREM}</p></article><nav><a href='#'>Home</a></nav>", f"{LOREM}\n{LOREM}"),
+    (f"<div id='page' class='has-sidebar'><main><h1>T</h1><p>{LOREM}</p><div class='share-links'><a>Tweet</a></div></main><div class='sidebar-widget'><p>{LOREM}</p></div></div>", f"T\n{LOREM}"),
+    (f"<article><h1>T</h1><p>{LOREM}</p><form>Mail <input><button>Go</button></form><section id='comments'><article class='comment'><p>{LOREM}</p></article></section></article>", f"T\n{LOREM}"),
+    (f"<ul><li><a>a</a></li><li><a>b c</a></li></ul><h1>Old school page</h1><p>{LOREM}</p><p>{LOREM}</p><p><a>more of this</a></p><div class='CookieNotice'>{LOREM}</div>", f"Old school page\n{LOREM}\n{LOREM}"),
+    (f"<article><h1>T</h1><div class='ad-container'>Buy now</div><p>{LOREM}</p><div class='newsletter signup'>{LOREM}</div><ul><li>One</li><li><a>Two</a></li></ul></article>", f"T\n{LOREM}\nOne\nTwo"),
+    (f"<article><header><h1>T</h1><p>By me</p></header><p class='lead'>{LOREM}</p><p class='advert'>Buy</p><p>x</p></article><p>{LOREM}</p>", f"T\n{LOREM}\nx"),
+    (f"<div role='banner'>Site</div><div><h2>Part</h2><p>{LOREM}</p></div><div role='contentinfo'>{LOREM}</div>", f"Part\n{LOREM}"),
+    ("<p>&lt;b&gt; &amp;amp; &#233; &eacute;&nbsp;x</p>", "<b> &amp; é é x"),
+]
+
+
+def test_page_text_shapes():
+    hit = got = want = 0
+    for page, text in SHAPES:
+        a, b = htmltext.main_text(page).split("\n"), text.split("\n")
+        hit, got, want = hit + len(set(a) & set(b)), got + len(a), want + len(b)
+        assert a == b, (page, a)
+    assert hit == got == want
+
+
+def test_page_text_names(monkeypatch):
+    """The list of names decides few verdicts, and none of a page that marks its article with nothing inside it."""
+    import duckdb
+
+    html = [x for (x,) in duckdb.sql(f"SELECT html FROM read_parquet('{SF}/pages.parquet')").fetchall()]
+    with_names = [htmltext.main_text(x) for x in html]
+    monkeypatch.setattr(htmltext, "_named", lambda value: frozenset())
+    assert [htmltext.main_text(x) for x in html] == with_names
+
+
+def test_page_text_long():
+    page = "<article>" + "".join(f"<p>{LOREM} {i}</p>" for i in range(20_000)) + "</article><footer>x</footer>"
+    assert htmltext.main_text(page).count("\n") == 19_999
+    assert len(htmltext.main_text("<article><p>" + "wort " * 500_000)) == 2_499_999
 
 
 def brute_base(t):
