@@ -12,14 +12,17 @@ names under one family name, gender and script.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import DOCUMENTS, materialise
+from rankwell.llm.common import DOCUMENTS, discard, materialise
 
+#: Setting of the session that holds the key of the replacements.
+KEY_SETTING = "spark.rankwell.surrogates.key"
 #: Exceptions that fit into an expression; more are joined.
 LITERAL_EXCEPTIONS = 500
-MOST_ATTEMPTS = 40
+#: Rounds without progress after which there are more entities of a format than replacements.
+IDLE_ROUNDS = 12
 #: From this attempt on, a replacement may be longer than its entity.
 LONGER_FROM = 6
 #: Most syllables added to a part of a name, one for each attempt.
@@ -32,6 +35,7 @@ FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Señorita|Doña|Госпожа
 #: A phone number without country code, and a name with inner capitals or apostrophes.
 _LOCAL = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 _WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}++(?:['’]?\p{Lu}\p{Ll}++)*+"
+SECRET_FORM = r"^[A-Za-z0-9_+/-]{16,}$"
 #: Digits of a card, the likeliest first.
 CARD_DIGITS = [16, 15, 19, 14, 13, 18, 17]
 #: Country codes of one or two digits; others have three.
@@ -87,9 +91,20 @@ def _kind(e: Column) -> Column:
     """Type of a match; null if it is none after all."""
     out = F.when(e.rlike("@"), "email").when(e.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
     out = out.when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(e.rlike(rf"^(?:\+[0-9 .()-]+|{_LOCAL})$"), "phone")
-    out = out.when(e.rlike(rf"^(?:{MALE}|{FEMALE})\.? "), "name").when(e.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4})+") & F.length(e).between(16, 42), "iban")
+    out = out.when(e.rlike(rf"^(?:{MALE}|{FEMALE})\.? "), "name").when(e.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4})+"), F.when((_remainder(_iban_order(F.regexp_replace(e, " ", ""))) == 1) & F.length(e).between(16, 42), "iban").when(e.rlike(SECRET_FORM), "secret"))
     out = out.when(e.rlike(r"^[0-9][0-9 -]*$"), F.when((_check_sum(F.regexp_replace(e, "[^0-9]", "")) == 0), "card"))
-    return out.when(e.rlike(r"^[A-Za-z0-9_+/-]{16,}$"), "secret")
+    return out.when(e.rlike(SECRET_FORM), "secret")
+
+
+def _iban_order(e: Column) -> Column:
+    """An account number without blanks, its country and check digits last."""
+    return F.concat(F.substr(e, F.lit(5)), F.substring(e, 1, 4))
+
+
+def _remainder(e: Column) -> Column:
+    """Modulo 97 of upper-case letters and digits, where A is 10 and Z is 35."""
+    digit = lambda c: c.rlike("[0-9]")
+    return F.aggregate(_chars(e), F.lit(0), lambda a, c: F.when(digit(c), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
 def _check_sum(d: Column, last_doubled: bool = False) -> Column:
@@ -128,10 +143,11 @@ def _mapped(e: Column, h: Column) -> Column:
     return F.array_join(F.transform(drawn, one), "")
 
 
-def _refilled(e: Column, digits: Column) -> Column:
-    """e with its digits replaced in turn."""
-    nth = lambda i: F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), "[^0-9]", ""))
-    return F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, nth(i), F.lit(1))).otherwise(c)), "")
+def _refilled(e: Column, new: Column, kind: str = "[0-9]") -> Column:
+    """e with its characters of a kind, the digits, replaced in turn."""
+    other = f"[^{kind[1:]}" if kind[1] != "^" else f"[{kind[2:]}"
+    nth = lambda i: F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), other, ""))
+    return F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike(kind), F.substr(new, nth(i), F.lit(1))).otherwise(c)), "")
 
 
 def _with(items: Column, **made) -> Column:
@@ -217,6 +233,7 @@ def annotated(ents: Column, key: str, attempt_of) -> Column:
         {"new_family": _family},
         {"new_given": _given},
         {"digits": lambda x: _new_digits(x)},
+        {"account": lambda x: F.when(x["kind"] == "iban", _mapped(F.substr(x["canon"], F.lit(5)), x["h"]))},
         {"new": lambda x: _replacement(x, key)},
     ]
     items = F.transform(ents, lambda e: F.struct(e.alias("e"), _kind(e).alias("kind")))
@@ -243,7 +260,9 @@ def _replacement(x: Column, key: str) -> Column:
     local = _mapped(F.substring_index(F.lower(e), "@", 1), h)
     email = F.concat(local, more, F.lit("@"), _mapped(F.substr(dom, F.lit(1), F.length(dom) - F.length(top)), x["dh"]), top)
     secret = F.when(e.rlike("^[0-9a-f]+$") & (F.length(e) <= 128), F.substr(h, F.lit(1), F.length(e))).otherwise(_mapped(e, h))
-    iban = F.concat(F.substring(e, 1, 2), _mapped(F.substr(e, F.lit(3)), h))
+    country, account = F.substring(x["canon"], 1, 2), x["account"]
+    check = F.lpad((98 - _remainder(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    iban = _refilled(e, F.concat(country, check, account), "[^ ]")
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _refilled(e, card)).when(kind.isin("phone", "ssn"), _refilled(e, x["digits"]))
     return out.when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "name", _name(x)).otherwise(e)
 
@@ -308,9 +327,10 @@ def _name_parts(e: Column) -> Column:
 
 def exceptions(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     """(kind, canon, attempt) of the entities that can't keep their first candidate, and their number."""
-    known = materialise(entity_table(docs).withColumn("attempt", F.lit(0)), "entities")
-    everyone = known.select("kind", F.col("canon").alias("s"), F.lit(True).alias("taken"))
-    for _ in range(MOST_ATTEMPTS):
+    kept = known = materialise(entity_table(docs).withColumn("attempt", F.lit(0)), "entities")
+    everyone = kept.select("kind", F.col("canon").alias("s"), F.lit(True).alias("taken"))
+    left, idle, spent = None, 0, []
+    while left != 0:
         own = lambda kind, canon: F.when(F.col("kind") == kind, F.col("attempt")).otherwise(0)
         with_new, x = known.withColumn("x", annotated(F.array("e"), key, own)[0]), F.col("x")
         s = F.when(F.col("kind") == "family", _family_canon(x, x["new_family"])).when(F.col("kind") == "given", _given_canon(x, x["new_given"]))
@@ -321,17 +341,29 @@ def exceptions(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
         clash = (F.col("canon") != F.col("owner")) | F.col("taken").isNotNull()
         after = materialise(judged.select("kind", "canon", "e", (F.col("attempt") + clash.cast("int")).alias("attempt"), clash.alias("clash")), "entities")
         known, n = after.drop("clash"), after.where("clash").count()
-        if not n:
-            break
-    else:
-        raise RuntimeError("replacements stay ambiguous")
+        for old in (*spent, with_new):  # nothing reads them any more
+            discard(old)
+        spent = [after]
+        idle = idle + 1 if left is not None and n >= left else 0
+        if idle > IDLE_ROUNDS:
+            raise ValueError(f"{n} entities find no replacement of their format that is still free")
+        left = n
+    discard(kept)
     out = known.where("attempt > 0").drop("e")
     return out, out.count()
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogates-v1") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The secret in the setting KEY_SETTING; where it is unset, as in tests, a key that anybody knows."""
+    return spark.conf.get(KEY_SETTING, "known-to-all")
+
+
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """docs' own columns with text replaced, n_chars counted anew, n_entities and kinds.
 
+    key decides the replacements and is to be kept secret.  Names are found after a title
+    only, account numbers by their check digits.
+
     n_entities counts replaced places, kinds lists their types in order.  Null text stays
     null with 0 entities, text without entities stays as it is.  Repeated rows are
     replaced alike; further columns are left out.

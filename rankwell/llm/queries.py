@@ -24,7 +24,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.replace_entities(table(spark, sf_dir, "documents"))
+    done = pii.replace_entities(table(spark, sf_dir, "documents"), pii.session_key(spark))
     return done.select("doc_id", "text", "n_chars", "n_entities", F.concat_ws(",", "kinds").alias("kinds"))
 
 

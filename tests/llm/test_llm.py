@@ -132,7 +132,7 @@ def test_packing_places(spark, odd, none):
 def test_pii(spark, none):
     texts = ["mail jo.99@mail5.example.com or Jo.99@mail5.example.com now", "call +1 (743) 555-3824 and +1 743 555-3824.", "card 4845168114407329 not 4845168114407328", "ip 10.1.2.3 not 1.2.3.4.5 nor 999.1.1.1", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "Frau Anna Schmidt met Frau Schmidt and Mr. Иван Петров", "plain text 1234 stays", None, ""]
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
-    got = {r.doc_id: r for r in pii.replace_entities(d).collect()}
+    got = {r.doc_id: r for r in pii.replace_entities(d, "k").collect()}
     mails = re.findall(r"\S+@\S+", got[0].text)
     assert mails[0] == mails[1] and "jo.99" not in mails[0]  # one entity, whatever its case
     phones = re.findall(r"\+[\d ()-]+\d", got[1].text)
@@ -145,7 +145,7 @@ def test_pii(spark, none):
     a, b = re.findall(r"Frau (?:\S+ )?(\S+)", got[5].text)[:2]
     assert "Schmidt" not in got[5].text and "Петров" not in got[5].text
     assert got[6].text == texts[6] and got[6].n_entities == 0 and got[7].text is None and got[8].text == ""
-    assert pii.replace_entities(none).count() == 0
+    assert pii.replace_entities(none, "k").count() == 0
 
 
 def test_pii_written_forms(spark):
@@ -154,7 +154,7 @@ def test_pii_written_forms(spark):
     names = ["Mr McDonald", "Mr O'Brien", "Mrs Anna D’Angelo-x", "Mr Adam McDonald said"]
     texts = cards + phones + names + ["4111 1111 1111 1112 12", "1 " * 3000]
     d = spark.createDataFrame([(i, f"see {t}", "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    got = [r.text for r in sorted(pii.replace_entities(d).collect())]
+    got = [r.text for r in sorted(pii.replace_entities(d, "k").collect())]
     for old, new in zip(cards, got, strict=False):
         assert "1111" not in new and len(new) == len(f"see {old}") or "10.1.2.3" in old and "1111" not in new, (old, new)
     card = re.sub(r"\D", "", got[0])[:16]
@@ -166,6 +166,43 @@ def test_pii_written_forms(spark):
     assert got[14:] == [f"see {t}" for t in texts[14:]]
 
 
+def iban_remainder(e):
+    e = e.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in e[4:] + e[:4])) % 97
+
+
+def test_pii_accounts(spark):
+    """Account numbers by their check digits, which the replacement has too; alike however written."""
+    texts = ["GB82 WEST 1234 5698 7654 32", "pay GB82WEST12345698765432 now", "DE89370400440532013000 x", "AB12 CDEF GHIJ KLMN in prose", "GB82 WEST 1234 5698 7654 33"]
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, e int")
+    got = [r.text for r in pii.replace_entities(d, "k").orderBy("doc_id").collect()]
+    assert iban_remainder(got[0]) == 1 and got[0][:2] == "GB" and got[0].count(" ") == 5 and got[0][5:] != texts[0][5:]
+    assert got[1] == f"pay {got[0].replace(' ', '')} now" and iban_remainder(got[2].split(" ")[0]) == 1 and got[2][:2] == "DE" and got[2][4:] != texts[2][4:]
+    assert got[3:] == texts[3:]
+    other = [r.text for r in pii.replace_entities(d, "another key").orderBy("doc_id").collect()]
+    assert other[0] != got[0] and iban_remainder(other[0]) == 1
+
+
+def test_pii_many_names(spark):
+    """Ten thousand people of one family name stay as many."""
+    syl = "ba de fi go lu ma ne po ri su".split()
+    d = spark.createDataFrame([(i, f"Mr {syl[i % 10].title()}{syl[i // 10 % 10]}{syl[i // 100 % 10]}{syl[i // 1000]} Smith", "x") for i in range(10_000)], "doc_id long, text string, kinds string")
+    got = pii.replace_entities(d, "k").select("text").collect()
+    assert len({r.text for r in got}) == 10_000 and len({r.text.split(" ")[-1] for r in got}) == 1
+
+
+def test_pii_edges(spark):
+    """A very long text, repeated rows, null ids, clashing columns, an empty table."""
+    long = "Mr Smith wrote jo@x.org. " * 40_000
+    rows = [(1, long, "x", 5), (1, long, "x", 5), (None, "Mr Smith", None, None), (2, None, "x", 3), (3, "", "x", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kinds string, n_chars long")
+    got = pii.replace_entities(d, "k").collect()
+    one, two = [r for r in got if r.doc_id == 1]
+    assert one == two and one.n_entities == 80_000 and one.n_chars == len(one.text) and "Smith" not in one.text and "jo@" not in one.text
+    assert next(r for r in got if r.doc_id is None).text == one.text[: one.text.index(" wrote")]
+    assert pii.replace_entities(d.limit(0), "k").count() == 0
+
+
 @pytest.mark.parametrize("literal", [500, 0])
 def test_pii_names_stay_distinct(spark, monkeypatch, literal):
     monkeypatch.setattr(pii, "LITERAL_EXCEPTIONS", literal)
@@ -173,7 +210,7 @@ def test_pii_names_stay_distinct(spark, monkeypatch, literal):
     names = [f"Mr {g} Smith" for g in many] + [f"Κύριος {g} Παππάς" for g in "Ανδρέας Βασίλης Γρηγόρης Ερμής Ζήνων Θωμάς Ιάσων Κίμων Λάζαρος Μάρκος".split()]
     names += ["Mr Lokatabo", "Mr Smith", "Mr Abbert Jones", "Mrs Abbert Smith"]  # the first is Smith's first candidate
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(names)], "doc_id long, text string, source string")
-    new = [r.text for r in sorted(pii.replace_entities(d).collect())]
+    new = [r.text for r in sorted(pii.replace_entities(d, "k").collect())]
     assert len(set(new)) == len(names) and not set(new) & set(names)
     family = {n.split(" ")[-1] for n in new[:42]}
     assert family == {new[-3].split(" ")[1]} == {new[-1].split(" ")[-1]} and family != {new[-2].split(" ")[-1]}
