@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Portuguese abbreviations after which a sentence goes on. Fixed values.
-ABBREVIATIONS = ["Sr", "Sra", "Dr", "Dra", "Prof", "Profa", "Art", "art", "Fig", "fig", "pág", "p", "ex", "etc", "vs", "cf", "Cap", "cap", "Vol", "vol", "n", "nº"]
+#: Abbreviations after which a sentence goes on, whatever their case, as patterns. Fixed values.
+ABBREVIATIONS = [r"e\.g", r"i\.e", "ex", "pág", "pag", "fig", "cap", "tab", "vs", "art", "sec", "seção", "vol", "dr", "prof", "sr", "sra", "pp", "nº"]
 PASSAGE_PREFIX = "ps_"
 
 
@@ -18,17 +18,11 @@ def normalize_whitespace(t: Column) -> Column:
 
 
 def sentences(t: Column, abbreviations: list[str] | None = None) -> Column:
-    """Sentences of a text; pieces that end with an abbreviation are joined with the next."""
-    pieces = F.filter(F.split(F.trim(t), r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
-    known = r"(?:^|[\s(])(?:" + "|".join(abbreviations or ABBREVIATIONS) + r")\.$"
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        whole = F.when(acc["buf"] == "", piece).otherwise(F.concat(acc["buf"], F.lit(" "), piece))
-        goes_on = whole.rlike(known)
-        return F.struct(F.when(goes_on, whole).otherwise("").alias("buf"), F.when(goes_on, acc["out"]).otherwise(F.concat(acc["out"], F.array(whole))).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda a: F.when(a["buf"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"]))))
+    """Sentences of a text, trimmed; one that would end with an abbreviation goes on after a single blank."""
+    known = r"(?<=(?iU)\b(?:" + "|".join(abbreviations or ABBREVIATIONS) + r")\.)"
+    joined = F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), known + r"\s+", " ")
+    pieces = F.split(joined, r"(?<=[.!?])(?<!" + known[4:-1] + r")\s+")
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tokens(t: Column, longer_than: int = 3) -> Column:

@@ -6,16 +6,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interval(values: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """low and high of the mean's interval: entries int((1-level)/2 n) and int((1+level)/2 n) of the sorted means.
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with i from 0, in order of the key's hash: counted within 256 parts of hash space, so no task sorts all rows."""
+    h = df.withColumn("h", F.sha2(F.col(key).cast("string"), 256)).withColumn("part", F.substring("h", 1, 2))
+    before = h.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # at most 256 rows
+    own = F.row_number().over(Window.partitionBy("part").orderBy("h", key)) - 1
+    return h.withColumn("own", own).join(F.broadcast(before), "part").withColumn("i", F.col("own") + F.col("before")).drop("h", "part", "own", "before")
 
-    Meant for per-query values of an evaluation; a position is drawn for each (resample, row).
+
+def interval(values: DataFrame, by: list[str], key: str, value: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """low and high of the mean's interval of each group: entries int((1-level)/2 n) and int((1+level)/2 n) of the sorted means.
+
+    Row i of a group in resample b draws a row of the same group by hash.  Groups are meant
+    to hold the questions of an evaluation: rows times resamples are drawn.
     """
-    n = values.count()
-    numbered = values.select((F.row_number().over(Window.orderBy(key)) - 1).alias("i"), F.col(value).alias("v"))  # an evaluation's queries, not its documents
+    own = values.where(F.col(value).isNotNull()).select(*by, key, F.col(value).alias("v"))
+    n = Window.partitionBy(*by)
+    row = own.withColumn("i", F.row_number().over(n.orderBy(F.sha2(F.col(key).cast("string"), 256), key)) - 1).withColumn("n", F.count("*").over(n))
+    return _means(row, by, resamples, seed, level)
+
+
+def _means(row: DataFrame, by: list[str], resamples: int, seed: int, level: float) -> DataFrame:
     hashed = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("b"), F.col("i")), 256)
-    draws = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("b", F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long"), F.lit(max(1, n))).alias("j"))
-    means = draws.join(numbered.withColumnRenamed("i", "j"), "j").groupBy("b").agg(F.avg("v").alias("m"))
-    k = F.row_number().over(Window.orderBy("m", "b")) - 1
+    drawn = row.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select(*by, "b", F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long"), F.col("n")).alias("i"))
+    # a resample is how often it drew each row: counted before the rows' values are met
+    times = drawn.groupBy(*by, "b", "i").agg(F.count("*").alias("times"))
+    means = times.join(row.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "b").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    k = F.row_number().over(Window.partitionBy(*by).orderBy("m", "b")) - 1  # as many rows as resamples
     lo, hi = int((1 - level) / 2 * resamples), int((1 + level) / 2 * resamples)
-    return means.withColumn("k", k).agg(F.round(F.max(F.when(F.col("k") == lo, F.col("m"))), 4).alias("low"), F.round(F.max(F.when(F.col("k") == hi, F.col("m"))), 4).alias("high"))
+    at = lambda p: F.round(F.max(F.when(F.col("k") == p, F.col("m"))), 4)
+    return means.withColumn("k", k).groupBy(*by).agg(at(lo).alias("low"), at(hi).alias("high"))
+
+
+def overall(values: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """The interval of a whole table's mean; its rows are numbered without one task that holds them all."""
+    own = numbered(values.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v")), key)
+    total = own.agg(F.count("*").alias("n"))
+    row = own.crossJoin(F.broadcast(total)).withColumn("one", F.lit(1))  # one row to each
+    return _means(row, ["one"], resamples, seed, level).drop("one")

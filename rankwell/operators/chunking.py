@@ -38,11 +38,16 @@ def overlapping(pages: DataFrame, width: int = 512, step: int = 448) -> DataFram
 
 
 def sentence_windows(pages: DataFrame, w: int = 3) -> DataFrame:
-    """A node for each sentence with the sentences around it, within its page."""
-    s = pages.select(*KEYS, T.sentences(F.col("text")).alias("all")).select(*KEYS, "all", F.posexplode("all").alias("i", "anchor_text"))
-    lo = F.greatest(F.col("i") - w, F.lit(0))
-    hi = F.least(F.col("i") + w, F.size("all") - 1)
-    return s.select(*KEYS, _page_id(F.concat(F.lit("_s"), F.col("i"))), F.col("i").alias("sentence_index"), "anchor_text", F.array_join(F.slice("all", lo + 1, hi - lo + 1), " ").alias("window_text"), lo.alias("lo"), hi.alias("hi"))
+    """A node for each sentence with the sentences around it, within its page.
+
+    Windows are made inside the row before it is exploded, so no row carries all sentences.
+    """
+    s = F.col("s")
+    lo = lambda i: F.greatest(i - w, F.lit(0))
+    hi = lambda i: F.least(i + w, F.size(s) - 1)
+    node = lambda x, i: F.struct(i.alias("sentence_index"), x.alias("anchor_text"), F.array_join(F.slice(s, lo(i) + 1, hi(i) - lo(i) + 1), " ").alias("window_text"), lo(i).alias("lo"), hi(i).alias("hi"))
+    n = pages.select(*KEYS, T.sentences(F.col("text")).alias("s")).select(*KEYS, F.explode(F.transform(s, node)).alias("n"))
+    return n.select(*KEYS, _page_id(F.concat(F.lit("_s"), F.col("n.sentence_index"))), "n.*")
 
 
 def sentence_anchors(pages: DataFrame) -> DataFrame:
@@ -51,19 +56,22 @@ def sentence_anchors(pages: DataFrame) -> DataFrame:
 
 
 def hierarchy(pages: DataFrame, sizes: tuple[int, ...] = (1024, 512, 256)) -> DataFrame:
-    """Nodes of nested token chunks: node_id, level (0 the largest), parent_id, text, token_count.
+    """Nodes of nested token chunks: node_id, level (0 the largest), parent_id, text, in one pass over the pages.
 
     Tokens are runs of non-blanks.  A child's id is its parent's and its ordinal in it.
     """
-    cut = lambda a, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(n)), lambda i: F.slice(a, i + 1, n))
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    level = pages.select(*KEYS, F.concat("document_id", F.lit("_p"), "page_number").alias("node_id"), words.alias("w")).where(F.size("w") > 0)
-    out = None
-    for depth, size in enumerate(sizes):
-        level = level.select(*KEYS, F.col("node_id").alias("parent_id"), F.posexplode(cut(F.col("w"), size)).alias("i", "w")).select(*KEYS, "parent_id", F.concat("parent_id", F.lit("/"), "i").alias("node_id"), "w")
-        here = level.select(*KEYS, "node_id", F.lit(depth).alias("level"), (F.lit(None).cast("string") if depth == 0 else F.col("parent_id")).alias("parent_id"), F.array_join("w", " ").alias("text"))
-        out = here if out is None else out.unionByName(here)
-    return out
+    tree = pages.select(*KEYS, F.concat("document_id", F.lit("_p"), "page_number").alias("id"), words.alias("w")).where(F.size("w") > 0)
+
+    def cut(up: Column, w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(n)), lambda i, k: F.struct(up.alias("up"), F.concat(up, F.lit("/"), k.cast("string")).alias("id"), F.slice(w, i + 1, n).alias("w")))
+
+    tree = tree.select(*KEYS, cut(F.col("id"), F.col("w"), sizes[0]).alias("l0"))
+    below = lambda size: lambda p: cut(p["id"], p["w"], size)
+    for depth, size in enumerate(sizes[1:], 1):  # each level is cut from the one above, in the row
+        tree = tree.withColumn(f"l{depth}", F.flatten(F.transform(f"l{depth - 1}", below(size))))
+    node = lambda d: F.transform(f"l{d}", lambda p: F.struct(p["id"].alias("node_id"), F.lit(d).alias("level"), (F.lit(None).cast("string") if d == 0 else p["up"]).alias("parent_id"), F.array_join(p["w"], " ").alias("text")))
+    return tree.select(*KEYS, F.explode(F.concat(*[node(d) for d in range(len(sizes))])).alias("n")).select(*KEYS, "n.*")
 
 
 def hierarchy_nodes(nodes: DataFrame) -> DataFrame:
@@ -78,3 +86,18 @@ def passages(pages: DataFrame, least: int = 50) -> DataFrame:
     t = F.trim("text")
     p = pages.select(*KEYS, t.alias("text"), F.lit(0).alias("start_char"), F.length(t).alias("end_char"), F.sha2(t, 256).alias("content_sha256")).where(F.col("text") != "")
     return p.withColumn("passage_id", T.passage_id(F.col("document_id"), F.col("page_number"), F.col("start_char"), F.col("end_char"), F.col("content_sha256"))).withColumn("is_short", F.length("text") < least)
+
+
+def token_chunks(pages: DataFrame, width: int = 512, overlap: int = 64) -> DataFrame:
+    """Chunks of width tokens (runs of non-blanks) that share overlap with the one before; a rest that is all overlap is none."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    step = width - overlap
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 1 - overlap), F.lit(step))
+    c = pages.select(*KEYS, words.alias("w")).where(F.size("w") > 0)
+    parts = F.transform(at, lambda i: F.struct(i.alias("first_token"), F.array_join(F.slice("w", i + 1, width), " ").alias("text")))
+    return c.select(*KEYS, F.explode(parts).alias("c")).select(*KEYS, _page_id(F.concat(F.lit("_t"), F.col("c.first_token"))), "c.text")
+
+
+def as_pages(chunks: DataFrame) -> DataFrame:
+    """Chunks that may span pages (document_id, chunk_id, start_page, text) as pages: the start page counts."""
+    return chunks.select("document_id", F.col("start_page").alias("page_number"), "chunk_id", "text")

@@ -1,17 +1,30 @@
 """Exact cosine retrieval, rescoring, window and auto-merge strategies.
 
-Queries are a stated set; every item is scored against all of them.  The query side is
-collected into blocks of bounded size, items stay where they are, and each Arrow batch of
-items keeps only its own best k for each query before anything is shuffled.
+Queries are a stated set; every item is scored against all of them.  Queries are taken in
+blocks of bounded size, items stay where they are, and each Arrow batch of items keeps only
+its own best k (or its sums) for each query before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one pass; more are taken in turn.
+from rankwell.sources.folders import scratch
+
+#: Queries of a block on average: what the driver and a task hold at a time.
 QUERY_BLOCK = 4096
+#: Items that are scored at a time.
+ITEM_ROWS = 1024
+
+
+def stated(items: DataFrame, every: int = 20) -> DataFrame:
+    """The query set of a search over items: every row whose id is divisible by every."""
+    return items.where(F.pmod(F.col("id"), F.lit(every)) == 0)
 
 
 def _rank(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -19,48 +32,88 @@ def _rank(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _typed(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+
+
+def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of rows of q and v, 0 where either has no length; products are summed in index order, as a fold would."""
+    qn, n = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+    s = np.zeros((len(q), len(v)))
+    for d in range(v.shape[1]):
+        s += q[:, d : d + 1] * v[None, :, d]
+    scale = qn[:, None] * n[None, :]
+    return np.where(scale == 0, 0.0, s / np.where(scale == 0, 1, scale))
+
+
+def by_blocks(queries: DataFrame, items: DataFrame, reduce: Callable, schema: str, skip_self: bool = True) -> DataFrame:
+    """Rows that reduce(query ids, item ids, scores) makes of each block of queries and each batch of items.
+
+    skip_self: a query's score with the item of its own id is -inf.  A block is collected
+    by itself; of several blocks each one's rows are written to the shared folder before
+    the next, so neither the driver nor the plan grows with the query set.
+    """
+    spark, queries, items = items.sparkSession, _typed(queries), _typed(items)
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    names = [x.split()[0] for x in schema.split(",")]
+    out = None
+    for b in range(n_blocks):
+        part = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
+        rows = part.orderBy("id").collect()  # about QUERY_BLOCK rows
+        if not rows:
+            continue
+        ids, q = np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows], float)
+
+        def score(batches, ids=ids, q=q):
+            for whole in batches:
+                for lo in range(0, whole.num_rows, ITEM_ROWS):
+                    batch = whole.slice(lo, ITEM_ROWS)
+                    own = np.asarray(batch.column("id"))
+                    s = _scores(q, np.asarray(batch.column("vector").flatten()).reshape(len(own), -1))
+                    if skip_self:
+                        s[ids[:, None] == own[None, :]] = -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in reduce(ids, own, s)], names=names)
+
+        found = items.mapInArrow(score, schema)
+        if n_blocks > 1:
+            path = scratch(spark, "block")
+            found.write.parquet(path)
+            found = spark.read.schema(schema).parquet(path)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
     """query_id, item_id, score, rank: the k items of highest cosine, ties by the smaller id.
 
     queries and items are (id, vector); vectors without length score 0; k < 1 gives no rows.
     """
-    import numpy as np
-    import pyarrow as pa
 
-    spark, out = items.sparkSession, None
+    def best(ids, own, s):
+        at = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+        got = np.take_along_axis(s, at, 1)
+        keep = np.isfinite(got)
+        return np.broadcast_to(ids[:, None], at.shape)[keep], own[at][keep], got[keep]
+
     schema = "query_id long, item_id long, score double"
-    rows = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").orderBy("id").collect() if k > 0 else []  # the stated query set
-    for lo in range(0, len(rows), QUERY_BLOCK):
-        part = rows[lo : lo + QUERY_BLOCK]
-        ids = np.array([r["id"] for r in part])
-        q = np.array([r["vector"] for r in part], float)
-        qn = np.sqrt((q * q).sum(1))
-
-        def score(batches, ids=ids, q=q, qn=qn):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = np.asarray(b.column("id"))
-                v = np.asarray(b.column("vector").flatten()).reshape(len(own), -1)
-                n = np.sqrt((v * v).sum(1))
-                s = np.zeros((len(q), len(own)))
-                for d in range(v.shape[1]):  # in index order, as a fold would add them
-                    s += q[:, d : d + 1] * v[None, :, d]
-                scale = qn[:, None] * n[None, :]
-                s = np.where(scale == 0, 0.0, s / np.where(scale == 0, 1, scale))
-                if skip_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                got = np.take_along_axis(s, best, 1)
-                keep = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(own[best][keep]), pa.array(got[keep])], names=["query_id", "item_id", "score"])
-
-        typed = items.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
-        found = typed.mapInArrow(score, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    return _rank(out, k)
+    if k < 1:
+        return items.sparkSession.createDataFrame([], schema + ", rank int")
+    return _rank(by_blocks(queries, items, best, schema, skip_self), k)
+
+
+def score_sums(queries: DataFrame, items: DataFrame, above: float = 0.0) -> DataFrame:
+    """query_id, n, total, n_above: each query's scores with all items but itself, summed up."""
+
+    def sums(ids, own, s):
+        live = np.isfinite(s)
+        return ids, live.sum(1), np.where(live, s, 0.0).sum(1), (live & (s > above)).sum(1)
+
+    parts = by_blocks(queries, items, sums, "query_id long, n long, total double, n_above long")
+    return parts.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in ("n", "total", "n_above")])
+
+
+def clamped(score: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
 
 
 def rescore(run: DataFrame, scores: DataFrame, keep: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from rankwell.plans import frames, portable, trace
+from rankwell.plans import agents, evaluation, frames, generation, pooling, sources, statistics, trace  # noqa: F401
+from rankwell.plans.base import ORACLE_SQL, QUERIES
 
-QUERIES = portable.QUERIES | frames.QUERIES | trace.QUERIES
-ORACLE_SQL = portable.ORACLE_SQL | frames.ORACLE_SQL | trace.ORACLE_SQL
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankwell.functions import vectors as V
 from rankwell.operators import chunking as C
-from rankwell.operators import memo
 from rankwell.operators import trace
-from rankwell.plans.frames import ORACLE_SQL as FRAMES_SQL
+from rankwell.plans import base
 from rankwell.plans.frames import _TREE, _docs, _pages, _run, _topk_sql, _vectors
 from rankwell.sources import checkpoints
 
-QUERIES, ORACLE_SQL = {}, {}
-
 _DECISIONS = f"""WITH {_topk_sql(12)}, leaf AS (SELECT vec_id AS id, vec_id // 3 AS p, 10 + vec_id % 7 AS tok, vec_id % 4 = 0 AS rel FROM embeddings),
 dec AS (SELECT query_id, concat('parent_', l.p) AS parent_id, count(*) AS children_retrieved, any_value(w.n) AS children_total, count(*) * 2 >= any_value(w.n) AS merged,
   CAST(sum(l.tok) AS BIGINT) AS tb, CAST(any_value(w.tok) AS BIGINT) AS wt, count_if(l.rel) AS rb, any_value(w.rel) AS wr
@@ -53,22 +49,15 @@ def jon14(spark, d):
     return trace.citation_audit(cited, kept)
 
 
-def emb02(spark, d):
-    e = memo.embed_once(_docs(spark, d).select("doc_id", "text"), V.hash_embedding)
-    v = F.col("embedding")
-    return e.select("doc_id", F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"), F.size(v).cast("long").alias("dim"))
-
-
 def snk04(spark, d):
     """Pairs of query and strategy that a resumed run still has to do; odd queries are finished."""
-    work = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 40).alias("query_id"), F.col("l_linenumber").alias("strategy")).distinct()
+    work = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("strategy")).distinct()
     return checkpoints.row_keys(checkpoints.remaining(work, work.where("query_id % 2 = 1")))
 
 
-QUERIES |= {"emb02_memo_embedding": emb02, "snk04_resume": snk04, "rtv10_merge_trace": _decisions, "rtv11_trace_ratios": rtv11, "jon03_prioritised_passages": jon03, "jon12_tree_join": jon12, "jon14_citation_audit": jon14}
-ORACLE_SQL |= {
-    "emb02_memo_embedding": FRAMES_SQL["emb01_hash_embedding"],
-    "snk04_resume": "SELECT DISTINCT l_orderkey % 40 AS query_id, l_linenumber AS strategy, concat(l_orderkey % 40, '::', l_linenumber) AS row_key FROM lineitem WHERE l_orderkey % 2 = 0",
+base.QUERIES |= {"snk04_resume": snk04, "rtv10_merge_trace": _decisions, "rtv11_trace_ratios": rtv11, "jon03_prioritised_passages": jon03, "jon12_tree_join": jon12, "jon14_citation_audit": jon14}
+base.ORACLE_SQL |= {
+    "snk04_resume": "SELECT DISTINCT l_orderkey AS query_id, l_linenumber AS strategy, concat(l_orderkey, '::', l_linenumber) AS row_key FROM lineitem WHERE l_orderkey % 2 = 0",
     "rtv10_merge_trace": f"""{_DECISIONS} SELECT query_id, parent_id, children_retrieved, children_total, round(CAST(children_retrieved AS DOUBLE) / children_total, 6) AS coverage_ratio, merged, tb AS tokens_before, ta AS tokens_after, rb AS relevant_before, ra AS relevant_after FROM t""",
     "rtv11_trace_ratios": f"""{_DECISIONS} SELECT query_id, count_if(merged) AS merges_performed, count_if(NOT merged) AS merges_refused, round(CAST(count_if(merged) AS DOUBLE) / count(*), 6) AS merge_rate,
 round(CAST(coalesce(sum(children_retrieved) FILTER (merged), 0) AS DOUBLE) / sum(children_retrieved), 6) AS parent_promotion_rate, round(CAST(sum(ta) AS DOUBLE) / sum(tb), 6) AS context_expansion_ratio,

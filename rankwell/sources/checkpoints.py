@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -75,3 +77,53 @@ def append_rows(rows: DataFrame, path: str) -> None:
 def row_keys(rows: DataFrame) -> DataFrame:
     """rows with the key ``query::strategy``."""
     return rows.withColumn("row_key", F.concat_ws("::", *ROW_KEY))
+
+
+def later_wins(rows: DataFrame, key: list[str], order: str, complete: Column) -> DataFrame:
+    """Of several rows of a key the complete one of highest order."""
+    last = Window.partitionBy(*key).orderBy(F.desc(order))
+    return rows.where(complete).withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
+
+
+def superseded(old: DataFrame, again: DataFrame) -> DataFrame:
+    """old without the records that again names in supersedes, and again."""
+    return old.join(again.select(F.col("supersedes").alias("record_id")), "record_id", "left_anti").unionByName(again)
+
+
+def _inventory(df: DataFrame) -> dict:
+    """Rows and a checksum of their contents, whatever their order."""
+    total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum")).first()
+    return {"n": total["n"], "sum": total["sum"]}
+
+
+def stage(spark: SparkSession, home: str, settings: dict, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """A table kept below home under the hash of its settings, and whether it was BUILT, REUSED or REBUILT.
+
+    It is reused only if its contents still have the inventory that was sealed beside it.
+    """
+    path = f"{home.rstrip('/')}/{fingerprint(settings)}"
+    known = _sealed_inventory(spark, path)
+    if known is not None:
+        try:
+            if _inventory(spark.read.parquet(f"{path}/rows")) == known:
+                return spark.read.parquet(f"{path}/rows"), "REUSED"
+        except AnalysisException:
+            pass  # rows are gone
+    build().write.mode("overwrite").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    spark.createDataFrame([(seal(_inventory(rows)),)], "envelope string").coalesce(1).write.mode("overwrite").parquet(f"{path}/sealed")
+    return rows, "BUILT" if known is None else "REBUILT"
+
+
+def _sealed_inventory(spark: SparkSession, path: str) -> dict | None:
+    try:
+        return unseal(spark.read.parquet(f"{path}/sealed").first()["envelope"])
+    except AnalysisException:
+        return None  # never built
+
+
+def damage(spark: SparkSession, home: str, settings: dict) -> None:
+    """Loses a row of a kept stage, for tests."""
+    path = f"{home.rstrip('/')}/{fingerprint(settings)}/rows"
+    rows = spark.createDataFrame(spark.read.parquet(path).limit(5).collect(), spark.read.parquet(path).schema)
+    rows.write.mode("overwrite").parquet(path)

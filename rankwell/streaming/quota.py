@@ -1,57 +1,89 @@
 """Sliding-window admission: an event passes while fewer than `limit` admitted ones lie in the window.
 
-State holds admitted times only, at most `limit` for each user, in batch and streaming.
+State holds admitted times only, at most `limit` for each user, in batch; in streaming also
+the events that the watermark has not passed yet, so that they are judged in event time.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OUT = "event_id long, user_id long, ts timestamp, admitted boolean"
+STATE = "held array<long>, pending array<struct<ts:long,event_id:long>>"
 
 
-def _judge(times: list, held: deque, limit: int, seconds: float) -> list[bool]:
+def _judge(times: list[int], held: deque, limit: int, width: int) -> list[bool]:
+    """Whether each time (microseconds, ascending) is admitted; held is the user's admitted times and is kept up."""
     out = []
     for t in times:
-        while held and (t - held[0]).total_seconds() >= seconds:
+        while held and t - held[0] >= width:
             held.popleft()
-        out.append(len(held) < limit)
-        if out[-1]:
+        ok = len(held) < limit
+        out.append(ok)
+        if ok:
             held.append(t)
     return out
 
 
 def admitted(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """Batch form: events stream through a task in order of user and time; only the current user's state is held."""
-    cols = events.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    """Batch form: events stream through a task in order of user and time; only the current user's state is held.
+
+    Whether an event passes depends on all before it, so a user's events are judged one
+    after the other.  Events without user or time are left out.
+    """
+    width = int(seconds * 1_000_000)
+    cols = events.where("user_id is not null and ts is not null").select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
     def run(batches):
-        user, held = object(), deque()
+        user, held = None, deque()
         for b in batches:
+            users, times = np.asarray(b.column("user_id")), np.asarray(b.column("us"))
+            starts = np.flatnonzero(np.append(True, users[1:] != users[:-1])) if len(users) else []
             flags = []
-            for u, t in zip(b["user_id"], b["ts"], strict=True):
-                if u != user:
-                    user, held = u, deque()
-                flags += _judge([t], held, limit, seconds)
-            yield b.assign(admitted=flags)
+            for lo, hi in zip(starts, [*starts[1:], len(users)], strict=True):
+                if users[lo] != user:
+                    user, held = users[lo], deque()
+                flags += _judge(times[lo:hi].tolist(), held, limit, width)
+            yield pa.RecordBatch.from_arrays([b.column("event_id"), b.column("user_id"), b.column("ts"), pa.array(flags, pa.bool_())], names=["event_id", "user_id", "ts", "admitted"])
 
-    return cols.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, OUT)
+    return cols.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id").mapInArrow(run, OUT)
 
 
 def admitted_stream(events: DataFrame, limit: int, seconds: float, late: str = "1 hour") -> DataFrame:
-    """Streaming form with a watermark; each user's state is its admitted times."""
+    """Streaming form: events wait until the watermark has passed them and are judged in order of time.
+
+    A user's state goes once nothing waits and the last admitted event has left the
+    window.  Events later than the watermark are dropped by Spark.
+    """
+    import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    width = int(seconds * 1_000_000)
+
     def run(key, frames, state: GroupState):
-        held = deque(pd.Timestamp(x) for x in (state.get[0] if state.exists else []))
+        held, pending = (deque(state.get[0]), [tuple(x) for x in state.get[1]]) if state.exists else (deque(), [])
         for b in frames:
-            b = b.sort_values(["ts", "event_id"])
-            yield b.assign(admitted=_judge(list(b["ts"]), held, limit, seconds))[["event_id", "user_id", "ts", "admitted"]]
-        state.update(([x.to_pydatetime() for x in held],))
+            pending += zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["event_id"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(x for x in pending if x[0] < mark)
+        pending = sorted(x for x in pending if x[0] >= mark)
+        if ready:
+            flags = _judge([t for t, _ in ready], held, limit, width)
+            yield pd.DataFrame({"event_id": [e for _, e in ready], "user_id": key[0], "ts": pd.to_datetime([t for t, _ in ready], unit="us"), "admitted": flags})
+        while held and mark - held[0] >= width:
+            held.popleft()
+        if not held and not pending:
+            if state.exists:
+                state.remove()
+            return
+        state.update((list(held), pending))
+        wake = pending[0][0] if pending else held[-1] + width
+        state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
-    cols = events.withWatermark("ts", late).select("event_id", "user_id", "ts")
-    return cols.groupBy("user_id").applyInPandasWithState(run, OUT, "held array<timestamp>", "append", GroupStateTimeout.NoTimeout)
+    cols = events.where("user_id is not null and ts is not null").withWatermark("ts", late).select("event_id", "user_id", "ts")
+    return cols.groupBy("user_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -45,6 +45,8 @@ def difference(spark, con, query, sql, sf_dir):
     cur = con.execute(sql)
     cols = [x[0] for x in cur.description]
     want = rows(cols, cur.fetchall())
+    if not got:
+        return "no rows"
     if sorted(df.columns) != sorted(cols):
         return f"columns {sorted(df.columns)} and {sorted(cols)}"
     if len(got) != len(want):

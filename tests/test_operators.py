@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankwell.functions import text as T
 from rankwell.functions import vectors as V
 from rankwell.operators import chunking, retrieval, trace
-from rankwell.sources import checkpoints, files
+from rankwell.sources import checkpoints, files, sinks
 from rankwell.streaming import quota
 
 
@@ -66,8 +66,9 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_qrels(spark, str(tmp_path / "r.json"))
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
-    assert files.append_new(df, str(tmp_path / "ledger"), ["id"]) == 0
-    assert files.append_new(df, str(tmp_path / "ledger"), ["id"]) == 2
+    state = lambda frame: {r.status: r.n for r in sinks.append_ledger(frame, str(tmp_path / "ledger"), ["id"]).collect()}
+    assert state(df) == {"APPENDED": 2}
+    assert state(df) == {"CONFLICT_WITH_LEDGER": 2}
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2
 
 
