@@ -7,9 +7,11 @@ candidate group, the collision-corrected Jaccard estimate of the registers rules
 out, and the rest is confirmed on the full sets.  Components of the links give groups.
 
 Exact copies are one node from the start.  Identical groups (many bands give the same
-one) are compared once; a group too large for a task is dealt out as pairs of blocks, so
-no task holds an unbounded group.  Tasks return links to the smallest member they have
-reached, not pairs.
+one) are compared once.  A group too large for a task is cut into blocks: each is compared
+within itself and with the group's first member, which ties the blocks of a true group
+together at a cost that grows with its size, not its square.  Only members that are still
+in different components are then compared across blocks, so no link is lost.  Tasks
+return links to the smallest member they have reached, not pairs.
 """
 
 from __future__ import annotations
@@ -42,17 +44,17 @@ _LENDERS = _rng.integers(0, REGISTERS, (96, REGISTERS))
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of k-word shingles; of fewer words the one whole sequence."""
+    """Sorted distinct 64-bit hashes of k-word shingles; of fewer words the one whole sequence."""
     if not len(words):
         return np.zeros(0, np.uint64)
-    return np.unique(tv.run_hashes(words, min(k, len(words))) >> np.uint64(16))
+    return np.unique(tv.run_hashes(words, min(k, len(words))))
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """HyperMinHash registers of a sorted set: 0 where no shingle fell."""
     out = np.zeros(REGISTERS, np.uint16)
     if len(shingles):
-        bucket = ((shingles >> np.uint64(24)) * np.uint64(REGISTERS)) >> np.uint64(24)  # rises with the hash
+        bucket = ((shingles >> np.uint64(40)) * np.uint64(REGISTERS)) >> np.uint64(24)  # rises with the hash
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         least = np.minimum.reduceat(tv.mix(shingles), first)
         mantissa, exponent = np.frexp(((least >> np.uint64(11)) | np.uint64(1)).astype(np.float64))
@@ -87,12 +89,11 @@ def least_estimate(either: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _pack(shingles: np.ndarray) -> bytes:
-    return (shingles >> np.uint64(32)).astype("<u2").tobytes() + (shingles & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    return shingles.astype("<u8").tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    return (np.frombuffer(raw, "<u2", n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(raw, "<u4", n, 2 * n)
+    return np.frombuffer(raw, "<u8")
 
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, registers binary, shingles binary"
@@ -142,41 +143,43 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return arrow_map(nodes.select("node", "n", "registers"), bands, "band_key long, node long, n long")
 
 
-def _confirm(nodes: list[int], side: np.ndarray, sets: list[np.ndarray], reg: np.ndarray, similarity: float):
-    """Links (node, smallest node it reaches here) of a group; side tells two blocks apart, or is all 0."""
+def _all_shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs, over the shingles that two members share."""
+    c = len(sets)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(c), [len(x) for x in sets])
+    by = np.argsort(flat, kind="stable")
+    f, o = flat[by], owner[by]
+    start = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+    count = np.diff(np.append(start, len(f)))
+    column = np.repeat(np.arange(len(start)), count)
+    keep = np.repeat(count > 1, count)
+    o, column = o[keep], np.unique(column[keep], return_inverse=True)[1]
+    width = int(column.max()) + 1 if len(column) else 0
+    shared = np.zeros((c, c), np.float32)
+    step = max(64, 4_000_000 // c)
+    for lo in range(0, width, step):
+        here = (column >= lo) & (column < lo + step)
+        m = np.zeros((c, min(step, width - lo)), np.float32)
+        m[o[here], column[here] - lo] = 1
+        shared += m @ m.T
+    return shared
+
+
+def _confirm(nodes: list[int], side: np.ndarray, known: np.ndarray, sets: list[np.ndarray], reg: np.ndarray, similarity: float):
+    """Links (node, smallest node it reaches here) of a group.
+
+    side tells two blocks apart, or is all 0; members of equal known component need no
+    comparison, and none is made between members that are joined already.
+    """
     c = len(nodes)
-    order = np.argsort(np.array(nodes), kind="stable")
-    parent = list(range(c))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    label = np.unique(known, return_inverse=True)[1]
     n = np.array([len(x) for x in sets], np.int64)
     cross = bool(side.any())
-    flat = np.concatenate(sets)
-    shared = None
-    if c > 24:  # intersections of all at once, over the shingles that two members share
-        owner = np.repeat(np.arange(c), n)
-        by = np.argsort(flat, kind="stable")
-        f, o = flat[by], owner[by]
-        start = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-        count = np.diff(np.append(start, len(f)))
-        column = np.repeat(np.arange(len(start)), count)
-        keep = np.repeat(count > 1, count)
-        o, column = o[keep], np.unique(column[keep], return_inverse=True)[1]
-        width = int(column.max()) + 1 if len(column) else 0
-        shared = np.zeros((c, c), np.float32)
-        step = max(64, 4_000_000 // c)
-        for lo in range(0, width, step):
-            here = (column >= lo) & (column < lo + step)
-            m = np.zeros((c, min(step, width - lo)), np.float32)
-            m[o[here], column[here] - lo] = 1
-            shared += m @ m.T
+    shared, compared, links = None, 0, []
     for i in range(c):
         later = np.arange(i + 1, c)
+        later = later[label[later] != label[i]]
         if cross:
             later = later[side[later] != side[i]]
         # a link needs sizes within the similarity of each other
@@ -186,21 +189,24 @@ def _confirm(nodes: list[int], side: np.ndarray, sets: list[np.ndarray], reg: np
             continue
         guess, either = estimate(reg[i], reg[later])
         for j in later[guess >= least_estimate(either, similarity)].tolist():
-            a, b = find(i), find(j)
-            if a == b:
+            if label[i] == label[j]:
                 continue
+            compared += 1
+            if shared is None and c > 24 and compared > 8 * c:
+                shared = _all_shared(sets)
             both = int(shared[i, j]) if shared is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= round(100 * similarity) * (int(n[i] + n[j]) - both):
-                parent[max(a, b)] = min(a, b)
+                label[label == label[j]] = label[i]
+                links.append((i, j))
     groups = defaultdict(list)
-    for i in range(c):
-        groups[find(i)].append(nodes[i])
-    del order
-    return [(x, min(g)) for g in groups.values() if len(g) > 1 for x in g if x != min(g)]
+    touched = {x for link in links for x in link}
+    for i in sorted(touched):
+        groups[label[i]].append(nodes[i])
+    return [(x, min(g)) for g in groups.values() for x in g if x != min(g)]
 
 
 def _group_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links of each group; rows (grp, i, j, side, node, registers, shingles) come sorted by group."""
+    """Links of each group; rows (grp, i, j, side, node, known, registers, shingles) come sorted by group."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -209,11 +215,11 @@ def _group_links(rows: DataFrame, similarity: float) -> DataFrame:
         def flush():
             if len(own) > 1:
                 nodes = [r[1] for r in own]
-                reg = np.frombuffer(b"".join(r[2] for r in own), np.uint16).reshape(-1, REGISTERS)
-                out.extend(_confirm(nodes, np.array([r[0] for r in own]), [_unpack(r[3]) for r in own], reg, similarity))
+                reg = np.frombuffer(b"".join(r[3] for r in own), np.uint16).reshape(-1, REGISTERS)
+                out.extend(_confirm(nodes, np.array([r[0] for r in own]), np.array([r[2] for r in own]), [_unpack(r[4]) for r in own], reg, similarity))
 
         for b in batches:
-            cols = [b.column(c) for c in ("grp", "i", "j", "side", "node", "registers", "shingles")]
+            cols = [b.column(c) for c in ("grp", "i", "j", "side", "node", "known", "registers", "shingles")]
             for r in range(b.num_rows):
                 now = tuple(c[r].as_py() for c in cols[:3])
                 if now != key:
@@ -230,6 +236,41 @@ def _group_links(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "node").mapInArrow(run, "a long, b long")
 
 
+def _dealt_within(part: DataFrame) -> DataFrame:
+    """Each member in its own block; the group's first member, its pivot, in all of them."""
+    own = part.select("node", F.col("band_key").alias("grp"), "own")
+    first = part.where((F.col("node") == F.col("least")) & (F.col("blocks") > 1)).select("node", F.col("band_key").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.col("own").alias("home"))
+    both = own.unionByName(first.where("own <> home").drop("home"))
+    return both.select("node", "grp", F.col("own").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), F.col("node").alias("known"))
+
+
+def _dealt_across(part: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """Members of large groups that are still in several components, dealt as pairs of blocks; None if there are none.
+
+    A component that fills blocks has blocks of its own, which are not compared with each
+    other; small ones share blocks.
+    """
+    large = part.where("blocks > 1").join(comps, "node", "left").select("band_key", "node", "n", F.coalesce("component", "node").alias("known"))
+    filled = lambda m, w: F.greatest(F.lit(1), F.ceil(m / BLOCK_MEMBERS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    sizes = large.groupBy("band_key", "known").agg(F.count("*").alias("m"), F.sum("n").alias("w")).withColumn("cuts", filled(F.col("m"), F.col("w")))
+    few = lambda c: F.sum(F.when(F.col("cuts") == 1, F.col(c)).otherwise(0))
+    open_groups = sizes.groupBy("band_key").agg(F.count("*").alias("k"), filled(few("m"), few("w")).alias("shared_cuts")).where("k > 1")
+    sizes = materialise(sizes.join(open_groups, "band_key"), "open")
+    if sizes.limit(1).count() == 0:
+        discard(sizes)
+        return None
+    pure = F.col("cuts") > 1
+    cuts = F.when(pure, F.col("cuts")).otherwise(F.col("shared_cuts"))
+    own = large.join(sizes, ["band_key", "known"]).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(2)), cuts).cast("int"))
+    own = own.select("node", F.col("band_key").alias("grp"), "known", F.when(pure, F.col("known")).alias("alone"), "slice")
+    own = materialise(own.withColumn("block", F.xxhash64(F.coalesce("alone", F.lit(-1)), "slice")), "cut")
+    blocks = own.select("grp", "block", "alone").distinct()
+    x, y = blocks.select("grp", F.col("block").alias("i"), F.col("alone").alias("ax")), blocks.select("grp", F.col("block").alias("j"), F.col("alone").alias("ay"))
+    pairs = x.join(y, "grp").where("i <= j").where(~(F.col("ax").eqNullSafe(F.col("ay")) & F.col("ax").isNotNull())).select("grp", "i", "j")
+    sides = pairs.select("grp", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))).alias("s"))
+    return own.join(sides.select("grp", "i", "j", "s.block", "s.side"), ["grp", "block"]).select("node", "grp", "i", "j", "side", "known")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -245,21 +286,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.85) -> Da
     member = materialise(band_keys(classes), "bands")
     groups = member.groupBy("band_key").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("node").alias("least")).where("c > 1")
     # bands that gave the same group are compared once
-    once = materialise(groups.groupBy("c", "total", "sum", "least").agg(F.min("band_key").alias("band_key")).select("band_key", F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "groups")
-    part = member.join(small(once, BROADCAST_NODES), "band_key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = part.select("node", F.col("band_key").alias("grp"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "node", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
-    )
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    once = materialise(groups.groupBy("c", "total", "sum", "least").agg(F.min("band_key").alias("band_key")).select("band_key", "least", blocks.alias("blocks")), "groups")
+    part = materialise(member.join(small(once, BROADCAST_NODES), "band_key").select("node", "n", "band_key", "least", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("own")), "dealt")
     # full sets of the classes that are in a group: those of the rows which gave their nodes
     wanted = materialise(part.select("node").distinct().join(classes.select("node", "set_key"), "node"), "wanted").select(F.col("node").alias("doc_id"), "set_key")
     rows = live.select("doc_id", "set_key", "registers", "shingles").join(small(wanted, BROADCAST_NODES), ["doc_id", "set_key"], "left_semi")
-    full = rows.groupBy(F.col("doc_id").alias("node"), "set_key").agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles"))
-    links = _group_links(dealt.join(full.drop("set_key"), "node"), similarity)
+    full = rows.groupBy(F.col("doc_id").alias("node"), "set_key").agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles")).drop("set_key")
     # sets of rows that share a doc_id are one document
     same = live.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").join(live.select("doc_id", "set_key").distinct(), "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    comps = connected_components(links.unionByName(same))
+    links = materialise(_group_links(_dealt_within(part).join(full, "node"), similarity).unionByName(same), "pairs")
+    comps = connected_components(links)
+    if part.where("blocks > 1").limit(1).count() and (across := _dealt_across(part, comps)) is not None:
+        more = _group_links(across.join(full, "node"), similarity)
+        comps = connected_components(links.unionByName(more))
     slim = materialise(sketch.select("doc_id", "n_shingles", "set_key"), "sizes")
-    for done in (sketch, member, once):
+    for done in (sketch, member, once, part, links):
         discard(done)
     label = classes.join(comps, "node", "left").select("set_key", F.coalesce("component", "node").alias("found"))
     out = slim.join(label, "set_key", "left")

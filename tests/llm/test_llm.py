@@ -216,7 +216,10 @@ def test_pii_names_stay_distinct(spark, monkeypatch, literal):
     assert family == {new[-3].split(" ")[1]} == {new[-1].split(" ")[-1]} and family != {new[-2].split(" ")[-1]}
 
 
-def test_near_duplicates_brute_force(spark, odd, none):
+@pytest.mark.parametrize("most", [512, 5, 2])
+def test_near_duplicates_brute_force(spark, odd, none, monkeypatch, most):
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", most)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", most * 1000)
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
     assert {(1, 3, 1, True), (5, 3, 1, False), (2, 0, 2, True), (4, 0, 4, True), (None, 3, None, True), (7, 29_997, 6, False), (9, 1, 9, True), (10, 1, 9, False)} <= got
     assert minhash.near_duplicates(none).count() == 0
@@ -239,6 +242,17 @@ def test_near_duplicates_brute_force(spark, odd, none):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(label))
 
 
+def test_near_duplicates_across_blocks(spark, monkeypatch):
+    """A chain whose ends are far from its first member, in blocks of two: every link counts."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 2)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(24):  # each text changes two more words: neighbours are alike, the ends are not
+        rows.append((i, " ".join(f"x{j}" if j < 2 * i else w for j, w in enumerate(words))))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 @pytest.mark.parametrize("n", [150, 192])
 def test_estimate_loses_no_link(n):
     least = float(minhash.least_estimate(np.array([n]), 0.85)[0])
