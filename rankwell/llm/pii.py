@@ -310,9 +310,13 @@ def entity_table(docs: DataFrame) -> DataFrame:
     """Distinct (kind, canon, e): e is the least written form of an entity.  A name counts by its parts."""
     e = docs.select(F.explode(F.array_distinct(matches(F.col("text")))).alias("e"))
     typed = e.groupBy("e").count().select("e", _kind(F.col("e")).alias("kind")).where("kind is not null")
-    whole = typed.where("kind <> 'name'").select("kind", _canon(F.col("e"), F.col("kind")).alias("canon"), "e")
-    parts = typed.where("kind = 'name'").select("e", F.explode(_name_parts(F.col("e"))).alias("part")).select("part.kind", "part.canon", "e")
-    return whole.unionByName(parts).groupBy("kind", "canon").agg(F.min("e").alias("e"))
+    return typed.select("e", F.explode(_parts(F.col("e"), F.col("kind"))).alias("part")).select("part.kind", "part.canon", "e").groupBy("kind", "canon").agg(F.min("e").alias("e"))
+
+
+def _parts(e: Column, kind: Column) -> Column:
+    """Array of (kind, canon) of an entity: its name's parts, or itself."""
+    whole = F.array(F.struct(kind.alias("kind"), _canon(e, kind).alias("canon")))
+    return F.when(kind == "name", _name_parts(e)).otherwise(whole)
 
 
 def _name_parts(e: Column) -> Column:
@@ -399,9 +403,7 @@ def _with_attempts(found: DataFrame, rare: DataFrame) -> DataFrame:
     keyed = found.withColumn("text_key", F.when(F.size("ents") > 0, F.sha2("text", 256)))
     each = keyed.where("text_key is not null").select("text_key", F.explode(F.array_distinct("ents")).alias("e")).distinct()
     here = each.withColumn("kind", _kind(F.col("e")))
-    whole = here.where("kind <> 'name'").select("text_key", "kind", _canon(F.col("e"), F.col("kind")).alias("canon"))
-    parts = here.where("kind = 'name'").select("text_key", F.explode(_name_parts(F.col("e"))).alias("part")).select("text_key", "part.kind", "part.canon")
-    each = whole.unionByName(parts).distinct()
+    each = here.where("kind is not null").select("text_key", F.explode(_parts(F.col("e"), F.col("kind"))).alias("part")).select("text_key", "part.kind", "part.canon").distinct()
     entry = F.struct(F.concat_ws("\u001f", "kind", "canon").alias("k"), F.col("attempt").alias("v"))
     tries = each.join(rare, ["kind", "canon"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(entry)).alias("tries"))
     return keyed.join(tries, "text_key", "left").drop("text_key")
