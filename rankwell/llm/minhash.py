@@ -44,17 +44,17 @@ _LENDERS = _rng.integers(0, REGISTERS, (96, REGISTERS))
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of k-word shingles; of fewer words the one whole sequence."""
+    """Sorted distinct 56-bit hashes of k-word shingles; of fewer words the one whole sequence."""
     if not len(words):
         return np.zeros(0, np.uint64)
-    return np.unique(tv.run_hashes(words, min(k, len(words))))
+    return np.unique(tv.run_hashes(words, min(k, len(words))) >> np.uint64(8))
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """HyperMinHash registers of a sorted set: 0 where no shingle fell."""
     out = np.zeros(REGISTERS, np.uint16)
     if len(shingles):
-        bucket = ((shingles >> np.uint64(40)) * np.uint64(REGISTERS)) >> np.uint64(24)  # rises with the hash
+        bucket = ((shingles >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(24)  # rises with the hash
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         least = np.minimum.reduceat(tv.mix(shingles), first)
         mantissa, exponent = np.frexp(((least >> np.uint64(11)) | np.uint64(1)).astype(np.float64))
@@ -89,11 +89,13 @@ def least_estimate(either: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _pack(shingles: np.ndarray) -> bytes:
-    return shingles.astype("<u8").tobytes()
+    """Seven bytes each: four low, two middle, one high."""
+    return shingles.astype("<u4").tobytes() + (shingles >> np.uint64(32)).astype("<u2").tobytes() + (shingles >> np.uint64(48)).astype(np.uint8).tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u8")
+    n = len(raw) // 7
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | (np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(raw, np.uint8, n, 6 * n).astype(np.uint64) << np.uint64(48))
 
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, registers binary, shingles binary"
@@ -289,6 +291,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.85) -> Da
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     once = materialise(groups.groupBy("c", "total", "sum", "least").agg(F.min("band_key").alias("band_key")).select("band_key", "least", blocks.alias("blocks")), "groups")
     part = materialise(member.join(small(once, BROADCAST_NODES), "band_key").select("node", "n", "band_key", "least", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("own")), "dealt")
+    for done in (member, once):
+        discard(done)
     # full sets of the classes that are in a group: those of the rows which gave their nodes
     wanted = materialise(part.select("node").distinct().join(classes.select("node", "set_key"), "node"), "wanted").select(F.col("node").alias("doc_id"), "set_key")
     rows = live.select("doc_id", "set_key", "registers", "shingles").join(small(wanted, BROADCAST_NODES), ["doc_id", "set_key"], "left_semi")
@@ -301,7 +305,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.85) -> Da
         more = _group_links(across.join(full, "node"), similarity)
         comps = connected_components(links.unionByName(more))
     slim = materialise(sketch.select("doc_id", "n_shingles", "set_key"), "sizes")
-    for done in (sketch, member, once, part, links):
+    for done in (sketch, part, links):
         discard(done)
     label = classes.join(comps, "node", "left").select("set_key", F.coalesce("component", "node").alias("found"))
     out = slim.join(label, "set_key", "left")
