@@ -2,20 +2,22 @@
 
 A shard is one file, little-endian:
 
-    magic ``RWTOK1\\0\\0`` | header: 8 uint64 (rows, keys, ids, levels, id width, 3 spare)
+    magic ``RWTOK2\\0\\0`` | ids, 2 or 4 bytes each | header: 8 uint64 (rows, keys, ids, levels, id width, 3 spare)
     level sizes in bits (levels x uint64) | bit sets of all levels | their ranks per word
     fingerprints (keys x uint32) | entry of each key (keys x uint64) | rows of each key (keys x uint32)
-    doc_ids (rows x int64) | null flags (rows x uint8) | first id of each row (rows + 1 x uint64) | ids
-
-The hash is minimal and perfect by levels of bit sets: a key alone in its bit stays, the
-others go on to the next level; its rank among the bits set is its index.  A lookup tests
-an expected constant number of bits, compares the stored fingerprint and seeks.
-Rows lie in ascending doc_id order in a shard and from shard to shard.
+    doc_ids (rows x int64) | null flags (rows x uint8) | first id of each row (rows + 1 x uint64)
+    place of the header (uint64) | magic
+
+The ids come first, so a task writes them as they are encoded and holds some 40 bytes for
+each row, whatever the texts' lengths.  The hash is minimal and perfect by levels of bit
+sets: a key alone in its bit stays, the others go on to the next level; its rank among the
+bits set is its index.  A lookup finds the shard by its range of keys, tests an expected
+constant number of bits, compares the stored fingerprint and seeks.  Rows lie in ascending
+doc_id order in a shard and from shard to shard; rows of one doc_id may fill several shards.
 """
 
 from __future__ import annotations
 
-import io
 import zlib
 
 import numpy as np
@@ -24,12 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.llm import textvec as tv
-from rankwell.llm.common import arrow_map, fresh_folder
+from rankwell.llm.common import arrow_map, bound_batches, fresh_folder, hand_back
 from rankwell.llm.tokens import PieceEncoder, default_path
 
-MAGIC = b"RWTOK1\0\0"
+MAGIC = b"RWTOK2\0\0"
 GAMMA = 2
-MANIFEST = "path string, shard int, least long, n_rows long, n_ids long"
+#: Bytes of text of a shard, about, and of the shards of an input too small to fill all cores with such.
+SHARD_BYTES, SMALL_SHARD_BYTES = 128 << 20, 4 << 20
+#: Rows that are read back at a time.
+READ_ROWS = 4096
+MANIFEST = "path string, shard int, least long, most long, n_rows long, n_ids long"
 
 
 def _level_hash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -75,8 +81,8 @@ class PerfectHash:
         return out
 
 
-def shard_bytes(keys: np.ndarray, missing: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> list[bytes]:
-    """The file of rows in ascending key order; missing marks null keys, which have no index entry."""
+def index_bytes(keys: np.ndarray, missing: np.ndarray, starts: np.ndarray, width: int) -> list[bytes]:
+    """Header and index of rows in ascending key order; missing marks null keys, which have no index entry."""
     live = np.flatnonzero(~missing)
     own, first, n = np.unique(keys[live], return_index=True, return_counts=True)
     entry = live[first].astype(np.uint64) if len(own) else np.zeros(0, np.uint64)
@@ -85,10 +91,8 @@ def shard_bytes(keys: np.ndarray, missing: np.ndarray, starts: np.ndarray, ids:
     table = [np.zeros(len(own), t) for t in (np.uint32, np.uint64, np.uint32)]
     for t, v in zip(table, (fingerprints(own), entry, n), strict=True):
         t[at] = v
-    width = 2 if not len(ids) or ids.max() < 65536 else 4
-    head = np.array([len(keys), len(own), len(ids), len(mph.sizes), width, 0, 0, 0], "<u8")
-    parts = [MAGIC, head, np.array(mph.sizes, "<u8"), mph.bits.astype("<u8"), mph.ranks.astype("<u8"), *table, keys.astype("<i8"), missing.astype(np.uint8), starts.astype("<u8"), ids.astype(f"<u{width}")]
-    return [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    head = np.array([len(keys), len(own), starts[-1], len(mph.sizes), width, 0, 0, 0], "<u8")
+    return [p.tobytes() for p in (head, np.array(mph.sizes, "<u8"), mph.bits.astype("<u8"), mph.ranks.astype("<u8"), *table, keys.astype("<i8"), missing.astype(np.uint8), starts.astype("<u8"))]
 
 
 class Shard:
@@ -96,7 +100,11 @@ class Shard:
 
     def __init__(self, file):
         self.file = file
+        file.seek(0, 2)
+        file.seek(file.tell() - 16)
+        at = int(self._read("<u8", 1)[0])
         assert file.read(8) == MAGIC, "not a token shard"
+        file.seek(at)
         self.n_rows, self.n_keys, self.n_ids, levels, self.width = map(int, self._read("<u8", 8)[:5])
         sizes = self._read("<u8", levels).tolist()
         words = sum(sizes) // 64
@@ -104,25 +112,28 @@ class Shard:
         self._read("<u8", words)
         self.prints, self.entry, self.copies = (self._read(t, self.n_keys) for t in ("<u4", "<u8", "<u4"))
         self.keys, self.missing, self.starts = self._read("<i8", self.n_rows), self._read("u1", self.n_rows).astype(bool), self._read("<u8", self.n_rows + 1).astype(np.int64)
-        self.payload = file.tell()
 
     def _read(self, kind: str, n: int) -> np.ndarray:
         return np.frombuffer(self.file.read(np.dtype(kind).itemsize * n), kind)
 
-    def ids(self, row: int) -> np.ndarray:
-        lo, hi = self.starts[row], self.starts[row + 1]
-        self.file.seek(self.payload + int(lo) * self.width)
+    def ids(self, row: int, rows: int = 1) -> np.ndarray:
+        """Ids of a row, or of some that follow each other."""
+        lo, hi = self.starts[row], self.starts[row + rows]
+        self.file.seek(len(MAGIC) + int(lo) * self.width)
         return self._read(f"<u{self.width}", int(hi - lo)).astype("<u4")
 
-    def rows_of(self, keys: np.ndarray) -> list[range]:
-        """Rows of each key by the hash index; none for an unknown key."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First row of each key and how many follow, by the hash index; none for an unknown key."""
         at = self.mph.index(keys)
         known = at >= 0
         known[known] = self.prints[at[known]] == fingerprints(keys[known])
         # one of 2^32 unknown keys has the right fingerprint: the stored doc_id decides
         first = np.where(known, self.entry[np.maximum(at, 0)] if self.n_keys else 0, 0).astype(np.int64)
         known &= (self.keys[first] == keys) if self.n_rows else False
-        return [range(f, f + int(self.copies[a])) if k else range(0) for f, a, k in zip(first.tolist(), at.tolist(), known.tolist(), strict=True)]
+        return first, np.where(known, self.copies[np.maximum(at, 0)] if self.n_keys else 0, 0).astype(np.int64)
+
+    def rows_of(self, keys: np.ndarray) -> list[range]:
+        return [range(f, f + n) for f, n in zip(*(x.tolist() for x in self.find(keys)), strict=True)]
 
 
 def _store(uri: str):
@@ -132,49 +143,67 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _shards(docs: DataFrame) -> int:
+    """Shards by bytes of text; a small input is cut finer, so that all cores have some."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    few = min(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // SMALL_SHARD_BYTES))
+    return max(1, few, -(-size // SHARD_BYTES))
+
+
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Encodes whole texts and writes shards below folder; returns their manifest, written by Spark.
 
     null text: the end id alone.  null doc_id: rows before all others, without an index
-    entry.  Rows of equal doc_id stay together, in order of their text.
+    entry.  Rows of equal doc_id are in order of a hash of their text, then the text, and
+    may be cut between shards; columns other than doc_id and text are left out.
     """
     spark = docs.sparkSession
     path = path or default_path("byte_bpe_50k.json")
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = plain.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    n = shards or _shards(plain)
+    key = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    ordered = plain.withColumn("h", F.xxhash64("text")).repartitionByRange(n, *key).sortWithinPartitions(*key, "text").select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
 
         enc = PieceEncoder.of(path)
-        keys, missing, lengths, ids = [], [], [], []
-        for b in batches:
-            k = b.column("doc_id")
-            missing.append(np.asarray(k.is_null()))
-            keys.append(np.asarray(k.fill_null(0)))
-            for s in tv.slices(b.column("text")):
-                flat, first = enc.encode(s)
-                n_ids = np.diff(first)
-                lengths.append(n_ids + 1)
-                ids.append(np.insert(flat, first[1:], end_id))
-        if not keys or not sum(map(len, keys)):
-            return
-        keys, missing, lengths, ids = map(np.concatenate, (keys, missing, lengths, ids))
-        starts = np.concatenate([[0], np.cumsum(lengths)])
+        width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
+        keys, missing, lengths = [], [], []
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
         task = TaskContext.get()
         name = f"{base}/shard-{task.partitionId():06d}.tok"
+        mine = f"{name}.{task.taskAttemptId()}"
         # a lost or repeated attempt writes the same bytes; the last move is atomic
-        with store.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
-            for part in shard_bytes(keys, missing, starts, ids):
-                out.write(part)
-        store.move(f"{name}.{task.taskAttemptId()}", name)
-        row = {"path": [name], "shard": [task.partitionId()], "least": [None if missing[0] else int(keys[0])], "n_rows": [len(keys)], "n_ids": [int(starts[-1])]}
-        kind = pa.schema([("path", pa.string()), ("shard", pa.int32()), ("least", pa.int64()), ("n_rows", pa.int64()), ("n_ids", pa.int64())])
+        with store.open_output_stream(mine) as out:
+            out.write(MAGIC)
+            for b in batches:
+                k = b.column("doc_id")
+                missing.append(np.asarray(k.is_null()))
+                keys.append(np.asarray(k.fill_null(0)))
+                for s in tv.slices(b.column("text")):
+                    flat, first = enc.encode(s)
+                    lengths.append(np.diff(first) + 1)
+                    out.write(np.insert(flat, first[1:], end_id).astype(f"<u{width}").tobytes())
+                hand_back()
+            rows = sum(map(len, keys))
+            if rows:
+                keys, missing, lengths = map(np.concatenate, (keys, missing, lengths))
+                starts = np.concatenate([[0], np.cumsum(lengths)])
+                for part in index_bytes(keys, missing, starts, width):
+                    out.write(part)
+                out.write((len(MAGIC) + int(starts[-1]) * width).to_bytes(8, "little") + MAGIC)
+        if not rows:
+            store.delete_file(mine)
+            return
+        store.move(mine, name)
+        live = keys[~missing]
+        row = {"path": [name], "shard": [task.partitionId()], "least": [None if missing[0] else int(keys[0])], "most": [int(live[-1]) if len(live) else None], "n_rows": [rows], "n_ids": [int(starts[-1])]}
+        kind = pa.schema([("path", pa.string()), ("shard", pa.int32()), ("least", pa.int64()), ("most", pa.int64()), ("n_rows", pa.int64()), ("n_ids", pa.int64())])
         yield pa.RecordBatch.from_pydict(row, schema=kind)
 
+    bound_batches(spark)
     manifest = ordered.mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -190,18 +219,14 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
         for name, shard, base in zip(*(batch.column(c).to_pylist() for c in ("path", "shard", "base")), strict=True):
             with store.open_input_file(name) as file:
                 s = Shard(file)
-                by_key = s.rows_of(s.keys)
-                for lo in range(0, s.n_rows, 20_000):
-                    rows = range(lo, min(lo + 20_000, s.n_rows))
-                    crc = [zlib.crc32(s.ids(r).tobytes()) for r in rows]
+                for lo in range(0, s.n_rows, READ_ROWS):
+                    hi = min(lo + READ_ROWS, s.n_rows)
+                    rows = np.arange(lo, hi)
+                    first, copies = s.find(s.keys[lo:hi])
                     yield {
-                        "doc_id": pa.array(s.keys[lo : rows.stop], pa.int64(), mask=s.missing[lo : rows.stop]),
-                        "start": s.starts[lo : rows.stop] + base,
-                        "n_tokens": np.diff(s.starts[lo : rows.stop + 1]),
-                        "ids_crc32": crc,
-                        "shard": [shard] * len(rows),
-                        "found": [r in by_key[r] for r in rows],
-                    }
+                        "doc_id": pa.array(s.keys[lo:hi], pa.int64(), mask=s.missing[lo:hi]), "start": s.starts[lo:hi] + base, "n_tokens": np.diff(s.starts[lo : hi + 1]),
+                        "ids_crc32": [zlib.crc32(s.ids(r).tobytes()) for r in rows.tolist()], "shard": [shard] * len(rows), "found": ~s.missing[lo:hi] & (rows >= first) & (rows < first + copies),
+                    }
 
     return arrow_map(starts.repartition(n, "shard"), read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, found boolean")
 
@@ -212,7 +237,25 @@ def token_output(docs: DataFrame, folder: str | None = None, path: str | None =
     return read_shards(write_shards(docs, folder, path, shards=shards), folder)
 
 
-def lookup(file: bytes, key: int) -> list[np.ndarray]:
-    """Ids of all rows of a key of a shard in memory."""
-    s = Shard(io.BytesIO(file))
-    return [s.ids(r) for r in s.rows_of(np.array([key], np.int64))[0]]
+class Corpus:
+    """Keyed access to all shards of a manifest: the shard by its range of keys, the row by the shard's hash."""
+
+    def __init__(self, manifest: DataFrame, folder: str):
+        rows = manifest.where("most is not null").orderBy("shard").select("path", "least", "most").collect()  # a row per shard
+        self.store, _ = _store(folder)
+        self.paths, self.most = [r["path"] for r in rows], [r["most"] for r in rows]
+        self.open: dict[str, Shard] = {}
+
+    def lookup(self, key: int) -> list[np.ndarray]:
+        """Ids of all rows of a key, in order; none for an unknown key."""
+        from bisect import bisect_left
+
+        out = []
+        for i in range(bisect_left(self.most, key), len(self.paths)):
+            if self.paths[i] not in self.open:
+                self.open[self.paths[i]] = Shard(self.store.open_input_file(self.paths[i]))
+            s = self.open[self.paths[i]]
+            out += [s.ids(r) for r in s.rows_of(np.array([key], np.int64))[0]]
+            if self.most[i] > key:  # rows of one key may go on in the next shard
+                break
+        return out

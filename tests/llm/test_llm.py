@@ -280,9 +280,28 @@ def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     assert sorted(tokenout.PerfectHash.build(keys).index(keys).tolist()) == list(range(len(keys)))
     ids = np.arange(len(keys) * 2, dtype=np.uint32) % 70_000
-    raw = b"".join(tokenout.shard_bytes(keys, np.zeros(len(keys), bool), np.arange(0, len(ids) + 1, 2), ids))
-    assert tokenout.lookup(raw, int(keys[17]))[0].tolist() == [34, 35] and tokenout.lookup(raw, 12345) == []
-    assert tokenout.Shard(io.BytesIO(raw)).n_keys == len(keys)
+    index = tokenout.index_bytes(keys, np.zeros(len(keys), bool), np.arange(0, len(ids) + 1, 2), 4)
+    body = tokenout.MAGIC + ids.astype("<u4").tobytes()
+    shard = tokenout.Shard(io.BytesIO(body + b"".join(index) + len(body).to_bytes(8, "little") + tokenout.MAGIC))
+    assert [shard.ids(r).tolist() for r in shard.rows_of(keys[17:18])[0]] == [[34, 35]] and len(shard.rows_of(np.array([12345]))[0]) == 0
+    assert shard.n_keys == len(keys)
+
+
+def test_lookup_by_key(spark, tmp_path):
+    """Keyed access over all shards: repeated keys that fill several shards, unknown and null keys, extra columns."""
+    rows = [(i, f"text of {i}", "x") for i in range(0, 400, 2)] + [(100, f"again {j}", "x") for j in range(300)] + [(None, "no key", "x"), (7, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
+    folder = f"file://{tmp_path}/tokens"
+    manifest = tokenout.write_shards(df, folder, shards=6)
+    corpus = tokenout.Corpus(manifest, folder)
+    enc = tokens.PieceEncoder.of(tokens.default_path("byte_bpe_50k.json"))
+    for key in (0, 7, 100, 102, 398):
+        want = sorted([*enc.tok.encode(t or "", add_special_tokens=False).ids, 0] for k, t, _ in rows if k == key)
+        assert sorted(x.tolist() for x in corpus.lookup(key)) == want, key
+    assert corpus.lookup(1) == corpus.lookup(-5) == corpus.lookup(10_000) == []
+    got = tokenout.read_shards(manifest, folder).collect()
+    assert len(got) == len(rows) and sum(r.found for r in got) == len(rows) - 1 and manifest.count() > 2
+    assert len({r.shard for r in got if r.doc_id == 100}) > 1
 
 
 def test_page_text(spark):
