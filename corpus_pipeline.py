@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankwell.llm import decontam, minhash, packing, pii, quality
-from rankwell.llm.common import doc_columns, materialise, small, table
+from rankwell.llm.common import discard, doc_columns, materialise, small, table
 
 #: Up to this many ids of dropped documents are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of a benchmark go."""
-    return doc_columns(decontam.report(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return doc_columns(decontam.find_contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,15 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL can express neither the trained model nor the packing; tests compare with brute force.
+#: SQL can express neither the trained model nor the packing; a test compares each stage with a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            discard(last)  # the stage before is not read again
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,8 +7,10 @@ document side joins on each window's rarest shingle only.  A hit gives the one p
 window could stand at; the length and positional bounds discard places that leave the
 text, and the words of the rest are compared exactly.
 
-Windows are dealt into blocks of a fixed size.  A block is what a task holds; all
-documents pass by each block, so any number of items is handled.
+Windows are dealt into blocks of a fixed number of distinct ones.  A block is what the
+driver and a task hold; all documents pass by each block, so any number of windows is
+handled.  Which items a window belongs to, and of a common one these may be very many,
+stays in a table that is joined with the distinct sets of windows that documents hold.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.llm import textvec as tv
-from rankwell.llm.common import arrow_map, materialise
+from rankwell.llm.common import arrow_map, discard, materialise, small
 
 WINDOW = 13
 SHINGLE = 3
-#: (window, item) rows of a block: about 100 bytes each on the driver and in a task.
+#: Distinct windows of a block: some 200 bytes each on the driver and in a task.
 BLOCK_ROWS = 100_000
+#: Up to this many sets of windows with their items' hash are broadcast; more are joined by a shuffle.
+BROADCAST_SETS = 200_000
 _FILTER = 1 << 18
 
 
@@ -52,10 +56,9 @@ def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 @dataclass
 class Block:
-    """Windows of a block, their items and, once counted, their prefixes."""
+    """Windows of a block with their shingles, which become prefixes once they are counted."""
 
     windows: list[bytes]
-    items: list[list[str]]
     shingles: list[list[tuple[int, int]]]  # of each window: (hash, width)
 
     @property
@@ -66,11 +69,12 @@ class Block:
         return np.unique(np.array([h for s in self.shingles for h, w in s if w == width], np.uint64))
 
 
-def _block(rows: list) -> Block:
-    by: dict[bytes, list[str]] = {}
-    for r in rows:
-        by.setdefault(bytes(r["window"]), []).append(r["item"])
-    windows = sorted(by)
+def window_id(window: bytes) -> str:
+    return hashlib.sha256(window).hexdigest()[:32]
+
+
+def _block(windows: list[bytes]) -> Block:
+    windows = sorted(windows)
     shingles = []
     for w in windows:
         data = np.frombuffer(w, np.uint8)
@@ -78,7 +82,7 @@ def _block(rows: list) -> Block:
         h = tv.span_hashes(data, np.append(0, gap + 1), np.append(gap, len(data)))
         k = min(SHINGLE, len(h))
         shingles.append([(int(x), k) for x in tv.run_hashes(h, k)])
-    return Block(windows, [sorted(by[w]) for w in windows], shingles)
+    return Block(windows, shingles)
 
 
 class _Known:
@@ -123,7 +127,7 @@ def count_shingles(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
 
 
 def _match(docs: DataFrame, block: Block, counts: dict[tuple[int, int], int], size: int) -> DataFrame:
-    """Adds the block's spans (first word, word after) and items to each document's."""
+    """Adds the block's spans (first word, word after) and windows to each document's."""
     prefix: dict[int, list[tuple[int, int, int]]] = {}
     for i, s in enumerate(block.shingles):
         _, at = min((counts.get(x, 0), p) for p, x in enumerate(s))
@@ -136,7 +140,7 @@ def _match(docs: DataFrame, block: Block, counts: dict[tuple[int, int], int], si
         tables[w] = (keys, np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
     used = sorted({int(i) for t in tables.values() for i in t[2]})
     windows = {i: block.windows[i] for i in used}
-    items = {i: block.items[i] for i in used}
+    names = {i: window_id(windows[i]) for i in used}
     length = {i: windows[i].count(b" ") + 1 for i in used}
     columns = docs.columns
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
@@ -147,7 +151,7 @@ def _match(docs: DataFrame, block: Block, counts: dict[tuple[int, int], int], si
             h = tv.span_hashes(data, starts, ends)
             own = tv.owner_of(first)
             spans: list[list] = [list(x) for x in batch.column("spans").slice(s.lo, len(s)).to_pylist()]
-            found: list[set] = [set(x) for x in batch.column("items").slice(s.lo, len(s)).to_pylist()]
+            found: list[set] = [set(x) for x in batch.column("windows").slice(s.lo, len(s)).to_pylist()]
             sure: dict[tuple[int, int], bool] = {}
             for w, (keys, begin, which, offset) in tables.items():
                 if len(h) < w:
@@ -163,11 +167,11 @@ def _match(docs: DataFrame, block: Block, counts: dict[tuple[int, int], int], si
                             continue
                         if sure.setdefault((i, lo), b" ".join(data[a:b].tobytes() for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)) == windows[i]):
                             spans[doc].append({"lo": lo - int(first[doc]), "hi": hi - int(first[doc])})
-                            found[doc].update(items[i])
+                            found[doc].add(names[i])
             yield {c: batch.column(c).slice(s.lo, len(s)) for c in columns} | {
                 "n_words": np.diff(first),
                 "spans": [_merged(x) for x in spans],
-                "items": [sorted(x) for x in found],
+                "windows": [sorted(x) for x in found],
             }
 
     return arrow_map(docs, run, kinds)
@@ -183,34 +187,52 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs' own columns with n_words, spans (array of lo, hi in words, disjoint) and items (sorted strings).
+def _pieces(items: DataFrame, size: int) -> DataFrame:
+    return materialise(windows_of(items, size).distinct(), "windows")
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_rows: int = BLOCK_ROWS, pieces: DataFrame | None = None) -> DataFrame:
+    """docs' own columns with n_words, spans (array of lo, hi in words, disjoint), windows (ids of those that occur), n_hit and contaminated.
 
     Null texts have no words and no hits; so have all documents when there are no items.
     Items without words or without an id have no windows; rows of one item_id are one item.
     Repeated documents are judged one by one, and further columns are ignored.
     """
     own = docs.select(*[c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns])
-    pieces = materialise(windows_of(items, size).distinct(), "windows")
-    n_blocks = max(1, -(-pieces.count() // block_rows))
-    out = own.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<lo:long,hi:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    distinct = (_pieces(items, size) if pieces is None else pieces).select("window").distinct()
+    n_blocks = max(1, -(-distinct.count() // block_rows))
+    out = own.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<lo:long,hi:long>>").alias("spans"), F.array().cast("array<string>").alias("windows"))
     for b in range(n_blocks):
-        part = pieces.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == b)
-        block = _block(part.collect())  # about block_rows rows, whatever the number of items
-        out = _match(out, block, count_shingles(own, block), size)
+        part = distinct.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == b)
+        block = _block([bytes(r["window"]) for r in part.collect()])  # about block_rows distinct windows
+        last, out = out, _match(out, block, count_shingles(own, block), size)
         if n_blocks > 1:
             out = materialise(out, "block")
-    return out
+            if b:
+                discard(last)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
+    out = out.withColumn("n_hit", n_hit)
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """find_contamination with n_hit, n_items, items_sha256 and contaminated."""
-    found = find_contamination(docs, items, size)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
-    out = found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
-    out = out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+def items_of(found: DataFrame, pieces: DataFrame) -> DataFrame:
+    """found (set_key, windows), each set once, with items: the sorted ids of the items whose windows these are."""
+    name = F.substring(F.sha2("window", 256), 1, 32)
+    each = found.select("set_key", F.explode("windows").alias("w")).join(pieces.select(name.alias("w"), "item"), "w")
+    return each.select("set_key", "item").distinct().groupBy("set_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+
+
+def report(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items of each document."""
+    pieces = _pieces(items, size)
+    judged = find_contamination(docs, items, size, block_rows, pieces).select("doc_id", "n_words", "n_hit", "contaminated", "windows")
+    judged = materialise(judged.withColumn("set_key", F.when(F.size("windows") > 0, F.sha2(F.array_join("windows", ""), 256))), "judged")
+    sets = judged.where("set_key is not null").groupBy("set_key").agg(F.first("windows").alias("windows"))
+    known = items_of(sets, pieces).select("set_key", F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"), "items")
+    out = judged.drop("windows").join(small(materialise(known, "sets"), BROADCAST_SETS), "set_key", "left").drop("set_key")
+    none = F.array().cast("array<string>")
+    return out.select("doc_id", "n_words", "n_hit", F.coalesce("n", F.lit(0)).alias("n_items"), F.coalesce("sha", F.lit(digest([]))).alias("items_sha256"), "contaminated", F.coalesce("items", none).alias("items"))

@@ -145,7 +145,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Fits on at most `rows` labelled rows; null and repeated labels are left out."""
+    """Fits on at most `rows` labelled documents.
+
+    Null labels are left out; of repeated labels of a document the least counts, and of
+    repeated rows of a document the least text.
+    """
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def rows_of(batch):
@@ -154,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
             yield {"key": batch.column("doc_id").slice(s.lo, len(s)), "y": y.slice(s.lo, len(s)), "x": pa.array([v.tobytes() for v in features(s)], pa.binary())}
 
     # at most `rows` ids: a bound that makes the broadcast safe
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = arrow_map(joined, rows_of, "key long, y int, x binary").toArrow().combine_chunks().sort_by([("key", "ascending"), ("x", "ascending")])
     if not len(got):
         return None

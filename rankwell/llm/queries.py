@@ -54,7 +54,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.page_responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+    return warc.derive(warc.page_responses(table(spark, sf_dir, "pages"), position=warc.source_position())).withColumnRenamed("key", "page_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import arrow_map
@@ -49,26 +49,37 @@ def page_text(page: str) -> str:
     return LINES.sub("\n", SPACE.sub(" ", html.unescape(text))).strip()
 
 
-def page_responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Response records of pages(page_id, url, html): null html is an empty payload, null url an empty target."""
+def page_responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", position: Column | None = None) -> DataFrame:
+    """Response records of pages(page_id, url, html): null html is an empty payload, null url an empty target.
+
+    position tells rows apart that are equal otherwise (source_position of a table that is
+    read from files), so each record has an id of its own; without it equal rows have one id.
+    """
 
     def run(batch):
         out = {c: [] for c in ("key", "record_id", "target_uri", "warc_date", "http_headers", "payload")}
-        for key, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+        for key, url, page, at in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "position")), strict=True):
             raw = (page or "").encode()
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(raw)}\r\n\r\n"
-            for c, v in zip(out, (key, urn("response", str(key), url or "", digest(raw)), url or "", date, head, raw), strict=True):
+            for c, v in zip(out, (key, urn("response", str(key), url or "", digest(raw), at or ""), url or "", date, head, raw), strict=True):
                 out[c].append(v)
         yield out
 
-    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"), run, RESPONSES)
+    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", (F.lit("") if position is None else position).alias("position")), run, RESPONSES)
+
+
+def source_position() -> Column:
+    """File and row of a table that is read from files: the same on every run, however the files are split."""
+    return F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
 
 
 def derive(responses: DataFrame) -> DataFrame:
     """Two records of each response.  payload_digest is the source's.
 
-    Payloads that are no text (or null) convert to what their decodable bytes say;
-    repeated responses give repeated records.
+    Payloads that are no text (or null) convert to what their decodable bytes say; one
+    response's records are as unique as its id, and a response without an id is named by
+    its target, date and headers besides its digest.  Further columns are left out, an
+    empty table gives no records.
     """
 
     def run(batch):
@@ -88,11 +99,11 @@ def derive(responses: DataFrame) -> DataFrame:
             meta += [("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("outlinks", str(len(LINK.findall(page))))]
             for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in meta)), ("conversion", "text/plain; charset=utf-8", page_text(page))):
                 b = block.encode("utf-8", "replace")
-                rows.append((key, kind, urn(kind, rid or "", source), rid, uri, date, content, source, digest(b), len(b), head, b.decode()))
+                rows.append((key, kind, urn(kind, rid or "", source) if rid else urn(kind, "", uri or "", date or "", head or "", source), rid, uri, date, content, source, digest(b), len(b), head, b.decode()))
         names = [x.split()[0] for x in RECORDS.split(", ")]
         yield {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
-    return arrow_map(responses, run, RECORDS)
+    return arrow_map(responses.select(*[x.split()[0] for x in RESPONSES.split(", ")]), run, RECORDS)
 
 
 def record_bytes(r) -> bytes:
