@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share.
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
     Only a session of one machine may leave it unset (tests); a cluster must name it.
     """
@@ -18,6 +18,11 @@ def scratch(spark: SparkSession, what: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
-        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared(spark)}/{what}-{uuid.uuid4().hex}"
