@@ -31,8 +31,8 @@ from rankwell.llm.tokens import PieceEncoder, default_path
 
 MAGIC = b"RWTOK2\0\0"
 GAMMA = 2
-#: Bytes of text of a shard, about, and of the shards of an input too small to fill all cores with such.
-SHARD_BYTES, SMALL_SHARD_BYTES = 128 << 20, 4 << 20
+#: Bytes of text of a shard at most and at least, about; between them they grow with the corpus's square root.
+MOST_SHARD_BYTES, LEAST_SHARD_BYTES = 128 << 20, 1 << 20
 #: Rows that are read back at a time.
 READ_ROWS = 4096
 MANIFEST = "path string, shard int, least long, most long, n_rows long, n_ids long"
@@ -144,10 +144,10 @@ def _store(uri: str):
 
 
 def _shards(docs: DataFrame) -> int:
-    """Shards by bytes of text; a small input is cut finer, so that all cores have some."""
+    """Number of shards by bytes of text: one holds the square root of 64 KiB times the corpus, within the bounds."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    few = min(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // SMALL_SHARD_BYTES))
-    return max(1, few, -(-size // SHARD_BYTES))
+    each = min(MOST_SHARD_BYTES, max(LEAST_SHARD_BYTES, int((size << 16) ** 0.5)))
+    return max(1, -(-size // each))
 
 
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, shards: int | None = None) -> DataFrame:
