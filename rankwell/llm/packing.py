@@ -5,12 +5,15 @@ lengths (at most ``size`` rows, whatever the corpus) reaches the driver, where
 
 1. lengths over ``size / 4`` are sorted and cut into groups of equal cardinality, each
    rounded up to its largest member;
-2. configurations of the few rounded sizes are optimised: the largest remaining size
-   gets the complement of one or two sizes that fills its sequence best, repeated as
-   often as both last;
+2. configurations of the few rounded sizes, at most three to a sequence, are optimised by
+   a linear program over all of them; what its whole parts leave is filled greedily, the
+   largest remaining size with the one or two that complement it best;
 3. actual lengths take the places of the rounded ones;
 4. the small lengths go best-fit into what is left, longest first.
 
+Few groups lose room by rounding and many are dear to optimise, so a coarse optimised plan
+and a fine greedy one are both made, and the one of fewer sequences is used.
+
 The plan is a list of runs (length, ranks, first sequence, offset).  Its length depends
 on the number of lengths, not of documents.  Pieces find their run by their rank within
 their length, which is counted in salted buckets so that one frequent length is no
@@ -109,8 +112,48 @@ def _groups(counts: dict[int, int], n_groups: int) -> list[tuple[int, list[list[
     return out
 
 
-def plan(histogram: dict[int, int], size: int = 2048, n_groups: int = 256) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, last rank, sequence of the first, offset in the sequence)."""
+def configurations(sizes: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[list[int], float]]:
+    """(groups of a sequence, how many such sequences) of an optimal fractional packing of a few sizes.
+
+    Minimises the number of sequences over all configurations of one to three sizes, by
+    the revised simplex method from one size to a sequence.
+    """
+    g = len(sizes)
+    padded = np.append(sizes, 0)
+    a, b = np.triu_indices(g)
+    pair = padded[a] + padded[b] <= size
+    pairs = np.stack([a[pair], b[pair], np.full(pair.sum(), g)], 1)
+    third = [np.insert(pairs[pairs[:, 1] <= c, :2], 2, c, axis=1) for c in range(g)]
+    every = np.concatenate([np.stack([np.arange(g), np.full(g, g), np.full(g, g)], 1), pairs, *[t[padded[t].sum(1) <= size] for t in third]])
+    basis, inverse, x = list(range(g)), np.eye(g), counts.astype(float)
+    for _ in range(40 * g):  # more steps improve it further, but any is a plan
+        price = np.append(inverse.sum(0), 0.0)
+        gain = price[every].sum(1)
+        new = int(gain.argmax())
+        if gain[new] <= 1 + 1e-9:
+            break
+        column = np.bincount(every[new], minlength=g + 1)[:g].astype(float)
+        step = inverse @ column
+        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratio.argmin())
+        t = ratio[out]
+        x = x - t * step
+        x[out] = t
+        inverse[out] /= step[out]
+        for r in range(g):
+            if r != out:
+                inverse[r] -= step[r] * inverse[out]
+        basis[out] = new
+    return [([int(i) for i in every[p] if i < g], float(v)) for p, v in zip(basis, x, strict=True) if v > 0]
+
+
+def plan(histogram: dict[int, int], size: int = 2048, n_groups: int = 256, optimised: int = 128) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, first rank, last rank, sequence of the first, offset in the sequence): the better of two plans."""
+    return min(_plan(histogram, size, optimised, True), _plan(histogram, size, n_groups, False), key=lambda p: p[0])[1]
+
+
+def _plan(histogram: dict[int, int], size: int, n_groups: int, optimise: bool) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Number of sequences, and the runs."""
     bins, runs, used = _Bins(size), [], defaultdict(int)
 
     def lay(length: int, n: int, lo: int, at: int) -> None:
@@ -130,24 +173,13 @@ def plan(histogram: dict[int, int], size: int = 2048, n_groups: int = 256) -> li
         fit = np.flatnonzero((have > 0) & (rounded <= room))
         return int(fit[0]) if len(fit) else -1
 
-    while left.any():
-        a = int(np.flatnonzero(left)[0])
-        config, fill = [a], int(rounded[a])
-        second = [int(b) for b in np.flatnonzero((left > 0) & (rounded <= size - rounded[a])) if b != a or left[a] > 1]
-        top = (fill, [a])
-        for b in second:
-            c = best(size - fill - int(rounded[b]), [a, b])
-            got = [a, b] + [c] * (c >= 0)
-            top = max(top, (int(rounded[got].sum()), got), key=lambda t: (t[0], -len(t[1])))
-        config = top[1]
-        need = {g: config.count(g) for g in config}
-        times = min(int(left[g]) // n for g, n in need.items())
+    def place(config: list[int], times: int) -> None:
+        """So many sequences of a configuration."""
         lo, done = bins.open(times), 0
         for g in config:
             left[g] -= times
         # actual lengths take the rounded places, as runs of equal lengths on all places
-        heads = [groups[g][1] for g in config]
-        slots = [_cut(h, times) for h in heads]
+        slots = [_cut(groups[g][1], times) for g in config]
         marks = sorted({m for s in slots for m in _ends(s)})
         at = [0] * len(slots)
         got = [0] * len(slots)
@@ -161,6 +193,23 @@ def plan(histogram: dict[int, int], size: int = 2048, n_groups: int = 256) -> li
                     at[k], got[k] = at[k] + 1, 0
             bins.put(size - fill, lo + done, n)
             done = mark
+
+    if optimise and len(groups):
+        for config, times in configurations(rounded, left, size):
+            whole = min([int(times + 1e-6), *[int(left[g]) // config.count(g) for g in config]])
+            if whole:
+                place(config, whole)
+    while left.any():
+        a = int(np.flatnonzero(left)[0])
+        config, fill = [a], int(rounded[a])
+        second = [int(b) for b in np.flatnonzero((left > 0) & (rounded <= size - rounded[a])) if b != a or left[a] > 1]
+        top = (fill, [a])
+        for b in second:
+            c = best(size - fill - int(rounded[b]), [a, b])
+            got = [a, b] + [c] * (c >= 0)
+            top = max(top, (int(rounded[got].sum()), got), key=lambda t: (t[0], -len(t[1])))
+        config = top[1]
+        place(config, min(int(left[g]) // config.count(g) for g in config))
     for length in sorted((k for k in histogram if k <= size // 4), reverse=True):
         todo = histogram[length]
         while todo:
@@ -175,7 +224,7 @@ def plan(histogram: dict[int, int], size: int = 2048, n_groups: int = 256) -> li
             lay(length, n, lo, size - room)
             bins.put(room - length, lo, n)
             todo -= n
-    return runs
+    return bins.next, runs
 
 
 def _cut(members: list[list[int]], n: int) -> list[tuple[int, int]]:

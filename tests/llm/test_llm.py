@@ -634,6 +634,27 @@ def test_packing_by_the_library(spark):
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
 
 
+def test_configurations_are_optimal():
+    """Hand-made sizes whose optimum is known: halves, thirds, and a greedy trap."""
+    total = lambda sizes, counts: sum(v for _, v in packing.configurations(np.array(sizes), np.array(counts), 12))
+    assert total([6], [10]) == pytest.approx(5) and total([4], [9]) == pytest.approx(3)
+    assert total([7, 5], [4, 4]) == pytest.approx(4) and total([8, 4], [3, 9]) == pytest.approx(3 + 2)
+    assert total([6, 5, 4, 3], [2, 2, 2, 4]) == pytest.approx(3.5, abs=0.2)
+    for sizes, counts in (([7, 5, 4], [5, 6, 7]), ([11, 6, 5, 4], [3, 8, 5, 9])):
+        found = packing.configurations(np.array(sizes), np.array(counts), 12)
+        assert all(sum(sizes[g] for g in config) <= 12 for config, _ in found)
+        got = Counter()
+        for config, v in found:
+            for g in config:
+                got[g] += v
+        assert all(got[i] == pytest.approx(c) for i, c in enumerate(counts))
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(1, 2049, 3000), rng.integers(600, 1100, 2000), np.repeat([700, 650, 690], 500)):
+        h = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+        few, many = packing._plan(h, 2048, 64, True), packing._plan(h, 2048, 256, False)
+        assert sum(b - a + 1 for _, a, b, _, _ in few[1]) == len(lengths) and min(few[0], many[0]) <= best_fit_decreasing(lengths, 2048) * 1.02 + 1
+
+
 def test_packing_of_one_length(spark):
     """Pieces all of one length, as of documents that are all cut."""
     pieces = spark.range(5000).selectExpr("id AS doc_id", "0 AS piece", "cast(0 AS long) AS start", "cast(700 AS long) AS length", "id AS ids_crc32")
