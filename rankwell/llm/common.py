@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankwell.sources import folders
 
 #: What an Arrow batch holds at most: a worker's memory does not follow the length of texts.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
