@@ -27,6 +27,7 @@ from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -266,7 +267,8 @@ def pack(pieces: DataFrame, size: int = 2048, n_groups: int = 256, buckets: int
     buckets = buckets or max(LEAST_BUCKETS, -(-sum(histogram.values()) // BUCKET_ROWS))
     runs = plan(histogram, size, n_groups)
     # runs of a length lie in ascending rank: a slice of ranks finds them without a scan of all
-    table = spark.createDataFrame(runs, "length long, first long, last long, seq long, offset long")
+    columns = np.array(runs, np.int64).reshape(-1, 5).T
+    table = spark.createDataFrame(pa.table(dict(zip(("length", "first", "last", "seq", "offset"), map(pa.array, columns), strict=True))))
     hit = (F.col("r.length") == F.col("p.length")) & F.col("p.rank").between(F.col("r.first"), F.col("r.last"))
     # at most about 4 runs for each pair of a length and a level of free space, 24 bytes each: broadcast by its size
     near = F.broadcast(table) if len(runs) <= 200_000 else table

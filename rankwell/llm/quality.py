@@ -34,18 +34,18 @@ def features(s: tv.Slice) -> np.ndarray:
     n = len(s)
     starts, ends, first, data = tv.words(s, tv.NONWHITE, lower=True)
     h = tv.span_hashes(data, starts, ends)
-    words = np.bincount(tv.owner_of(first) * HALF + (h >> np.uint64(54)).astype(np.int64), minlength=n * HALF).reshape(n, HALF)
+    x = np.zeros((n, 2 * HALF), np.float32)
+    x[:, :HALF] = np.bincount(tv.owner_of(first) * HALF + (h >> np.uint64(54)).astype(np.int64), minlength=n * HALF).reshape(n, HALF)
     cps, at = tv.code_points(s)
     if len(cps) > 2:
         c = cps.astype(np.uint64)
         gram = tv.mix(c[:-2] | (c[1:-1] << np.uint64(21)) | (c[2:] << np.uint64(42)))
         own = tv.owner_of(at)
         same = own[:-2] == own[2:]
-        chars = np.bincount(own[:-2][same] * HALF + (gram[same] >> np.uint64(54)).astype(np.int64), minlength=n * HALF).reshape(n, HALF)
-    else:
-        chars = np.zeros((n, HALF))
-    x = np.log1p(np.hstack([words, chars])).astype(np.float32)
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+        x[:, HALF:] = np.bincount(own[:-2][same] * HALF + (gram[same] >> np.uint64(54)).astype(np.int64), minlength=n * HALF).reshape(n, HALF)
+    np.log1p(x, out=x)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    return x
 
 
 def base_counts(s: tv.Slice) -> dict[str, np.ndarray]:

@@ -19,9 +19,9 @@ _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
 
 #: Bytes of one slice; a longer text is a slice of its own.
-SLICE_BYTES = (1 << 20) - 64
+SLICE_BYTES = (1 << 19) - 64
 #: Texts of one slice at most.
-SLICE_ROWS = 1024
+SLICE_ROWS = 256
 
 
 def class_table(separators: bytes) -> np.ndarray:
