@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import chat, decontam, htmltext, langid, minhash, packing, pii, quality, tokenout, warc
+from rankwell.llm import chat, decontam, htmltext, langid, minhash, packing, pii, quality, rolling, tokenout, warc
 from rankwell.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.page_responses(table(spark, sf_dir, "pages"), position=warc.source_position())).withColumnRenamed("key", "page_id")
 
 
+def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.flag_clicks(table(spark, sf_dir, "clicks"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_decontamination, op3_packing, op4_pii_surrogates, op5_near_dedup, op6_token_shards, op7_page_text, op8_quality_rules, op9_language_id, op10_warc_derivatives, pipeline)
+    for f in (op1_chat_format, op2_decontamination, op3_packing, op4_pii_surrogates, op5_near_dedup, op6_token_shards, op7_page_text, op8_quality_rules, op9_language_id, op10_warc_derivatives, op12_rolling_median, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,5 +113,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+""",
+    "op12_rolling_median": """
+WITH one AS (
+  SELECT click_id, min(struct_pack(ts, kind, cents := CAST(floor(100 * value + 0.5) AS BIGINT))) AS r
+  FROM clicks WHERE ts IS NOT NULL GROUP BY click_id
+), p AS (
+  SELECT click_id, r.kind AS kind, r.cents AS cents,
+    list(r.cents) FILTER (r.cents IS NOT NULL) OVER (PARTITION BY r.kind ORDER BY r.ts RANGE BETWEEN INTERVAL 360 MINUTES PRECEDING AND CURRENT ROW) AS w
+  FROM one
+), m AS (
+  SELECT click_id, kind, cents, w, CAST(coalesce(len(w), 0) AS BIGINT) AS n,
+    CASE WHEN len(w) >= 5 THEN list_sort(w)[(len(w) + 1) // 2] + list_sort(w)[len(w) // 2 + 1] END AS median2 FROM p
+), d AS (
+  SELECT *, CASE WHEN n >= 5 THEN list_sort(list_transform(w, lambda x: abs(2 * x - median2))) END AS d FROM m
+)
+SELECT click_id, kind, n, median2, d[(n + 1) // 2] + d[n // 2 + 1] AS mad4,
+  2 * abs(2 * cents - median2) > 5 * (d[(n + 1) // 2] + d[n // 2 + 1]) AS far
+FROM d
 """,
 }
