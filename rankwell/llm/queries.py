@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import chat, decontam, htmltext, langid, minhash, packing, pii, quality, rolling, tokenout, warc
+from rankwell.llm import chat, decontam, htmltext, langid, minhash, packing, pii, prefixtrie, quality, rolling, suffixes, tokenout, warc
 from rankwell.llm.common import table
 
 
@@ -57,10 +57,18 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.page_responses(table(spark, sf_dir, "pages"), position=warc.source_position())).withColumnRenamed("key", "page_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.flag_clicks(table(spark, sf_dir, "clicks"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_decontamination, op3_packing, op4_pii_surrogates, op5_near_dedup, op6_token_shards, op7_page_text, op8_quality_rules, op9_language_id, op10_warc_derivatives, op12_rolling_median, pipeline)
+    for f in (op1_chat_format, op2_decontamination, op3_packing, op4_pii_surrogates, op5_near_dedup, op6_token_shards, op7_page_text, op8_quality_rules, op9_language_id, op10_warc_derivatives, op11_prefix_trie, op12_rolling_median, op13_repeated_passages, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,6 +121,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT c, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda u, z: xor(u >> 1, 3988292384 * (u & 1))))) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), r AS (
+  SELECT k.c, pos, role, text FROM k JOIN t ON t.c = k.c - k.c % 20 AND pos <= h
+  UNION ALL SELECT k.c, pos, role, text FROM k JOIN t ON t.c = k.c AND pos > h
+), s AS (
+  SELECT k.c, coalesce(list(sha256(length(role) || ':' || role || text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS seq,
+    list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY pos) FILTER (pos IS NOT NULL) AS w
+  FROM k LEFT JOIN r USING (c) GROUP BY k.c
+), n AS (
+  SELECT list_slice(seq, 1, d) AS node, d, min(c) AS c, count(*) AS n, coalesce(any_value(w[d]), 0) AS words,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len(seq)), '')) AS ends
+  FROM (SELECT c, seq, w, unnest(range(0, len(seq) + 1)) AS d FROM s) GROUP BY 1, 2
+), kids AS (
+  SELECT list_slice(node, 1, d - 1) AS node, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1
+), f AS (
+  SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (node)
+), below AS (
+  SELECT list_slice(node, 1, i) AS node, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM f) GROUP BY 1
+)
+SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN below USING (node) LEFT JOIN n AS p ON f.d > 0 AND p.node = list_slice(f.node, 1, f.d - 1)
 """,
     "op12_rolling_median": """
 WITH one AS (
