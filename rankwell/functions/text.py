@@ -19,9 +19,10 @@ def normalize_whitespace(t: Column) -> Column:
 
 def sentences(t: Column, abbreviations: list[str] | None = None) -> Column:
     """Sentences of a text, trimmed; one that would end with an abbreviation goes on after a single blank."""
-    known = r"(?<=(?iU)\b(?:" + "|".join(abbreviations or ABBREVIATIONS) + r")\.)"
-    joined = F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), known + r"\s+", " ")
-    pieces = F.split(joined, r"(?<=[.!?])(?<!" + known[4:-1] + r")\s+")
+    mark = "\uffff"  # no character of any text
+    known = r"((?iU)\b(?:" + "|".join(abbreviations or ABBREVIATIONS) + r")\.)" + mark
+    ends = F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"([.!?])\s+", "$1" + mark)
+    pieces = F.split(F.regexp_replace(ends, known, "$1 "), mark)
     return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
 
 
