@@ -238,8 +238,9 @@ def _asked(texts: DataFrame, asked: DataFrame, length: int, k: int) -> tuple[Dat
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = K, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """(base, pos, l, r): bytes pos - l to pos + r of the text at base are covered by strings of length bytes that repeat."""
-    # anchors that stand at two places at least, then their occurrences with classes
-    again = occurrences(texts, length, k, classes=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # anchors that stand at two places at least, then their occurrences with classes; both are
+    # dealt out anew for the join, so that Spark can split an anchor that very many places share
+    again = materialise(occurrences(texts, length, k, classes=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     found = materialise(occurrences(texts, length, k).join(again, "anchor", "left_semi"), "occurrences")
     at = F.col("base") + F.col("pos")
     classes = materialise(found.groupBy("anchor", "cls").agg(F.count("*").alias("n"), F.min("base").alias("base"), F.min(at).alias("at")), "classes")
@@ -250,6 +251,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = K, hot_class
     whole = found.join(classes.where("n > 1").select("anchor", "cls"), ["anchor", "cls"], "left_semi").select("base", "pos", F.lit(length - k).alias("l"), F.lit(length).alias("r"))
     spans = _tree(cold, length).unionByName(_counted(hot, length)).unionByName(whole)
     out = materialise(spans, "spans")
+    discard(again)
     discard(found)
     discard(classes)
     return out
