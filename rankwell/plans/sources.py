@@ -322,40 +322,6 @@ def flt02(spark, d):
     return G.HoldoutPolicy(["development", "test"]).log(read(spark, d, "benchmark").select(split.alias("split")), "tuning")
 
 
-@register("flt03_canonical_ids", f"WITH {_MATRIX_SQL}, u AS (SELECT strategy, qid, unnest(p) AS x, qid LIKE '%3' AS bad FROM m) SELECT strategy, qid, 'passage_ids' AS path, CASE WHEN bad THEN 'chunk' || x ELSE x END AS value FROM u WHERE bad")
-def flt03(spark, d):
-    """Ids anywhere in a nested artefact that are not canonical, with the path they stand at."""
-    m = _matrix(spark, d).withColumn("passage_ids", F.when(F.col("qid").like("%3"), F.transform("passage_ids", lambda x: F.concat(F.lit("chunk"), x))).otherwise(F.col("passage_ids")))
-    ids = m.select("strategy", "qid", F.lit("passage_ids").alias("path"), F.explode("passage_ids").alias("value"))
-    return ids.where(~F.startswith("value", F.lit("ps_")))
-
-
-@register("flt04_blinding", """WITH c AS (SELECT conv_id, turn, concat(CASE conv_id % 6 WHEN 0 THEN 'the STRATEGY won ' WHEN 1 THEN 'rank one ' ELSE '' END, text) AS t FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, conv_id % 6 = 0 OR regexp_matches(t, '(?i)strategy') AS strategy, conv_id % 6 = 1 OR regexp_matches(t, '(?i)rank') AS rank, regexp_matches(t, '(?i)score') AS score, 'meta.score,rank' AS fields FROM c""")
-def flt04(spark, d):
-    """Forbidden words in reasons, and forbidden fields anywhere in the schema."""
-    t = F.lower(F.concat(F.when(F.col("conv_id") % 6 == 0, "the STRATEGY won ").when(F.col("conv_id") % 6 == 1, "rank one ").otherwise(""), "text"))
-    c = read(spark, d, "conversations").where("text is not null").select("conv_id", "turn", t.alias("t"))
-    schema = c.select("conv_id", F.lit(1).alias("rank"), F.struct(F.lit(0.5).alias("score"), F.lit("a").alias("note")).alias("meta"))
-    found = ",".join(sorted(G.forbidden_fields(schema)))
-    return c.select("conv_id", "turn", *[F.contains("t", F.lit(w)).alias(w) for w in ("strategy", "rank", "score")], F.lit(found).alias("fields"))
-
-
-@register("flt05_leakage", """WITH f AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'the Gold_Answer ' WHEN 1 THEN 'see /QRELS/x ' WHEN 2 THEN 'ＨＯＬＤＯＵＴ' WHEN 3 THEN 'answer-key' WHEN 4 THEN 'relevant' ELSE '' END || substr(coalesce(text, ''), 1, 300) AS t FROM documents), n AS (SELECT doc_id, t, regexp_replace(translate(lower(t), 'ｈｏｌｄｕｔ', 'holdut'), '[_./\\\\\\s-]+', '', 'g') AS x FROM f)
-SELECT doc_id, regexp_matches(x, 'qrel|goldanswer|answerkey|relevantpage|holdout') AS leaks FROM n""")
-def flt05(spark, d):
-    i = F.col("doc_id") % 12
-    head = F.when(i == 0, "the Gold_Answer ").when(i == 1, "see /QRELS/x ").when(i == 2, "ＨＯＬＤＯＵＴ").when(i == 3, "answer-key").when(i == 4, "relevant").otherwise("")
-    t = F.concat(head, F.substring(F.coalesce("text", F.lit("")), 1, 300))
-    return read(spark, d, "documents").select("doc_id", G.leaks(t).alias("leaks"))
-
-
-@register("flt06_forbidden_keys", "SELECT * FROM (VALUES ('meta.qrels'), ('meta.inner.api_key'), ('steps.token')) AS t(path)")
-def flt06(spark, d):
-    """Forbidden keys at any depth of a ledger's records: the schema is walked, no row is read."""
-    e = read(spark, d, "events").select("event_id", F.struct(F.lit(1).alias("qrels"), F.struct(F.lit("k").alias("api_key"), F.lit(2).alias("ok")).alias("inner")).alias("meta"), F.array(F.struct(F.lit("t").alias("token"), F.lit(1).alias("n"))).alias("steps"))
-    return spark.createDataFrame([(p,) for p in G.forbidden_fields(e, sinks.LEDGER_FORBIDDEN)], "path string")
-
-
 @register("flt07_secret_scan", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(api[_-]?key|authorization|bearer|password|secret|token)\s*[:=]') THEN '[REDACTED]' ELSE left(text, 80) END AS preview FROM documents""")
 def flt07(spark, d):
     return read(spark, d, "documents").select("doc_id", redacted(F.col("text")).alias("preview"))

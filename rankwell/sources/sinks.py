@@ -12,7 +12,7 @@ from rankwell.operators.filters import forbidden_fields, no_holdout
 from rankwell.operators.mapping import SECRET
 
 #: Keys that a ledger must not hold, at any depth. Fixed values.
-LEDGER_FORBIDDEN = "qrels gold_answer answer_key relevant_pages holdout api_key secret token password".split()
+LEDGER_FORBIDDEN = "chain_of_thought reasoning internal_messages secret credential api_key qrels gold_answer holdout password token".split()
 FIELD = r'^(\{"data": )(.*)(, "integrity_sha256": ")([0-9a-f]{64})("\})$'
 
 

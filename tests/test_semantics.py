@@ -259,11 +259,11 @@ def test_generator_text(spark):
 
 
 def test_leaks(spark):
-    cases = {"the qrel": True, "G o l d_A-n.s/w er": True, "ＨＯＬＤＯＵＴ": True, "/data/QRELS/x": True, "golden answers": False, "relevant": False, "whole doubt": False, "hold out": True}
+    cases = {"the qrel": True, "G o l d_A-n.s/w er": True, "ＨＯＬＤＯＵＴ": True, "/data/QRELS/x": True, "golden answers": False, "relevant": False, "whole doubt": False, "hold out": True, "𝐡𝐨𝐥𝐝𝐨𝐮𝐭": True, "ⓠⓡⓔⓛ": True, "x" * 5000 + " Answer　Key": True, "qŕel": False, None: False}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
-    assert {r.t: r.x for r in df.select("t", filters.leaks(F.col("t")).alias("x")).collect()} == cases
+    assert {r.t: r.leaks for r in filters.leakage(df, "t").collect()} == cases
     nested = spark.createDataFrame([], "a struct<qrels:int,b:array<struct<token:string>>>, rank int, m map<string,struct<score:int>>")
-    assert filters.forbidden_fields(nested) == ["rank", "m.score"] and filters.forbidden_fields(nested, sinks.LEDGER_FORBIDDEN) == ["a.qrels", "a.b.token"]
+    assert filters.forbidden_fields(nested, ["rank", "score"]) == ["rank", "m.score"] and filters.forbidden_fields(nested, sinks.LEDGER_FORBIDDEN) == ["a.qrels", "a.b.token"]
 
 
 def test_artefacts(spark, tmp_path):
