@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import html
 import re
-from functools import cache
+from collections import Counter
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ PLAIN = set("area bar block box container content group inner item items links l
 #: First words of a name that say what its element has, not what it is.
 HAS = set("has have hide is js no not with without".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: What a tag has after its name: a quote after an equals sign holds what it encloses, > too; if it is never closed it is a character like others.
+ATTRIBUTES = r"(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in SILENT}
 SPACE = re.compile(r"\s+")
@@ -148,7 +151,7 @@ def _marks(name: str) -> set[str]:
     return (MARKS & set(words)) | (LAST_MARKS & set(words[-1:]))
 
 
-@cache
+@lru_cache(1 << 14)
 def _named(value: str) -> frozenset[str]:
     return frozenset().union(*map(_marks, value.split()))
 
@@ -164,7 +167,7 @@ def _kind(tag: str, attrs: str) -> str:
             name, value = name.lower(), next((v for v in values if v), "")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return "around"
-            if name in ("class", "id", "role") and tag not in ("html", "body") and tag not in INSIDE and len(value) < 500:
+            if name in ("class", "id", "role") and tag not in ("html", "body") and tag not in INSIDE:
                 found = _named(value)
                 if found == {"header"}:
                     kind = "header"
@@ -182,8 +185,12 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool, int]]:
     """
     out, parts, linked = [], [], 0
     stack: list[tuple] = []
-    inside, held, header, mark = 0, (), False, ()
-    holds: dict[int, int] = {}  # elements around articles: their words
+    standing: Counter = Counter()  # open elements by tag
+    # of each element around articles: the one around it (-1: none), and the words in it alone;
+    # held is the innermost one, mark that of a paragraph
+    above: list[int] = []
+    holds: list[int] = []
+    inside, held, header, mark = 0, -1, False, -1
     wraps: set[int] = set()  # those that hold the page's first article, main or first heading
     seen: set[str] = set()
     links, heading, at, n, total_words = 0, 0, 0, len(page), 0
@@ -195,16 +202,17 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool, int]]:
             if text:
                 words = text.count(" ") + 1
                 total = sum(map(len, parts)) or 1
-                ids = held + mark
+                around = held if mark < 0 else mark
                 total_words += words
-                for i in ids:
-                    holds[i] += words
-                out.append((text, words, min(1.0, linked / total), inside, ids, header and not heading, heading))
+                if around >= 0:
+                    holds[around] += words
+                out.append((text, words, min(1.0, linked / total), inside, around, header and not heading, heading))
             parts.clear()
-        linked, mark = 0, ()
+        linked, mark = 0, -1
 
     def new() -> int:
-        holds[len(holds)] = 0
+        above.append(held)
+        holds.append(0)
         return len(holds) - 1
 
     while at < n:
@@ -227,12 +235,13 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool, int]]:
         elif tag == "br":
             parts.append(" ")
         if m[1]:
-            if tag in ("p", "br") or not any(e[0] == tag for e in stack):
+            if tag in ("p", "br") or not standing[tag]:
                 if tag == "a":
                     links = 0
                 continue
             while stack:
                 t, inside, held, header = stack.pop()
+                standing[t] -= 1
                 if t == "a":
                     links = 0
                 if t[0] == "h" and t[1:].isdigit():
@@ -256,26 +265,35 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool, int]]:
         kind = _kind(tag, m[3])
         if tag == "p":  # a paragraph ends at the next block and is on no stack
             if kind:
-                mark = (new(),)
+                mark = new()
             continue
         if tag == "a":
             links = 1
         if tag[0] == "h" and tag[1:].isdigit():
             heading = 2 if tag == "h1" else 1
         stack.append((tag, inside, held, header))
+        standing[tag] += 1
         if kind == "around" or kind == "header" and not inside:
-            held = (*held, new())
+            held = new()
         elif kind == "header":
             header = True
         if tag in INSIDE or tag == "h1":
             if tag not in seen:
                 seen.add(tag)
-                wraps.update(held)
+                i = held
+                while i >= 0:
+                    wraps.add(i)
+                    i = above[i]
             if tag in INSIDE:
                 inside, header = max(inside, INSIDE[tag]), False
     close()
-    wide = {i for i in wraps if 2 * holds[i] >= total_words}
-    return [(t, w, d, place, aside or not wide.issuperset(ids), h) for t, w, d, place, ids, aside, h in out]
+    for i in range(len(holds) - 1, -1, -1):  # an element comes after the one around it
+        if above[i] >= 0:
+            holds[above[i]] += holds[i]
+    free: list[bool] = []  # whether an element and all around it are wrappers
+    for i, up in enumerate(above):
+        free.append(i in wraps and 2 * holds[i] >= total_words and (up < 0 or free[up]))
+    return [(t, w, d, place, aside or around >= 0 and not free[around], h) for t, w, d, place, around, aside, h in out]
 
 
 def main_text(page: str | None) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.llm import textvec as tv
-from rankwell.llm.common import arrow_map
+from rankwell.llm.common import arrow_map, materialise
 
 #: N-grams of a profile and of a document's list.
 PROFILE = 400
@@ -94,12 +94,16 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = PROFILE) -> dict[
 
     lang names are few; the result holds `size` numbers for each.
     """
-    usable = docs.where("text is not null and lang is not null and doc_id is not null")
-    cut = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    usable = docs.where("text is not null and lang is not null and doc_id is not null").select("lang", "text", "doc_id")
+    space = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000.0
+    n = usable.groupBy("lang").agg(F.count("*").alias("n"))
     # rows of the smallest hashes, without a sort of any language's rows: a share of hash space first
     share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n"))
-    space = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    some = usable.join(F.broadcast(cut), "lang").where(space < share).select("lang", "text", space.alias("h"), "doc_id")
+    # where equal rows crowd the share leaves too few, and the language's rows are all looked at
+    got = usable.join(F.broadcast(n), "lang").where(space < share).groupBy("lang").agg(F.count("*").alias("got"))
+    few = F.coalesce("got", F.lit(0)) < F.least(F.lit(rows), F.col("n"))
+    cut = materialise(n.join(got, "lang", "left").select("lang", F.when(few, 1.0).otherwise(share).alias("share")), "languages")
+    some = usable.join(F.broadcast(cut), "lang").where((space < F.col("share")) | (F.col("share") >= 1)).select("lang", "text", space.alias("h"), "doc_id")
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= rows)
 
     def count(batch):

@@ -6,14 +6,11 @@ lengths (at most ``size`` rows, whatever the corpus) reaches the driver, where
 1. lengths over ``size / 4`` are sorted and cut into groups of equal cardinality, each
    rounded up to its largest member;
 2. configurations of the few rounded sizes, at most three to a sequence, are optimised by
-   a linear program over all of them; what its whole parts leave is filled greedily, the
-   largest remaining size with the one or two that complement it best;
+   a linear program whose columns are generated as they pay; what its whole parts leave is
+   filled greedily, the largest remaining size with the one or two that complement it best;
 3. actual lengths take the places of the rounded ones;
 4. the small lengths go best-fit into what is left, longest first.
 
-Few groups lose room by rounding and many are dear to optimise, so a coarse optimised plan
-and a fine greedy one are both made, and the one of fewer sequences is used.
-
 The plan is a list of runs (length, ranks, first sequence, offset).  Its length depends
 on the number of lengths, not of documents.  Pieces find their run by their rank within
 their length, which is counted in salted buckets so that one frequent length is no
@@ -116,41 +113,54 @@ def _groups(counts: dict[int, int], n_groups: int) -> list[tuple[int, list[list[
 def configurations(sizes: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[list[int], float]]:
     """(groups of a sequence, how many such sequences) of an optimal fractional packing of a few sizes.
 
-    Minimises the number of sequences over all configurations of one to three sizes, by
-    the revised simplex method from one size to a sequence.
+    Minimises the number of sequences over all configurations of one to three sizes, each over a
+    fourth of a sequence, by column generation: a step prices pairs with the dearest third size
+    that still fits, found in a table of the dearest size up to each room, and brings in the best.
+    sizes fall, and the plan starts from one size to a sequence.
     """
     g = len(sizes)
-    padded = np.append(sizes, 0)
     a, b = np.triu_indices(g)
-    pair = padded[a] + padded[b] <= size
-    pairs = np.stack([a[pair], b[pair], np.full(pair.sum(), g)], 1)
-    third = [np.insert(pairs[pairs[:, 1] <= c, :2], 2, c, axis=1) for c in range(g)]
-    every = np.concatenate([np.stack([np.arange(g), np.full(g, g), np.full(g, g)], 1), pairs, *[t[padded[t].sum(1) <= size] for t in third]])
-    basis, inverse, x = list(range(g)), np.eye(g), counts.astype(float)
-    for _ in range(40 * g):  # more steps improve it further, but any is a plan
-        price = np.append(inverse.sum(0), 0.0)
-        gain = price[every].sum(1)
-        new = int(gain.argmax())
-        if gain[new] <= 1 + 1e-9:
+    room = size - sizes[a] - sizes[b]
+    fits = room >= 0
+    a, b, room = a[fits], b[fits], room[fits]
+    # the first group (of falling sizes) that fits a room; those after it fit too
+    third = np.searchsorted(-sizes, -room, "left")
+    second = np.searchsorted(-sizes, sizes - size, "left")
+    basis, inverse, x = [[i] for i in range(g)], np.eye(g), counts.astype(float)
+    for _ in range(60 * g):  # more steps improve it further, but any is a plan
+        price = inverse.sum(0)
+        # dearest price among groups i, i + 1, ...: none beyond the last
+        dear = np.append(np.maximum.accumulate(price[::-1])[::-1], 0.0)
+        three = price[a] + price[b] + np.maximum(dear[third], 0.0) if len(a) else np.zeros(1)
+        best, column = 1 + 1e-9, None
+        if len(a) and three.max() > best:
+            i = int(three.argmax())
+            best, column = three[i], [int(a[i]), int(b[i])]
+            if dear[third[i]] > 0:
+                column.append(int(third[i] + price[third[i] :].argmax()))
+        two = price + np.maximum(dear[second], 0.0)
+        if two.max() > best:
+            i = int(two.argmax())
+            column = [i] + ([int(second[i] + price[second[i] :].argmax())] if dear[second[i]] > 0 else [])
+        if column is None:
             break
-        column = np.bincount(every[new], minlength=g + 1)[:g].astype(float)
-        step = inverse @ column
+        step = inverse[:, column].sum(1)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         t = ratio[out]
         x = x - t * step
         x[out] = t
-        inverse[out] /= step[out]
-        for r in range(g):
-            if r != out:
-                inverse[r] -= step[r] * inverse[out]
-        basis[out] = new
-    return [([int(i) for i in every[p] if i < g], float(v)) for p, v in zip(basis, x, strict=True) if v > 0]
+        pivot = inverse[out] / step[out]
+        step[out] = 0
+        inverse -= np.outer(step, pivot)
+        inverse[out] = pivot
+        basis[out] = column
+    return [(sorted(config), float(v)) for config, v in zip(basis, x, strict=True) if v > 0]
 
 
-def plan(histogram: dict[int, int], size: int = 2048, n_groups: int = 256, optimised: int = 128) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, last rank, sequence of the first, offset in the sequence): the better of two plans."""
-    return min(_plan(histogram, size, optimised, True), _plan(histogram, size, n_groups, False), key=lambda p: p[0])[1]
+def plan(histogram: dict[int, int], size: int = 2048, n_groups: int = 512) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, first rank, last rank, sequence of the first, offset in the sequence)."""
+    return _plan(histogram, size, n_groups, True)[1]
 
 
 def _plan(histogram: dict[int, int], size: int, n_groups: int, optimise: bool) -> tuple[int, list[tuple[int, int, int, int, int]]]:
@@ -255,7 +265,7 @@ def _ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     return within.join(before, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "bucket")
 
 
-def pack(pieces: DataFrame, size: int = 2048, n_groups: int = 256, buckets: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, n_groups: int = 512, buckets: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset: gapless from 0 in each sequence.
 
     pieces must be materialised, or at least give the same rows whenever it is run.
@@ -276,6 +286,6 @@ def pack(pieces: DataFrame, size: int = 2048, n_groups: int = 256, buckets: int
     return _ranked(pieces, buckets).alias("p").join(near.alias("r"), hit).select(*cols, (F.col("r.seq") + F.col("p.rank") - F.col("r.first")).alias("sequence_id"), F.col("r.offset").alias("offset"))
 
 
-def best_fit_packing(docs: DataFrame, size: int = 2048, path: str | None = None, n_groups: int = 256) -> DataFrame:
+def best_fit_packing(docs: DataFrame, size: int = 2048, path: str | None = None, n_groups: int = 512) -> DataFrame:
     """Packs whole documents: one row per piece with its place."""
     return pack(materialise(token_pieces(docs, size, path), "pieces"), size, n_groups)

@@ -80,7 +80,7 @@ def anchor_places(s: tv.Slice, length: int = LENGTH, k: int = K) -> tuple[np.nda
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     start = np.arange(n - k + 1)
-    h = tv.span_hashes(s.data, start, start + k)
+    h = tv.gram_hashes(s.data, k)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | start.astype(np.uint64)
     rows = np.concatenate([key, np.full(-len(key) % w, ~np.uint64(0))]).reshape(-1, w)
     upto = np.minimum.accumulate(rows, 1).ravel()

@@ -4,6 +4,8 @@ No pre-tokenizer of the two vocabularies joins what stands before a space and th
 that precedes a visible character, or an ASCII letter and the ASCII punctuation after it,
 so a text may be cut there and the ids of its pieces concatenated.  Pieces repeat, so
 each worker keeps the ids of those that it has met, up to a bound that only limits memory.
+Kept pieces are found by their bytes: up to 15 of them and their number are two numbers,
+which are the key itself; longer ones are keys of a dictionary.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ import pyarrow as pa
 from rankwell.llm import textvec as tv
 
 #: Slots of a worker's table of pieces; it starts over when 60 % are taken.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
+#: Bytes of a piece whose key is two numbers, and how many longer ones are kept at most.
+SHORT, LONGER = 15, 50_000
 #: A space or line feed followed by one of these stays inside its piece: white space, or
 #: the first byte of a longer white space character.
 _STAYS = np.zeros(256, bool)
@@ -56,9 +60,10 @@ class PieceEncoder:
         self.folds = spec["normalizer"] is not None
         self.alphabet = _byte_alphabet()
         self._reset()
+        self.longer: dict[bytes, list[int]] = {}
 
     def _reset(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)
+        self.low, self.high = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
         self.at = np.zeros(SLOTS, np.uint32)
         self.n = np.zeros(SLOTS, np.uint16)
         self.ids = np.zeros(1 << 16, np.uint16)
@@ -89,20 +94,24 @@ class PieceEncoder:
             return [t.id for t in self.tok.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]
         return self.tok.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where it is not known."""
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        out = np.full(len(h), -1, np.int64)
-        todo = np.arange(len(h))
+    @staticmethod
+    def _slot(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (tv.mix(low ^ tv.mix(high)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where it is not known.  high holds the number of bytes, so no key is 0."""
+        slot = self._slot(low, high)
+        out = np.full(len(low), -1, np.int64)
+        todo = np.arange(len(low))
         while len(todo):
-            k = self.keys[slot[todo]]
-            hit = k == h[todo]
-            out[todo[hit]] = slot[todo[hit]]
-            todo = todo[~hit & (k != 0)]
+            at = slot[todo]
+            hit = (self.low[at] == low[todo]) & (self.high[at] == high[todo])
+            out[todo[hit]] = at[hit]
+            todo = todo[~hit & (self.high[at] != 0)]
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
         return out
 
-    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, low: np.ndarray, high: np.ndarray, pieces: list[bytes]) -> None:
         got = [self.encode_piece(p) for p in pieces]
         n = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((x for g in got for x in g), np.int64, int(n.sum()))
@@ -111,18 +120,30 @@ class PieceEncoder:
         self.ids[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(n) - n
         self.used += len(flat)
-        self.taken += len(h)
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        todo = np.arange(len(h))
+        self.taken += len(low)
+        slot = self._slot(low, high)
+        todo = np.arange(len(low))
         while len(todo):
+            # of keys that want one free slot, the last gets it whole
             s = slot[todo]
-            free = self.keys[s] == 0
-            self.keys[s[free]] = h[todo[free]]
-            won = self.keys[s] == h[todo]
+            free = todo[self.high[s] == 0]
+            self.low[slot[free]], self.high[slot[free]] = low[free], high[free]
+            won = (self.low[s] == low[todo]) & (self.high[s] == high[todo])
             self.at[s[won]], self.n[s[won]] = at[todo[won]], n[todo[won]]
             todo = todo[~won]
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
 
+    def _encode_long(self, raw: bytes) -> list[int]:
+        """Ids of a piece of more than SHORT bytes."""
+        ids = self.longer.get(raw)
+        if ids is None:
+            ids = self.encode_piece(raw)
+            if len(raw) <= 256:
+                if len(self.longer) >= LONGER:
+                    self.longer.clear()
+                self.longer[raw] = ids
+        return ids
+
     def encode(self, s: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the slice, end to end, and the first of each (len + 1 entries)."""
         data, n = s.data, len(s.data)
@@ -135,25 +156,32 @@ class PieceEncoder:
         begin[s.offsets[:-1][np.diff(s.offsets) > 0]] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], n)
-        long = (ends - starts) > 4096  # not worth keeping, and their counts may not fit
-        h = tv.span_hashes(data, starts, ends) | np.uint64(1)
+        size = ends - starts
+        long = size > SHORT
+        low = tv.loads(data, starts, size)
+        high = tv.loads(data, np.minimum(starts + 8, n), size - 8) | (np.minimum(size, SHORT).astype(np.uint64) << np.uint64(56))
         if self.taken > SLOTS * 6 // 10:
             self._reset()
-        slot = self._find(h)
-        new = np.flatnonzero((slot < 0) & ~long)
+        slot = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(~long)
+        slot[short] = self._find(low[short], high[short])
+        new = short[slot[short] < 0]
         if len(new):
-            _, first = np.unique(h[new], return_index=True)
-            at, raw = new[first], data.tobytes()
+            both = np.stack([low[new], high[new]])
+            order = np.lexsort(both)
+            first = np.ones(len(new), bool)
+            first[1:] = (both[:, order[1:]] != both[:, order[:-1]]).any(0)
+            at, raw = new[order[first]], data.tobytes()
             for lo in range(0, len(at), SLOTS // 4):
                 part = at[lo : lo + SLOTS // 4]
                 if self.taken + len(part) > SLOTS * 9 // 10:
                     break
-                self._learn(h[part], [raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
-            slot = self._find(h)
+                self._learn(low[part], high[part], [raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
+            slot[new] = self._find(low[new], high[new])
         n_ids = np.where(slot >= 0, self.n[slot], 0).astype(np.int64)
         other: dict[int, list[int]] = {}
         for i in np.flatnonzero(slot < 0).tolist():
-            other[i] = self.encode_piece(data[starts[i] : ends[i]].tobytes())
+            other[i] = self._encode_long(data[starts[i] : ends[i]].tobytes())
             n_ids[i] = len(other[i])
         stop = np.cumsum(n_ids)
         where = self.at[slot].astype(np.int64)

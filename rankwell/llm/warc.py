@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import arrow_map
+from rankwell.llm.htmltext import ATTRIBUTES
 
 SPACE = re.compile(r"[ \t\r\f\v]+")
-SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|head)\b" + ATTRIBUTES + r"(?:>|\Z).*?(?:</\1\s*>|\Z)", re.S | re.I)
+BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b" + ATTRIBUTES + r"(?:>|\Z)", re.I)
+TAG = re.compile(r"<[!/?a-zA-Z]" + ATTRIBUTES + r"(?:>|\Z)")
+TITLE = re.compile(r"<title\b" + ATTRIBUTES + r">(.*?)</title\s*>", re.S | re.I)
+LINK = re.compile(r"<a\b(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?)*?\shref\s*=", re.I)
 LINES = re.compile(r"\s*\n\s*")
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
