@@ -352,9 +352,22 @@ def evl18(spark, d):
 
 
 
-@register("str01_admission", """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+_ADMISSION_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 w AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::BIGINT[] AS held, NULL::BOOLEAN AS admitted FROM (SELECT DISTINCT user_id FROM e) u
- UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN len(list_filter(w.held, lambda x: e.t - x < 86400000000)) < 3 THEN list_append(list_filter(w.held, lambda x: e.t - x < 86400000000), e.t) ELSE list_filter(w.held, lambda x: e.t - x < 86400000000) END, len(list_filter(w.held, lambda x: e.t - x < 86400000000)) < 3 FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
-SELECT event_id, user_id, admitted FROM w WHERE n > 0""")
+ UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN len(list_filter(w.held, lambda x: e.t - x < 86400000000)) < 3 THEN list_append(list_filter(w.held, lambda x: e.t - x < 86400000000), e.t) ELSE list_filter(w.held, lambda x: e.t - x < 86400000000) END, len(list_filter(w.held, lambda x: e.t - x < 86400000000)) < 3 FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)"""
+
+
+@register("str01_admission", f"{_ADMISSION_SQL} SELECT event_id, user_id, admitted FROM w WHERE n > 0")
 def str01(spark, d):
     return quota.admitted(spark.read.parquet(f"{d}/events.parquet"), limit=3, seconds=86_400).select("event_id", "user_id", "admitted")
+
+
+@register("str01_admission_stream", f"{_ADMISSION_SQL} SELECT w.event_id, w.user_id, admitted FROM w JOIN e USING (event_id) WHERE w.n > 0 AND e.t < (SELECT max(epoch_ms(ts)) - 3600000 FROM events WHERE user_id IS NOT NULL) * 1000")
+def str01_stream(spark, d):
+    """The same as a stream over the table's files: what the watermark, an hour behind the last event, has passed."""
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    source = spark.readStream.schema(kind).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out, state = scratch(spark, "admitted"), scratch(spark, "admission-state")
+    query = quota.admitted_stream(source, 3, 86_400).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "admitted")

@@ -2,6 +2,10 @@
 
 State holds admitted times only, at most `limit` for each user, in batch; in streaming also
 the events that the watermark has not passed yet, so that they are judged in event time.
+
+In batch a user's events are cut into stretches where the user was silent for a window: the
+state is empty there, so stretches are judged apart, and a user of very many events is as many
+tasks as there are such silences.  Only a stretch without one is judged as one stream.
 """
 
 from __future__ import annotations
@@ -10,11 +14,13 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 OUT = "event_id long, user_id long, ts timestamp, admitted boolean"
-STATE = "held array<long>, pending array<struct<ts:long,event_id:long>>"
+#: Slots of a window by which silences are found: one of a window and a slot at most is always seen.
+SLOTS = 8
 
 
 def _judge(times: list[int], held: deque, limit: int, width: int) -> list[bool]:
@@ -30,60 +36,99 @@ def _judge(times: list[int], held: deque, limit: int, width: int) -> list[bool]:
     return out
 
 
+def stretches(events: DataFrame, width: int) -> DataFrame:
+    """events (user_id, us, ...) with stretch: it changes only after a silence of the user of at least width microseconds.
+
+    Silences are found between the slots of time that a user has any event in, which are few
+    rows however many events there are; events then meet the stretch of their slot.
+    """
+    size = max(1, -(-width // SLOTS))
+    slot = F.expr(f"(us - pmod(us, {size}L)) div {size}L")
+    used = events.select("user_id", slot.alias("slot")).distinct()
+    by = Window.partitionBy("user_id").orderBy("slot")
+    # empty slots between two used ones make up a window
+    new = F.coalesce(F.col("slot") - F.lag("slot").over(by) - 1, F.lit(SLOTS)) * size >= width
+    starts = used.withColumn("new", new).withColumn("stretch", F.max(F.when(F.col("new"), F.col("slot"))).over(by)).select("user_id", "slot", "stretch")
+    return events.withColumn("slot", slot).join(starts, ["user_id", "slot"]).drop("slot")
+
+
 def admitted(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """Batch form: events stream through a task in order of user and time; only the current user's state is held.
+    """Batch form: events stream through a task in order of user and time; only the current stretch's state is held.
 
-    Whether an event passes depends on all before it, so a user's events are judged one
-    after the other.  Events without user or time are left out.
+    Whether an event passes depends on all before it in its stretch.  Events without user or
+    time are left out; of equal times the smaller event_id is first.
     """
     width = int(seconds * 1_000_000)
     cols = events.where("user_id is not null and ts is not null").select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
     def run(batches):
-        user, held = None, deque()
+        last, held = None, deque()
         for b in batches:
-            users, times = np.asarray(b.column("user_id")), np.asarray(b.column("us"))
-            starts = np.flatnonzero(np.append(True, users[1:] != users[:-1])) if len(users) else []
+            users, stretch, times = (np.asarray(b.column(c)) for c in ("user_id", "stretch", "us"))
+            change = (users[1:] != users[:-1]) | (stretch[1:] != stretch[:-1])
+            starts = np.flatnonzero(np.append(True, change)) if len(users) else []
             flags = []
             for lo, hi in zip(starts, [*starts[1:], len(users)], strict=True):
-                if users[lo] != user:
-                    user, held = users[lo], deque()
+                if (users[lo], stretch[lo]) != last:
+                    last, held = (users[lo], stretch[lo]), deque()
                 flags += _judge(times[lo:hi].tolist(), held, limit, width)
             yield pa.RecordBatch.from_arrays([b.column("event_id"), b.column("user_id"), b.column("ts"), pa.array(flags, pa.bool_())], names=["event_id", "user_id", "ts", "admitted"])
 
-    return cols.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id").mapInArrow(run, OUT)
+    return stretches(cols, width).repartition("user_id", "stretch").sortWithinPartitions("user_id", "stretch", "us", "event_id").mapInArrow(run, OUT)
 
 
-def admitted_stream(events: DataFrame, limit: int, seconds: float, late: str = "1 hour") -> DataFrame:
-    """Streaming form: events wait until the watermark has passed them and are judged in order of time.
+class _Admission(StatefulProcessor):
+    """State of a user: times of admitted events, and events that the watermark has not passed; a timer wakes it for the first of either."""
 
-    A user's state goes once nothing waits and the last admitted event has left the
-    window.  Events later than the watermark are dropped by Spark.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    def __init__(self, limit: int, width: int):
+        self.limit, self.width = limit, width
 
-    width = int(seconds * 1_000_000)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ts long")
+        self.pending = handle.getListState("pending", "ts long, event_id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for b in rows:
+            us = b["ts"].astype("datetime64[us]").astype("int64").tolist()
+            self.pending.appendList([(int(t), int(e)) for t, e in zip(us, b["event_id"].tolist(), strict=True)])
+        return self._pass(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def run(key, frames, state: GroupState):
-        held, pending = (deque(state.get[0]), [tuple(x) for x in state.get[1]]) if state.exists else (deque(), [])
-        for b in frames:
-            pending += zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["event_id"].tolist(), strict=True)
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(x for x in pending if x[0] < mark)
-        pending = sorted(x for x in pending if x[0] >= mark)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self._pass(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _pass(self, key, mark: int):
+        """Judges what the watermark has passed, lets state expire, and sets the next timer."""
+        import pandas as pd
+
+        pending = sorted(tuple(x) for x in self.pending.get())
+        held = deque(x[0] for x in self.held.get())
+        ready = [x for x in pending if x[0] < mark]
+        wait = pending[len(ready) :]
+        flags = _judge([t for t, _ in ready], held, self.limit, self.width)
+        while held and mark - held[0] >= self.width:
+            held.popleft()
+        for state, rows in ((self.pending, wait), (self.held, [(t,) for t in held])):
+            state.put(rows) if rows else state.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if wait or held:
+            wake = wait[0][0] if wait else held[-1] + self.width
+            self.handle.registerTimer(max(wake // 1000 + 1, mark // 1000 + 1))
         if ready:
-            flags = _judge([t for t, _ in ready], held, limit, width)
             yield pd.DataFrame({"event_id": [e for _, e in ready], "user_id": key[0], "ts": pd.to_datetime([t for t, _ in ready], unit="us"), "admitted": flags})
-        while held and mark - held[0] >= width:
-            held.popleft()
-        if not held and not pending:
-            if state.exists:
-                state.remove()
-            return
-        state.update((list(held), pending))
-        wake = pending[0][0] if pending else held[-1] + width
-        state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
+    def close(self) -> None:
+        pass
+
+
+def admitted_stream(events: DataFrame, limit: int, seconds: float, late: str = "1 hour") -> DataFrame:
+    """Streaming form: events wait until the watermark has passed them and are judged in order of time.
+
+    A user's state goes once nothing waits and the last admitted event has left the window.
+    Events later than the watermark are dropped by Spark, which counts them in the query's
+    progress.  State lies in RocksDB, which the session is set to.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     cols = events.where("user_id is not null and ts is not null").withWatermark("ts", late).select("event_id", "user_id", "ts")
-    return cols.groupBy("user_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return cols.groupBy("user_id").transformWithStateInPandas(_Admission(limit, int(seconds * 1_000_000)), OUT, "append", "eventTime")

@@ -58,6 +58,29 @@ def test_admission_counts_admitted_only(spark):
     assert got == [True, True, False, False, True, True]
 
 
+def test_admission_of_a_hot_user(spark):
+    """A user of half the events, with silences of just under, exactly and just over a window; null users and times are left out."""
+    import random
+
+    r, t0, rows, at = random.Random(3), datetime.datetime(2024, 1, 1), [], 0
+    for i in range(3000):
+        at += r.choice([0, 1, 2, 5, 9_999_999, 10_000_000, 10_000_001, 11_250_000, 12_500_000]) if i % 3 == 0 else r.randrange(900_000)
+        rows.append((i, 1 if i % 2 else r.randrange(2, 40), t0 + datetime.timedelta(microseconds=at)))
+    kind = "event_id long, user_id long, ts timestamp"
+    df = spark.createDataFrame([*rows, (-1, None, t0), (-2, 1, None)], kind)
+    got = {x.event_id: x.admitted for x in quota.admitted(df, 3, 10).collect()}
+    want, held = {}, {}
+    for i, u, t in sorted(rows, key=lambda x: (x[1], x[2], x[0])):
+        own = held[u] = [h for h in held.get(u, []) if (t - h).total_seconds() < 10]
+        want[i] = len(own) < 3
+        if want[i]:
+            own.append(t)
+    assert got == want
+    us = df.where("user_id = 1 and ts is not null").select("user_id", F.unix_micros("ts").alias("us"))
+    parts = quota.stretches(us, 10_000_000).groupBy("stretch").count().collect()
+    assert len(parts) > 50 and quota.admitted(df.limit(0), 3, 10).count() == 0
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"qid": "a", "question": "x?"}\n{"question_id": "b", "query": ""}\n{"qid": "a", "query": "y"}\n')
     q = {(r.qid, r.is_empty, r.is_duplicate) for r in files.read_questions(spark, str(tmp_path / "q.json")).collect()}
