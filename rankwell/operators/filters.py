@@ -49,8 +49,13 @@ def nfkc(df: DataFrame, column: str) -> DataFrame:
     return df.where(~may_change).unionByName(df.where(may_change).mapInArrow(run, df.schema))
 
 
-def leaks(text: Column, form: Column) -> Column:
-    """Whether a text names what no argument may name: a forbidden token of its compatibility form, or a path as it is."""
+def leaks(text: Column, form: Column | None = None) -> Column:
+    """Whether a text names what no argument may name: a forbidden token of its compatibility form, or a path as it is.
+
+    Without that form full-width letters alone count as their plain ones.
+    """
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    form = F.translate(text, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))) if form is None else form
     f = F.regexp_replace(F.lower(form), r"(?U)[_\-./\\\s]+", "")
     hit = F.lit(False)
     for token in FORBIDDEN:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankwell.operators.filters import leaks
+from rankwell.operators.filters import leakage, leaks
 
 #: Patterns of the classes, the first that matches decides; word edges and letters are Unicode. Fixed values.
 CLASSES = {
@@ -49,7 +49,7 @@ def validate_decision(d: DataFrame, allowed: list[str], policy_sha: str, version
     return (
         F.when(F.coalesce(c("schema_version") != version, F.lit(True)), "SCHEMA_MISMATCH").when(blank(c("query_id")), "MISSING_REQUIRED_FIELD").when(blank(c("policy_sha256")), "POLICY_HASH_MISSING")
         .when(c("policy_sha256") != policy_sha, "POLICY_HASH_MISSING").when(~F.coalesce(c("selected_strategy").isin(allowed), F.lit(False)), "INVALID_STRATEGY")
-        .when(~c("confidence").between(0, 1), "CONFIDENCE_OUT_OF_RANGE").when(F.exists(F.coalesce("features", F.array().cast("array<string>")), leaks), "LEAKAGE_DETECTED").otherwise("VALID")
+        .when(~c("confidence").between(0, 1), "CONFIDENCE_OUT_OF_RANGE").when(F.exists(F.coalesce("features", F.array().cast("array<string>")), lambda x: leaks(x)), "LEAKAGE_DETECTED").otherwise("VALID")
     )
 
 
@@ -77,9 +77,9 @@ def execute(invocations: DataFrame, tools: DataFrame, logical: int = LOGICAL) ->
     c = F.col
     bad_args = (F.trim(F.coalesce("query", F.lit(""))) == "") | (F.length("query") > MAX_QUERY) | ~F.coalesce(F.array_contains("allowed", c("strategy")), F.lit(False)) | ~F.coalesce(c("top_k").between(1, c("max_top_k")), F.lit(False))
     early = (
-        F.when(c("read_only").isNull(), "UNKNOWN_TOOL").when(~c("read_only") | c("network"), "UNAUTHORIZED_TOOL").when(bad_args, "INVALID_ARGUMENTS").when(c("document_filter").isNotNull() | leaks(c("query")), "LEAKAGE_DETECTED")
+        F.when(c("read_only").isNull(), "UNKNOWN_TOOL").when(~c("read_only") | c("network"), "UNAUTHORIZED_TOOL").when(bad_args, "INVALID_ARGUMENTS").when(c("document_filter").isNotNull() | c("leaks"), "LEAKAGE_DETECTED")
     )
-    j = invocations.join(F.broadcast(tools), "tool_id", "left").withColumn("early", early)  # the registry of tools
+    j = leakage(invocations, "query").join(F.broadcast(tools), "tool_id", "left").withColumn("early", early)  # the registry of tools
     by = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     used = F.sum(c("early").isNull().cast("int")).over(by)
     late = F.when(c("used") > logical, "BUDGET_EXHAUSTED").when(F.exists("passage_ids", lambda p: ~F.startswith(p, F.lit("ps_"))), "NON_CANONICAL_ID").otherwise("EXECUTED")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rankwell.operators import canonical, trajectory
 from rankwell.operators import routing as R
 from rankwell.plans import base as B
 from rankwell.plans.base import ASKS_SQL, METRIC_SQL, RUN_SQL, read, register
@@ -49,6 +50,24 @@ def agt03(spark, d):
     return c.select("conv_id", "turn", json.alias("json")).withColumn("trajectory_sha256", F.sha2("json", 256))
 
 
+_ESCAPED = """list_transform(string_split({0}, ''), lambda c: CASE WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t'
+  WHEN unicode(c) >= 65536 THEN format('\\u{{:04x}}\\u{{:04x}}', 55296 + ((unicode(c) - 65536) >> 10), 56320 + (unicode(c) - 65536) % 1024) WHEN unicode(c) < 32 OR unicode(c) > 126 THEN format('\\u{{:04x}}', unicode(c)) ELSE c END)"""
+_TEXT_SQL = "'\"' || array_to_string(" + _ESCAPED + ", '') || '\"'"
+
+
+@register("agt03_canonical", f"""WITH t AS (SELECT conv_id, turn, role, concat(text, ' 𝒳 "', chr(9), '\\') AS text FROM conversations WHERE turn IS NOT NULL),
+j AS (SELECT conv_id, turn, '{{{{"conv_id":' || conv_id || ',"ends":{{{{' || CASE WHEN role IS NULL THEN '' ELSE {_TEXT_SQL.format('role')} || ':' || CASE WHEN turn = 0 THEN '0.0' ELSE (turn / 8.0::DOUBLE)::VARCHAR END END || '}}}},"parts":[[' || coalesce({_TEXT_SQL.format('text')}, 'null') || '],null],"role":' || coalesce({_TEXT_SQL.format('role')}, 'null') || ',"turn":{{{{"even":' || (turn % 2 = 0) || ',"share":' || CASE WHEN turn = 0 THEN '0.0' ELSE (turn / 8.0::DOUBLE)::VARCHAR END || '}}}}}}}}' AS j FROM t)
+SELECT conv_id, turn, length(j) AS n_chars, sha256(j) AS sha FROM j""".replace("{{", "{").replace("}}", "}"))
+def agt03_canonical(spark, d):
+    """Nested records of every turn, with texts beyond ASCII, as canonical JSON and its hash."""
+    t = B.read(spark, d, "conversations").where("turn is not null").withColumn("text", F.concat("text", F.lit(' 𝒳 "\t\\')))
+    share = F.col("turn") / 8.0
+    ends = F.when(F.col("role").isNull(), F.create_map().cast("map<string,double>")).otherwise(F.create_map(F.col("role"), share))
+    rows = t.select("conv_id", "turn", F.struct(F.struct(share.alias("share"), (F.col("turn") % 2 == 0).alias("even")).alias("turn"), "role", F.array(F.array("text"), F.lit(None).cast("array<string>")).alias("parts"), ends.alias("ends"), "conv_id").alias("r"))
+    json = canonical.json(F.col("r"), rows.schema["r"].dataType)
+    return rows.select("conv_id", "turn", json.alias("json")).select("conv_id", "turn", F.length("json").cast("long").alias("n_chars"), F.sha2("json", 256).alias("sha"))
+
+
 @register("agt04_fixed_router", f"WITH {RUN_SQL}, s AS (SELECT qid, list(DISTINCT strategy) AS allowed FROM run GROUP BY qid) SELECT qid, CASE WHEN list_contains(allowed, 3) THEN 3 ELSE list_min(allowed) END AS chosen, CASE WHEN list_contains(allowed, 3) THEN 'FIXED' ELSE 'FIRST_ALLOWED' END AS why FROM s")
 def agt04(spark, d):
     """The fixed strategy where it is allowed, else the first allowed one in order."""
@@ -130,6 +149,23 @@ def agt09(spark, d):
     return e.select("*", stop.alias("stop"), F.when(F.col("evidence") >= 2, "ANSWERED").otherwise("ABSTAINED").alias("outcome"))
 
 
+def agent_calls(spark, d):
+    """A question's calls: each strategy is one, of what it found first; some are retries, some fail."""
+    run = B.run(spark, d).where("rank <= 5")
+    found = run.groupBy("qid", "strategy").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.concat(F.lit("ps_"), "passage").alias("passage_id"), F.col("score").cast("double").alias("score")))).alias("f"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "qid", "strategy").cast("binary")), 1, 6), 16, 10).cast("long")
+    status = F.when(h % 17 == 0, "TOOL_FAILURE").when(h % 41 == 0, "LEAKAGE_DETECTED").otherwise("EXECUTED")
+    items = F.transform("f", lambda x: F.struct(x["passage_id"].alias("passage_id"), x["rank"].alias("rank"), x["score"].alias("score")))
+    return found.select(F.concat(F.lit("q"), "qid").alias("query_id"), F.col("strategy").cast("int").alias("seq"), F.concat(F.lit("retrieve_"), "strategy").alias("tool_id"), F.concat(F.lit("pergunta é "), "qid").alias("arguments"), status.alias("status"), (h % 5 == 0).alias("retry"), items.alias("found"))
+
+
+@register("agt09_trajectories")
+def agt09_trajectories(spark, d):
+    """Trajectories with steps, budgets, snapshots and hashes; a test replays them in plain Python."""
+    t = trajectory.fold(agent_calls(spark, d))
+    return t.select("query_id", F.size("steps").alias("n_steps"), F.size("evidence").alias("n_evidence"), "stop", "evidence_sha256", "trajectory_sha256")
+
+
 @register("agt10_policy_replay", f"""WITH {METRIC_SQL}, {_ROUTE_SQL}, sc AS (SELECT strategy, qid, recall FROM metric WHERE recall IS NOT NULL AND qid % 50 <> 0), best AS (SELECT qid, max(recall) AS top FROM sc GROUP BY qid), j AS (SELECT r.qid, top, s.recall AS got FROM routes r LEFT JOIN best b ON b.qid = r.qid LEFT JOIN sc s ON s.qid = r.qid AND s.strategy = r.strategy),
 m AS (SELECT strategy, round(avg(recall), 9) AS mean FROM sc GROUP BY strategy), f AS (SELECT strategy, mean FROM m ORDER BY mean DESC, strategy LIMIT 1), v AS (SELECT * FROM j WHERE got IS NOT NULL)
 SELECT (SELECT count(*) FROM j) AS total, count(*) AS valid, (SELECT count(*) FROM j WHERE top IS NULL) AS no_results, (SELECT count(*) FROM j WHERE top IS NOT NULL AND got IS NULL) AS route_missing, round(avg(got), 6) AS routed_mean, round(avg(top), 6) AS oracle_mean, round(avg(top) - avg(got), 6) AS regret,

@@ -366,7 +366,8 @@ def str01(spark, d):
 def str01_stream(spark, d):
     """The same as a stream over the table's files: what the watermark, an hour behind the last event, has passed."""
     kind = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(kind).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    source = spark.readStream.schema(kind).parquet(f"{d}/events.parque[t]")  # a stream takes a single file by a pattern only
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
     out, state = scratch(spark, "admitted"), scratch(spark, "admission-state")
     query = quota.admitted_stream(source, 3, 86_400).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

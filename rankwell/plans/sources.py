@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from rankwell.plans import base as B
 from rankwell.plans.base import ASKS_SQL, QRELS_SQL, RATERS_SQL, RUN_SQL, read, register
 from rankwell.plans.evaluation import ANSWERED_SQL, HUMAN_SQL, METRICS, answered, human
 from rankwell.plans.pooling import POOL_SQL, evidence, pooled
-from rankwell.sources import files, sinks
+from rankwell.sources import files, ledger, sinks
 from rankwell.sources.folders import scratch
 
 
@@ -436,3 +437,29 @@ def flt18(spark, d):
     s = human(spark, d).groupBy("strategy").agg(F.count("*").alias("lists"), F.count_distinct("qid").alias("questions"), F.sum("retrieved").alias("retrieved"), F.sum("unresolved").alias("unresolved"), F.round(B.share(F.sum("judged"), F.sum("retrieved")), 4).alias("coverage"))
     j = s.crossJoin(F.broadcast(asked)).withColumn("missing", F.col("asked") - F.col("questions")).drop("asked")  # one row
     return j.withColumn("status", F.when(F.col("missing") > 0, "INCOMPLETE").when(F.col("coverage") < 0.4, "LOW_COVERAGE").otherwise("READY"))
+
+
+@register("snk05_exactly_once", """WITH e AS (SELECT event_id, user_id, event_type, dayofmonth(ts) AS day, value FROM events), k AS (SELECT *, row_number() OVER w AS k, first_value(value) OVER w AS v FROM e WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND day IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type, day ORDER BY event_id))
+SELECT CASE WHEN k = 1 THEN 'APPENDED' WHEN v IS NOT DISTINCT FROM value THEN 'REPEATED' ELSE 'CONFLICT' END AS status, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total FROM k GROUP BY 1
+UNION ALL SELECT 'REFUSED', count(*), count(DISTINCT user_id), round(sum(value), 2) FROM e WHERE user_id IS NULL OR event_type IS NULL OR day IS NULL HAVING count(*) > 0""")
+def snk05_stream(spark, d):
+    """A stream into the ledger that breaks off between write and commit, starts again, and runs once more on nothing new."""
+    kind = read(spark, d, "events").schema
+    source = spark.readStream.schema(kind).parquet(f"{d}/events.parque[t]").select("event_id", "user_id", "event_type", F.dayofmonth("ts").alias("day"), "value")
+    path, state = scratch(spark, "ledger"), scratch(spark, "ledger-state")
+    broken = []
+
+    def break_once():
+        if not broken:
+            broken.append(1)
+            raise RuntimeError("lost between write and commit")
+
+    for _ in range(3):
+        query = ledger.stream(source, path, state, ["user_id", "event_type", "day"], ["event_id"], ["value"], break_once)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if not broken:
+                raise
+    rows = ledger.judged(spark, path, "event_id long, user_id long, event_type string, day int, value double")
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"))
