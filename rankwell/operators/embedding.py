@@ -5,18 +5,20 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose vectors a worker keeps at most; it starts over beyond them.
-KNOWN_WORDS = 200_000
+#: Numbers in the vectors of the words that a worker keeps; it starts over beyond them, unless one text has more words.
+MOST_VALUES = 10_000_000
 #: Fields that must agree between embedders. Fixed values.
 FINGERPRINT = ["model", "revision", "dimension", "pooling", "normalized", "dtype", "max_tokens"]
 
 
+# Fixed formula: a value is the first eight hex digits of a SHA-256 over the word and its place, scaled to -1 to 1.
 def word_vector(word: str, dim: int) -> np.ndarray:
     return np.array([int(hashlib.sha256(f"w:{word}:{i}".encode()).hexdigest()[:8], 16) / 0xFFFFFFFF * 2.0 - 1.0 for i in range(dim)])
 
@@ -30,22 +32,28 @@ def word_sum(docs: DataFrame, key: str, text: str = "text", dim: int = 64) -> Da
     """id, vector: the sum of word vectors, of unit length; blank and null texts have the zero vector."""
 
     def run(batches):
-        known: dict[str, np.ndarray] = {}
+        place, vectors, used = {}, np.zeros((1024, dim)), 0  # of the words met so far, a row each
         for b in batches:
             out = np.zeros((b.num_rows, dim))
             for r, t in enumerate(b.column(1).to_pylist()):
                 if not t or not t.strip():
                     continue
-                for w in words_of(t):
-                    if w not in known:
-                        if len(known) >= KNOWN_WORDS:
-                            known.clear()
-                        known[w] = word_vector(w, dim)
-                    out[r] += known[w]
+                counts = Counter(words_of(t))
+                if used + len(counts) > MOST_VALUES // dim:
+                    place, used = {}, 0
+                for w in counts:
+                    if w not in place:
+                        if used == len(vectors):
+                            vectors = np.concatenate([vectors, np.zeros_like(vectors)])
+                        vectors[used], place[w] = word_vector(w, dim), used
+                        used += 1
+                at = np.fromiter((place[w] for w in counts), np.int64, len(counts))
+                for lo in range(0, len(at), 4096):  # a very long text in parts
+                    out[r] += np.fromiter(counts.values(), float, len(at))[lo : lo + 4096] @ vectors[at[lo : lo + 4096]]
             n = np.sqrt((out * out).sum(1, keepdims=True))
             out = np.where(n > 0, out / np.where(n > 0, n, 1), out)
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), vectors], names=["id", "vector"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "vector"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, vector array<double>")
 

@@ -176,21 +176,34 @@ def agt10(spark, d):
     return out.select(*[F.round(c, 6).alias(c) if c.endswith("mean") or c == "regret" else c for c in out.columns])
 
 
-@register("agt11_tool_registry", """SELECT 'retrieve_' || s AS tool_id, '1.0.0' AS version, 10 AS max_top_k, sha256('{"allowed_strategies":["' || s || '"],"max_top_k":10,"network_access":false,"read_only":true,"version":"1.0.0"}') AS spec_sha256 FROM (VALUES ('auto_merging'), ('baseline'), ('sentence_window'), ('sentence_window_rerank')) AS t(s)""")
+@register("agt11_tool_registry", f"""WITH {RUN_SQL}, {_ROUTE_SQL}, t AS (SELECT * FROM (VALUES ('auto_merging', 6), ('baseline', 1), ('sentence_window', 3), ('sentence_window_rerank', 4)) AS t(s, number)), c AS (SELECT strategy, count(*) AS calls FROM routes GROUP BY strategy)
+SELECT 'retrieve_' || s AS tool_id, '1.0.0' AS version, 10 AS max_top_k, sha256('{{"allowed_strategies":["' || s || '"],"max_top_k":10,"network_access":false,"read_only":true,"version":"1.0.0"}}') AS spec_sha256, coalesce(calls, 0) AS calls FROM t LEFT JOIN c ON c.strategy = t.number""")
 def agt11(spark, d):
-    """The registry's tools with the hash of what they may do."""
-    b = lambda c: F.col(c).cast("string")
-    spec = R.canonical_json(version=R.quoted(F.col("version")), read_only=b("read_only"), network_access=b("network"), max_top_k=b("max_top_k"), allowed_strategies=F.concat(F.lit("["), F.concat_ws(",", F.transform("allowed", R.quoted)), F.lit("]")))
-    return R.registry(spark).select("tool_id", "version", "max_top_k", F.sha2(spec, 256).alias("spec_sha256"))
+    """The registry's tools with the hash of what they may do, and how many questions the policy routes to each."""
+    tools = R.registry(spark)
+    spec = F.struct("version", "read_only", F.col("network").alias("network_access"), "max_top_k", F.col("allowed").alias("allowed_strategies"))
+    kind = tools.select(spec.alias("s")).schema["s"].dataType
+    number = F.create_map(*[F.lit(x) for kv in NUMBER.items() for x in kv])
+    own = tools.select("tool_id", "version", "max_top_k", canonical.digest(spec, kind).alias("spec_sha256"), F.try_element_at(number, F.get("allowed", F.lit(0))).alias("strategy"))
+    calls = routes(spark, d).where("strategy is not null").groupBy("strategy").agg(F.count("*").alias("calls"))
+    return own.join(calls, "strategy", "left").select("tool_id", "version", "max_top_k", "spec_sha256", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
+#: Backends by the module that they need; the last is nowhere installed.
+BACKENDS = [("arrow", "pyarrow"), ("tokenizers", "tokenizers"), ("onnx", "onnxruntime"), ("vector_index", "no_such_vector_index")]
 
 
-@register("agt12_backends")
+@register("agt12_backends", """WITH b AS (SELECT * FROM (VALUES (0, 'arrow', true), (1, 'tokenizers', true), (2, 'onnx', true), (3, 'vector_index', false)) AS t(k, backend, available)), q AS (SELECT item_id % 4 AS k, count(*) AS n FROM benchmark WHERE item_id IS NOT NULL GROUP BY 1)
+SELECT backend, available, CASE WHEN available THEN 'AVAILABLE' ELSE 'BACKEND_NOT_INSTALLED' END AS status, coalesce(n, 0) AS asked, CASE WHEN available THEN coalesce(n, 0) ELSE 0 END AS served FROM b LEFT JOIN q USING (k)""")
 def agt12(spark, d):
-    """Optional backends behind a barrier: used only where their module is installed."""
+    """Optional backends behind a barrier: questions ask for each in turn, and are served only where its module is installed."""
     from importlib.util import find_spec
 
-    rows = [(n, find_spec(m) is not None) for n, m in (("arrow", "pyarrow"), ("tokenizers", "tokenizers"), ("onnx", "onnxruntime"), ("vector_index", "no_such_vector_index"))]
-    return spark.createDataFrame([(n, ok, "AVAILABLE" if ok else "BACKEND_NOT_INSTALLED") for n, ok in rows], "backend string, available boolean, status string")
+    own = spark.createDataFrame([(i, n, find_spec(m) is not None) for i, (n, m) in enumerate(BACKENDS)], "k long, backend string, available boolean")
+    asked = read(spark, d, "benchmark").where("item_id is not null").groupBy((F.col("item_id") % len(BACKENDS)).alias("k")).agg(F.count("*").alias("asked"))
+    j = own.join(asked, "k", "left").withColumn("asked", F.coalesce("asked", F.lit(0)))
+    ok = F.col("available")
+    return j.select("backend", "available", F.when(ok, "AVAILABLE").otherwise("BACKEND_NOT_INSTALLED").alias("status"), "asked", F.when(ok, F.col("asked")).otherwise(0).alias("served"))
 
 
 @register("flt16_routing_ladder", f"""WITH {CLASS_SQL}, r AS (SELECT conv_id, turn, CASE WHEN conv_id % 23 = 0 THEN '0.9' ELSE '1.0.0' END AS v, CASE WHEN conv_id % 19 = 0 THEN '' ELSE 'q' END AS id, CASE WHEN conv_id % 17 = 0 THEN '' WHEN conv_id % 13 = 0 THEN 'other' ELSE 'sha' END AS p,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankwell.functions import text as T
 from rankwell.operators import evaluation as E
 from rankwell.plans import base as B
-from rankwell.plans.base import ASKS_SQL, BASE_SQL, METRIC_SQL, QRELS_SQL, RUN_SQL, read, register
+from rankwell.plans.base import ASKS_SQL, BASE_SQL, METRIC_SQL, QRELS_SQL, RATERS_SQL, RUN_SQL, read, register
 
 #: Which passages have a canonical id.
 KNOWN = "passage % 10 <> 9"
@@ -323,6 +323,18 @@ METRICS = [
 ]
 
 
-@register("evl29_metric_dictionary", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {lo}::DOUBLE, {'NULL' if hi is None else hi}::DOUBLE, {up}, '{o}')" for a, b, c, lo, hi, up, o in METRICS) + ") AS t(name, kind, unit, least, most, higher_is_better, counted_over)")
+_DICTIONARY_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {lo}::DOUBLE, {'NULL' if hi is None else hi}::DOUBLE, {up}, '{o}')" for a, b, c, lo, hi, up, o in METRICS) + ") AS t(name, kind, unit, least, most, higher_is_better, counted_over)"
+
+
+@register("evl29_metric_dictionary", f"""WITH {METRIC_SQL}, {RATERS_SQL}, seen AS (SELECT 'recall_at_k' AS name, count(recall) AS n, round(min(recall), 4) AS low, round(max(recall), 4) AS high FROM metric UNION ALL SELECT 'mrr_at_k', count(rr), round(min(rr), 4), round(max(rr), 4) FROM metric
+  UNION ALL SELECT 'exact_agreement', count(*), min((a = b)::INT)::DOUBLE, max((a = b)::INT)::DOUBLE FROM raters)
+SELECT t.*, coalesce(n, 0) AS n, low, high, coalesce(low >= least AND (most IS NULL OR high <= most), true) AS in_bounds FROM {_DICTIONARY_SQL} LEFT JOIN seen USING (name)""")
 def evl29(spark, d):
-    return spark.createDataFrame(METRICS, "name string, kind string, unit string, least double, most double, higher_is_better boolean, counted_over string")
+    """The dictionary of metrics, with how often the run has values of them, and whether these keep the bounds that it states."""
+    book = spark.createDataFrame(METRICS, "name string, kind string, unit string, least double, most double, higher_is_better boolean, counted_over string")
+    m = metric(spark, d)
+    same = (F.col("a") == F.col("b")).cast("double")
+    of = lambda df, name, c: df.agg(F.count(c).alias("n"), F.round(F.min(c), 4).alias("low"), F.round(F.max(c), 4).alias("high")).select(F.lit(name).alias("name"), "n", "low", "high")
+    seen = of(m, "recall_at_k", F.col("recall")).unionByName(of(m, "mrr_at_k", F.col("rr"))).unionByName(of(B.raters(spark, d), "exact_agreement", same))
+    fine = (F.col("low") >= F.col("least")) & (F.col("most").isNull() | (F.col("high") <= F.col("most")))
+    return book.join(F.broadcast(seen), "name", "left").withColumn("in_bounds", F.coalesce(fine, F.lit(True))).withColumn("n", F.coalesce("n", F.lit(0)))  # a row for each metric

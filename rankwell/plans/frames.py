@@ -157,29 +157,42 @@ def emb02(spark, d):
     return one.unionByName(two).select("doc_id", F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"), F.size(v).cast("long").alias("dim"), "run")
 
 
-@register("emb03_bridge", "SELECT * FROM (VALUES ('with_dimension', 64, 'dimension'), ('with_dim', 32, 'dim'), ('plain_function', 16, 'probe')) AS t(embedder, dimension, via)")
-def emb03(spark, d):
-    """Embedders of three shapes behind one face, and how their size was found."""
+class _Sized:
+    dimension = 64
+
+    def embed_texts(self, texts):
+        return [M.word_vector(t, 64) for t in texts]
+
+
+class _Short:
+    dim = 32
 
-    class Sized:
-        dimension = 64
+    def embed(self, texts):
+        return [M.word_vector(t, 32) for t in texts]
 
-        def embed_texts(self, texts):
-            return [M.word_vector(t, 64) for t in texts]
 
-    class Short:
-        dim = 32
+def _plain(texts):
+    return [M.word_vector(t, 16) for t in texts]
+
+
+@register("emb03_bridge", """WITH q AS (SELECT item_id, split_part(trim(text), ' ', 1) AS t FROM benchmark WHERE item_id IS NOT NULL AND trim(text) <> ''), e AS (SELECT * FROM (VALUES ('with_dimension', 64, 'dimension'), ('with_dim', 32, 'dim'), ('plain_function', 16, 'probe')) AS t(embedder, dimension, via))
+SELECT item_id, embedder, dimension, via, dimension AS size, round(('0x' || substr(sha256(concat('w:', t, ':', dimension - 1)), 1, 8))::BIGINT / 4294967295.0::DOUBLE * 2 - 1, 6) AS last FROM q, e""")
+def emb03(spark, d):
+    """Embedders of three shapes behind one face: the first words of all questions by each, and how its size was found."""
+    import pyarrow as pa
+
+    shapes = {"with_dimension": _Sized(), "with_dim": _Short(), "plain_function": _plain}
+    q = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id is not null").select("item_id", F.split_part(F.trim("text"), F.lit(" "), F.lit(1)).alias("t")).where("t != ''")
 
-        def embed(self, texts):
-            return [M.word_vector(t, 32) for t in texts]
+    def run(batches):
+        faces = {name: (M.Bridge(e), *M.Bridge(e).dimension()) for name, e in shapes.items()}
+        for b in batches:
+            texts = b.column("t").to_pylist()
+            for name, (face, n, via) in faces.items():
+                v = face.embed(texts)
+                yield pa.RecordBatch.from_pydict({"item_id": b.column("item_id"), "embedder": [name] * len(v), "dimension": pa.array([n] * len(v), pa.int32()), "via": [via] * len(v), "size": pa.array([len(x) for x in v], pa.int32()), "last": [x[-1] for x in v]})
 
-    shapes = {"with_dimension": Sized(), "with_dim": Short(), "plain_function": lambda texts: [M.word_vector(t, 16) for t in texts]}
-    rows = []
-    for name, e in shapes.items():
-        n, via = M.Bridge(e).dimension()
-        assert len(M.Bridge(e).embed(["a"])[0]) == n
-        rows.append((name, n, via))
-    return spark.createDataFrame(rows, "embedder string, dimension int, via string")
+    return q.mapInArrow(run, "item_id long, embedder string, dimension int, via string, size int, last double").withColumn("last", F.round("last", 6))
 
 
 @register("emb04_parity", """WITH p AS (SELECT label, sha256(concat_ws('|', CASE WHEN label = 3 THEN 'hash' ELSE 'minilm' END, 'r1', max(len(embedding)), CASE WHEN label = 7 THEN 'cls' ELSE 'mean' END, 'true', 'float32', 256)) AS fingerprint, count(*) AS n FROM embeddings GROUP BY label)
@@ -199,10 +212,11 @@ c AS (SELECT id, word, count(*) AS n FROM o GROUP BY ALL), z AS (SELECT id, i, s
 wv AS (SELECT id, [y / sqrt(list_sum([x * x for x in v])) for y in v] AS v FROM ws)"""
 
 
-@register("emb05_word_sum", f"WITH texts AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), {_WORDSUM} SELECT texts.id, round(coalesce(v[1], 0), 6) AS first, round(coalesce(v[64], 0), 6) AS last, 64 AS dim, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS norm FROM texts LEFT JOIN wv ON wv.id = texts.id")
+@register("emb05_word_sum", f"WITH texts AS (SELECT conv_id * 100000 + turn AS id, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL), {_WORDSUM.replace('range(0, 64)', 'range(0, 384)')} SELECT texts.id, round(coalesce(v[1], 0), 6) AS first, round(coalesce(v[384], 0), 6) AS last, 384 AS dim, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS norm FROM texts LEFT JOIN wv ON wv.id = texts.id")
 def emb05(spark, d):
-    v = F.col("vector")
-    return M.word_sum(_docs(spark, d), "doc_id").select("id", F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"), F.size(v).alias("dim"), F.round(V.norm(v)).cast("int").alias("norm"))
+    """Word sums of all turns, of the full 384 dimensions; rtv04 searches documents by shorter ones."""
+    v, turns = F.col("vector"), spark.read.parquet(f"{d}/conversations.parquet").where("conv_id is not null and turn is not null")
+    return M.word_sum(turns.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), "text"), "id", dim=384).select("id", F.round(v[0], 6).alias("first"), F.round(v[383], 6).alias("last"), F.size(v).alias("dim"), F.round(V.norm(v)).cast("int").alias("norm"))
 
 
 @register("emb06_canary", "SELECT vec_id, vec_id % 10 <> 3 AND vec_id % 10 <> 4 AS ok FROM embeddings")

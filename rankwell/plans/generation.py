@@ -219,10 +219,15 @@ SETTINGS = {
 }
 
 
-@register("rtv15_configurations", " UNION ALL ".join(f"""SELECT '{k}' AS label, sha256('{{"candidate_k":{v["candidate_k"]},"chunker":"{v["chunker"]}","rerank":{str(v["rerank"]).lower()},"top_k":{v["top_k"]},"width":{v["width"]}}}') AS sha""" for k, v in SETTINGS.items()))
+_RTV15 = " UNION ALL ".join(f"""SELECT {i} AS strategy, '{k}' AS label, sha256('{{"candidate_k":{v["candidate_k"]},"chunker":"{v["chunker"]}","rerank":{str(v["rerank"]).lower()},"top_k":{v["top_k"]},"width":{v["width"]}}}') AS sha, {v["top_k"]} AS top_k""" for i, (k, v) in enumerate(SETTINGS.items(), 1))
+
+
+@register("rtv15_configurations", f"WITH {RUN_SQL}, s AS ({_RTV15}) SELECT label, sha, count(run.qid) AS n, count(DISTINCT run.qid) AS questions, count_if(rank <= top_k) AS kept FROM s LEFT JOIN run USING (strategy) GROUP BY label, sha")
 def rtv15(spark, d):
-    """Settings of each label by the hash of their canonical JSON."""
-    return spark.createDataFrame([(k, checkpoints.fingerprint(v)) for k, v in SETTINGS.items()], "label string, sha string")
+    """Settings of each label by the hash of their canonical JSON, with what the run has of them and what their top_k keeps."""
+    own = spark.createDataFrame([(i, k, checkpoints.fingerprint(v), v["top_k"]) for i, (k, v) in enumerate(SETTINGS.items(), 1)], "strategy int, label string, sha string, top_k int")
+    j = B.run(spark, d).join(F.broadcast(own), "strategy", "right")  # seven labels
+    return j.groupBy("label", "sha").agg(F.count("qid").alias("n"), F.count_distinct("qid").alias("questions"), F.count_if(F.col("rank") <= F.col("top_k")).alias("kept"))
 
 
 # --- notebook tables
@@ -280,11 +285,7 @@ def nbk05(spark, d):
 @register("nbk06_feedback_frames", f"WITH {HUMAN_SQL} SELECT count(*) AS n_rows, count(DISTINCT (strategy, qid)) AS n_ids, (SELECT count(DISTINCT strategy) FROM run) * (SELECT count(DISTINCT qid) FROM run) AS expected, count(*) = (SELECT count(DISTINCT strategy) FROM run) * (SELECT count(DISTINCT qid) FROM run) AS complete FROM human")
 def nbk06(spark, d):
     """Frames of all strategies as one: rows, ids, and whether each strategy answered each question."""
-    h = human(spark, d).select("strategy", "qid")
-    frames = None
-    for s in range(1, 8):
-        one = h.where(F.col("strategy") == s)
-        frames = one if frames is None else frames.unionByName(one)
+    frames = human(spark, d).select("strategy", "qid").where(F.col("strategy").between(1, 7))
     size = B.run(spark, d).agg((F.count_distinct("strategy") * F.count_distinct("qid")).alias("expected"))
     c = frames.agg(F.count("*").alias("n_rows"), F.count_distinct("strategy", "qid").alias("n_ids")).crossJoin(size)  # one row each
     return c.withColumn("complete", F.col("n_rows") == F.col("expected"))
@@ -338,12 +339,18 @@ def nbk08(spark, d):
 
 @register("rtv14_strategy_registry", f"WITH {RUN_SQL} SELECT strategy, ['F0', 'S0', 'W0', 'W1', 'H0', 'H1', 'H2'][strategy] AS label, ['fixed', 'sentence', 'window', 'window', 'hierarchy', 'hierarchy', 'hierarchy'][strategy] AS chunker, strategy IN (4, 7) AS rerank, count(*) AS n FROM run GROUP BY strategy")
 def rtv14(spark, d):
-    """Labels to builders: each retriever's run is built by its own function and tagged with its label."""
-    out = None
-    for i, (label, settings) in enumerate(SETTINGS.items(), 1):
-        one = B.run(spark, d).where(F.col("strategy") == i).agg(F.count("*").alias("n")).select(F.lit(i).alias("strategy"), F.lit(label).alias("label"), F.lit(settings["chunker"]).alias("chunker"), F.lit(settings["rerank"]).alias("rerank"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Labels to builders: each retriever's run is built by its settings and tagged with its label, all in one pass."""
+    return retrievers(B.run(spark, d), list(SETTINGS)).groupBy("strategy", "label", "chunker", "rerank").agg(F.count("*").alias("n"))
+
+
+def retrievers(run, labels: list[str]):
+    """Rows of the run of the labelled retrievers with their settings; labels that are unknown or repeated are refused."""
+    unknown, again = [x for x in labels if x not in SETTINGS], sorted({x for x in labels if labels.count(x) > 1})
+    if unknown or again:
+        raise ValueError(f"no such retriever: {unknown}; named twice: {again}")
+    rows = [(i, k, v["chunker"], v["rerank"]) for i, (k, v) in enumerate(SETTINGS.items(), 1) if k in labels]
+    own = run.sparkSession.createDataFrame(rows, "strategy int, label string, chunker string, rerank boolean")
+    return run.withColumn("strategy", F.col("strategy").cast("int")).join(F.broadcast(own), "strategy")  # seven labels
 
 
 @register("nbk09_manifest_ladder", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'MISSING_FIELD' WHEN 1 THEN 'BAD_SHA' WHEN 2 THEN 'MODEL_MISMATCH' WHEN 3 THEN 'CANARY_FAILED' ELSE 'OK' END AS status FROM pages")
