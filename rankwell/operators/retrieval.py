@@ -46,10 +46,12 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.where(scale == 0, 0.0, s / np.where(scale == 0, 1, scale))
 
 
-def by_blocks(queries: DataFrame, items: DataFrame, reduce: Callable, schema: str, skip_self: bool = True) -> DataFrame:
-    """Rows that reduce(query ids, item ids, scores) makes of each block of queries and each batch of items.
+def by_blocks(queries: DataFrame, items: DataFrame, add: Callable, rows_of: Callable, schema: str, skip_self: bool = True) -> DataFrame:
+    """Rows of what each task has kept of its items for each block of queries.
 
-    skip_self: a query's score with the item of its own id is -inf.  A block is collected
+    add(kept, item ids, scores) takes a batch of items into what is kept (None at first), and
+    rows_of(query ids, kept) is called once a task, so that what is shuffled follows the number
+    of tasks and not of batches.  skip_self: a query's score with the item of its own id is -inf.  A block is collected
     by itself; of several blocks each one's rows are written to the shared folder before
     the next, so neither the driver nor the plan grows with the query set.
     """
@@ -65,6 +67,7 @@ def by_blocks(queries: DataFrame, items: DataFrame, reduce: Callable, schema: st
         ids, q = np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows], float)
 
         def score(batches, ids=ids, q=q):
+            kept = None
             for whole in batches:
                 for lo in range(0, whole.num_rows, ITEM_ROWS):
                     batch = whole.slice(lo, ITEM_ROWS)
@@ -72,7 +75,9 @@ def by_blocks(queries: DataFrame, items: DataFrame, reduce: Callable, schema: st
                     s = _scores(q, np.asarray(batch.column("vector").flatten()).reshape(len(own), -1))
                     if skip_self:
                         s[ids[:, None] == own[None, :]] = -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in reduce(ids, own, s)], names=names)
+                    kept = add(kept, own, s)
+            if kept is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows_of(ids, kept)], names=names)
 
         found = items.mapInArrow(score, schema)
         if n_blocks > 1:
@@ -89,26 +94,33 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = True)
     queries and items are (id, vector); vectors without length score 0; k < 1 gives no rows.
     """
 
-    def best(ids, own, s):
-        at = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-        got = np.take_along_axis(s, at, 1)
-        keep = np.isfinite(got)
-        return np.broadcast_to(ids[:, None], at.shape)[keep], own[at][keep], got[keep]
+    def best(kept, own, s):
+        own = np.broadcast_to(own, s.shape)
+        if kept is not None:
+            own, s = np.concatenate([kept[0], own], 1), np.concatenate([kept[1], s], 1)
+        at = np.lexsort((own, -s), axis=1)[:, :k]
+        return np.take_along_axis(own, at, 1), np.take_along_axis(s, at, 1)
+
+    def rows(ids, kept):
+        own, s = kept
+        there = np.isfinite(s)
+        return np.broadcast_to(ids[:, None], s.shape)[there], own[there], s[there]
 
     schema = "query_id long, item_id long, score double"
     if k < 1:
         return items.sparkSession.createDataFrame([], schema + ", rank int")
-    return _rank(by_blocks(queries, items, best, schema, skip_self), k)
+    return _rank(by_blocks(queries, items, best, rows, schema, skip_self), k)
 
 
 def score_sums(queries: DataFrame, items: DataFrame, above: float = 0.0) -> DataFrame:
     """query_id, n, total, n_above: each query's scores with all items but itself, summed up."""
 
-    def sums(ids, own, s):
+    def sums(kept, own, s):
         live = np.isfinite(s)
-        return ids, live.sum(1), np.where(live, s, 0.0).sum(1), (live & (s > above)).sum(1)
+        new = live.sum(1), np.where(live, s, 0.0).sum(1), (live & (s > above)).sum(1)
+        return new if kept is None else tuple(a + b for a, b in zip(kept, new, strict=True))
 
-    parts = by_blocks(queries, items, sums, "query_id long, n long, total double, n_above long")
+    parts = by_blocks(queries, items, sums, lambda ids, kept: (ids, *kept), "query_id long, n long, total double, n_above long")
     return parts.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in ("n", "total", "n_above")])
 
 

@@ -12,6 +12,7 @@ from rankwell.functions import text as T
 from rankwell.operators import agreement as A
 from rankwell.operators import bootstrap, chunking, embedding, filters, generation, mapping, memo, pooling, retrieval, routing
 from rankwell.operators import evaluation as E
+from rankwell.plans import generation as labelled
 from rankwell.sources import checkpoints, files, sinks
 from rankwell.streaming import quota
 
@@ -355,3 +356,34 @@ def test_admission_stream(spark, tmp_path):
     got = {(r.event_id, r.admitted) for r in spark.table("judged").collect()}
     want = {(r.event_id, r.admitted) for r in quota.admitted(spark.createDataFrame(rows + end, kind), 2, 3600).collect()}
     assert {x for x in got if x[0] < 1000} == {x for x in want if x[0] < 1000}
+
+
+def test_published_agreement(spark):
+    """Kappas as published for 69 pairs of human grades."""
+    matrix = [[26, 0, 0, 0], [0, 12, 3, 1], [0, 9, 6, 5], [0, 1, 2, 4]]
+    pairs = spark.createDataFrame([(a, b) for a, row in enumerate(matrix) for b, n in enumerate(row) for _ in range(n)], "a int, b int")
+    assert pairs.count() == 69 and pairs.where("a = b").count() == 48
+    assert round(A.kappa(pairs).first().kappa, 4) == 0.5791 and round(A.weighted_kappa(pairs, 2).first().kappa, 4) == 0.8198
+
+
+def test_retrievers_by_label(spark):
+    run = spark.createDataFrame([(s, s) for s in range(1, 9)], "strategy int, qid int")
+    got = {(r.strategy, r.label) for r in labelled.retrievers(run, ["F0", "H2"]).collect()}
+    assert got == {(1, "F0"), (7, "H2")}
+    for bad in (["F0", "X9"], ["F0", "F0"]):
+        with pytest.raises(ValueError):
+            labelled.retrievers(run, bad)
+
+
+def test_top_k_over_batches(spark):
+    """One running list for each task: many small batches give what one gives."""
+    r = random.Random(8)
+    rows = [(i, [r.randrange(-3, 4) * 1.0 for _ in range(4)]) for i in range(500)]
+    items = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = items.where("id % 20 = 0")
+    want = {tuple(x) for x in retrieval.top_k(asked, items.repartition(1), 7).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {tuple(x) for x in retrieval.top_k(asked, items.repartition(5), 7).collect()} == want and len(want) == 25 * 7
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
