@@ -9,6 +9,7 @@ from rankwell.operators import trace
 from rankwell.plans import base
 from rankwell.plans.frames import _TREE, _docs, _pages, _run, _topk_sql, _vectors
 from rankwell.sources import checkpoints
+from rankwell.sources.folders import scratch
 
 _DECISIONS = f"""WITH {_topk_sql(12)}, leaf AS (SELECT vec_id AS id, vec_id // 3 AS p, 10 + vec_id % 7 AS tok, vec_id % 4 = 0 AS rel FROM embeddings),
 dec AS (SELECT query_id, concat('parent_', l.p) AS parent_id, count(*) AS children_retrieved, any_value(w.n) AS children_total, count(*) * 2 >= any_value(w.n) AS merged,
@@ -50,9 +51,12 @@ def jon14(spark, d):
 
 
 def snk04(spark, d):
-    """Pairs of query and strategy that a resumed run still has to do; odd queries are finished."""
+    """Pairs of query and strategy that a resumed run still has to do: odd queries were finished, in two runs of which the second repeats some."""
     work = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("strategy")).distinct()
-    return checkpoints.row_keys(checkpoints.remaining(work, work.where("query_id % 2 = 1")))
+    path = scratch(spark, "checkpoint")
+    checkpoints.append_rows(work.where("query_id % 4 = 1"), path)
+    checkpoints.append_rows(work.where("query_id % 2 = 1"), path)
+    return checkpoints.row_keys(checkpoints.remaining(work, checkpoints.finished(work.schema, spark, path)))
 
 
 base.QUERIES |= {"snk04_resume": snk04, "rtv10_merge_trace": _decisions, "rtv11_trace_ratios": rtv11, "jon03_prioritised_passages": jon03, "jon12_tree_join": jon12, "jon14_citation_audit": jon14}

@@ -120,10 +120,3 @@ def _sealed_inventory(spark: SparkSession, path: str) -> dict | None:
         return unseal(spark.read.parquet(f"{path}/sealed").first()["envelope"])
     except AnalysisException:
         return None  # never built
-
-
-def damage(spark: SparkSession, home: str, settings: dict) -> None:
-    """Loses a row of a kept stage, for tests."""
-    path = f"{home.rstrip('/')}/{fingerprint(settings)}/rows"
-    rows = spark.createDataFrame(spark.read.parquet(path).limit(5).collect(), spark.read.parquet(path).schema)
-    rows.write.mode("overwrite").parquet(path)
