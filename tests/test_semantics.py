@@ -346,6 +346,15 @@ def test_stages(spark, tmp_path):
     assert outcome == "REBUILT" and df.count() == 10
 
 
+def test_stage_query_damages_its_own_stage(spark, tmp_path):
+    """The damaged stage is built anew, also where there is no document at all."""
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "bcd")], "doc_id long, text string")
+    for home, df, n in (("some", docs, 2), ("none", docs.where("false"), 0)):
+        df.write.parquet(f"{tmp_path}/{home}/documents.parquet")
+        got = [tuple(r) for r in labelled.nbk02(spark, f"{tmp_path}/{home}").collect()]
+        assert got == [("first", "BUILT", n), ("again", "REUSED", n), ("other settings", "BUILT", n), ("damaged", "REBUILT", n)]
+
+
 def test_admission_stream(spark, tmp_path):
     """Events of one user out of order and over several batches are judged as in batch."""
     t0 = datetime.datetime(2024, 1, 1)
