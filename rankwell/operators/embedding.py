@@ -12,15 +12,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers in the vectors of the words that a worker keeps; it starts over beyond them, unless one text has more words.
-MOST_VALUES = 10_000_000
+#: Numbers (of four bytes) in the vectors of the words that a worker keeps; beyond them it drops the less used half, unless one text has more words.
+MOST_VALUES = 30_000_000
 #: Fields that must agree between embedders. Fixed values.
 FINGERPRINT = ["model", "revision", "dimension", "pooling", "normalized", "dtype", "max_tokens"]
 
 
 # Fixed formula: a value is the first eight hex digits of a SHA-256 over the word and its place, scaled to -1 to 1.
 def word_vector(word: str, dim: int) -> np.ndarray:
-    return np.array([int(hashlib.sha256(f"w:{word}:{i}".encode()).hexdigest()[:8], 16) / 0xFFFFFFFF * 2.0 - 1.0 for i in range(dim)])
+    return _scaled(_word_numbers(word, [b"%d" % i for i in range(dim)]))
+
+
+def _word_numbers(word: str, places: list[bytes]) -> np.ndarray:
+    sha, lead = hashlib.sha256, f"w:{word}:".encode()
+    return np.frombuffer(b"".join([sha(lead + i).digest()[:4] for i in places]), ">u4")
+
+
+def _scaled(numbers: np.ndarray) -> np.ndarray:
+    return numbers / 0xFFFFFFFF * 2.0 - 1.0
 
 
 def words_of(text: str) -> list[str]:
@@ -28,28 +37,41 @@ def words_of(text: str) -> list[str]:
     return own or [text.lower().strip()]
 
 
+def _most_used(place: dict[str, int], numbers: np.ndarray, uses: np.ndarray, most: int):
+    """The words that most texts used, at most so many, with their rows; uses are counted anew."""
+    stay = sorted(place, key=lambda w: -uses[place[w]])[:most]
+    kept = numbers[[place[w] for w in stay]]
+    size = max(1024, len(stay))
+    rows = np.zeros((size, numbers.shape[1]), np.uint32)
+    rows[: len(stay)] = kept
+    return {w: i for i, w in enumerate(stay)}, rows, np.zeros(size, np.int64)
+
+
 def word_sum(docs: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
     """id, vector: the sum of word vectors, of unit length; blank and null texts have the zero vector."""
 
+    places = [b"%d" % i for i in range(dim)]
+
     def run(batches):
-        place, vectors, used = {}, np.zeros((1024, dim)), 0  # of the words met so far, a row each
+        place, numbers, uses = {}, np.zeros((1024, dim), np.uint32), np.zeros(1024, np.int64)  # of the words met so far, a row each
         for b in batches:
             out = np.zeros((b.num_rows, dim))
             for r, t in enumerate(b.column(1).to_pylist()):
                 if not t or not t.strip():
                     continue
                 counts = Counter(words_of(t))
-                if used + len(counts) > MOST_VALUES // dim:
-                    place, used = {}, 0
+                if len(place) + len(counts) > MOST_VALUES // dim:
+                    place, numbers, uses = _most_used(place, numbers, uses, max(0, MOST_VALUES // dim // 2 - len(counts)))
                 for w in counts:
                     if w not in place:
-                        if used == len(vectors):
-                            vectors = np.concatenate([vectors, np.zeros_like(vectors)])
-                        vectors[used], place[w] = word_vector(w, dim), used
-                        used += 1
+                        if len(place) == len(numbers):
+                            numbers, uses = np.concatenate([numbers, np.zeros_like(numbers)]), np.concatenate([uses, np.zeros_like(uses)])
+                        numbers[len(place)] = _word_numbers(w, places)
+                        place[w] = len(place)
                 at = np.fromiter((place[w] for w in counts), np.int64, len(counts))
+                uses[at] += 1
                 for lo in range(0, len(at), 4096):  # a very long text in parts
-                    out[r] += np.fromiter(counts.values(), float, len(at))[lo : lo + 4096] @ vectors[at[lo : lo + 4096]]
+                    out[r] += np.fromiter(counts.values(), float, len(at))[lo : lo + 4096] @ _scaled(numbers[at[lo : lo + 4096]])
             n = np.sqrt((out * out).sum(1, keepdims=True))
             out = np.where(n > 0, out / np.where(n > 0, n, 1), out)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(out.ravel()))

@@ -46,12 +46,54 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.where(scale == 0, 0.0, s / np.where(scale == 0, 1, scale))
 
 
-def by_blocks(queries: DataFrame, items: DataFrame, add: Callable, rows_of: Callable, schema: str, skip_self: bool = True) -> DataFrame:
+def _units(v: np.ndarray, dtype: type) -> np.ndarray | None:
+    """Rows at unit length, 0 where there is none; None where squares may over- or underflow."""
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    if ((n > 0) & ((n < 1e-140) | (n > 1e140))).any() or not np.isfinite(n).all():
+        return None
+    return np.where(n > 0, v / np.where(n > 0, n, 1), 0).astype(dtype)
+
+
+class _Batch:
+    """Items of a batch against a block of queries: near scores by one matrix product, exact ones of chosen pairs.
+
+    near differs from the exact scores by less than slack; the score with an item of the
+    query's own id is -inf if skip_self.
+    """
+
+    def __init__(self, ids, q, unit, own, v, skip_self):
+        self.q, self.own, self.v = q, own, v
+        other = _units(v, unit.dtype.type) if unit is not None else None
+        self.near = _scores(q, v) if other is None else unit @ other.T
+        # entries, products and sums each round by half an eps of at most 1
+        self.slack = 0.0 if other is None else 2 * float(np.finfo(unit.dtype).eps) * (v.shape[1] + 16)
+        if skip_self:
+            at = np.flatnonzero(np.isin(own, ids))
+            r, c = np.nonzero(ids[:, None] == own[None, at])
+            self.near[r, at[c]] = -np.inf
+
+    def exact(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Scores of the pairs (r, c) as _scores gives them."""
+        out = np.zeros(len(r))
+        qn, n = np.sqrt((self.q * self.q).sum(1)), np.sqrt((self.v * self.v).sum(1))
+        for lo in range(0, len(r), 1 << 18):
+            i, k = r[lo : lo + (1 << 18)], c[lo : lo + (1 << 18)]
+            s = np.zeros(len(i))
+            for d in range(self.v.shape[1]):
+                s += self.q[i, d] * self.v[k, d]
+            scale = qn[i] * n[k]
+            out[lo : lo + (1 << 18)] = np.where(scale == 0, 0.0, s / np.where(scale == 0, 1, scale))
+        return out
+
+
+def by_blocks(queries: DataFrame, items: DataFrame, add: Callable, rows_of: Callable, schema: str, skip_self: bool = True, thin: Callable | None = None, dtype: type = np.float64) -> DataFrame:
     """Rows of what each task has kept of its items for each block of queries.
 
-    add(kept, item ids, scores) takes a batch of items into what is kept (None at first), and
+    add(kept, batch) takes a _Batch of items into what is kept (None at first), and
     rows_of(query ids, kept) is called once a task, so that what is shuffled follows the number
-    of tasks and not of batches.  skip_self: a query's score with the item of its own id is -inf.  A block is collected
+    of tasks and not of batches.  skip_self: a query's score with the item of its own id is -inf.
+    thin(item ids, vectors) may name the items of a batch that are worth looking at, and dtype
+    is the precision of near scores.  A block is collected
     by itself; of several blocks each one's rows are written to the shared folder before
     the next, so neither the driver nor the plan grows with the query set.
     """
@@ -67,15 +109,16 @@ def by_blocks(queries: DataFrame, items: DataFrame, add: Callable, rows_of: Call
         ids, q = np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows], float)
 
         def score(batches, ids=ids, q=q):
-            kept = None
+            kept, unit = None, _units(q, dtype)
             for whole in batches:
                 for lo in range(0, whole.num_rows, ITEM_ROWS):
                     batch = whole.slice(lo, ITEM_ROWS)
                     own = np.asarray(batch.column("id"))
-                    s = _scores(q, np.asarray(batch.column("vector").flatten()).reshape(len(own), -1))
-                    if skip_self:
-                        s[ids[:, None] == own[None, :]] = -np.inf
-                    kept = add(kept, own, s)
+                    v = np.asarray(batch.column("vector").flatten()).reshape(len(own), -1)
+                    if thin is not None:
+                        at = thin(own, v)
+                        own, v = own[at], v[at]
+                    kept = add(kept, _Batch(ids, q, unit, own, v, skip_self))
             if kept is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows_of(ids, kept)], names=names)
 
@@ -88,34 +131,67 @@ def by_blocks(queries: DataFrame, items: DataFrame, add: Callable, rows_of: Call
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def _firsts(order: tuple, group: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k of each group in an order (keys as np.lexsort takes them, below the group)."""
+    at = np.lexsort((*order, group))
+    g = group[at]
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+    return at[np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)])) < k]
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
     """query_id, item_id, score, rank: the k items of highest cosine, ties by the smaller id.
 
     queries and items are (id, vector); vectors without length score 0; k < 1 gives no rows.
+    A product in single precision shows which pairs can be among the k; their scores are then
+    summed exactly, in index order as a fold would, and decide.
     """
 
-    def best(kept, own, s):
-        own = np.broadcast_to(own, s.shape)
-        if kept is not None:
-            own, s = np.concatenate([kept[0], own], 1), np.concatenate([kept[1], s], 1)
-        at = np.lexsort((own, -s), axis=1)[:, :k]
-        return np.take_along_axis(own, at, 1), np.take_along_axis(s, at, 1)
+    def distinct(own, v):
+        # of equal vectors only the k + 1 smallest ids can be among anybody's k others
+        if v.shape[1] == 0 or len(np.unique(own)) < len(own):
+            return np.arange(len(own))
+        same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * v.itemsize))).ravel(), return_inverse=True)[1].ravel()
+        return np.sort(_firsts((own,), same, k + 1))
+
+    def best(kept, batch):
+        s, n = batch.near, len(batch.q)
+        r0, own0, s0, least = kept if kept is not None else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.full(n, -np.inf))
+        bar = least
+        if np.isinf(least).any() and s.shape[1] > k:  # not all have k yet: the batch's own k-th is a bar as well
+            bar = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+        r, c = np.nonzero((s >= (bar - batch.slack)[:, None].astype(s.dtype)) & (s > -np.inf))
+        if not len(r):
+            return r0, own0, s0, least
+        r, own, s = np.r_[r0, r], np.r_[own0, batch.own[c]], np.r_[s0, batch.exact(r, c)]
+        there = np.isfinite(s)
+        r, own, s = r[there], own[there], s[there]
+        at = _firsts((own, -s), r, k)
+        r, own, s = r[at], own[at], s[at]
+        full = np.flatnonzero(np.bincount(r, minlength=n) == k)
+        worst = np.full(n, np.inf)
+        np.minimum.at(worst, r, s)
+        least = np.full(n, -np.inf)
+        least[full] = worst[full]
+        return r, own, s, least
 
     def rows(ids, kept):
-        own, s = kept
-        there = np.isfinite(s)
-        return np.broadcast_to(ids[:, None], s.shape)[there], own[there], s[there]
+        r, own, s, _ = kept
+        return ids[r], own, s
 
     schema = "query_id long, item_id long, score double"
     if k < 1:
         return items.sparkSession.createDataFrame([], schema + ", rank int")
-    return _rank(by_blocks(queries, items, best, rows, schema, skip_self), k)
+    return _rank(by_blocks(queries, items, best, rows, schema, skip_self, distinct, np.float32), k)
 
 
 def score_sums(queries: DataFrame, items: DataFrame, above: float = 0.0) -> DataFrame:
     """query_id, n, total, n_above: each query's scores with all items but itself, summed up."""
 
-    def sums(kept, own, s):
+    def sums(kept, batch):
+        s = batch.near
+        r, c = np.nonzero(np.abs(s - above) <= batch.slack)
+        s[r, c] = batch.exact(r, c)
         live = np.isfinite(s)
         new = live.sum(1), np.where(live, s, 0.0).sum(1), (live & (s > above)).sum(1)
         return new if kept is None else tuple(a + b for a, b in zip(kept, new, strict=True))

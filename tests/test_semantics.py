@@ -5,6 +5,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +320,49 @@ def test_query_blocks(spark, monkeypatch):
     assert retrieval.score_sums(q, v).agg(F.min("n"), F.max("n")).first() == (120, 120)
 
 
+def test_top_k_of_near_ties(spark, monkeypatch):
+    """Copies, zero, tiny and huge vectors, over several batches: as a plain fold ranks them, which never ran over all pairs."""
+    rng = random.Random(7)
+    base = [[rng.random() - 0.5 for _ in range(8)] for _ in range(30)] + [[0.0] * 8]
+    rows = [(i, [x * (1 + (i % 3) * 1e-9) for x in base[rng.randrange(31)]]) for i in range(400)]
+    records = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    for extra in ([], [(400, [1e-160] * 8), (420, [1e200] * 8)]):
+        plain = rows + extra
+        norm = lambda a: math.sqrt(sum(x * x for x in a))
+
+        def cosine(a, b):
+            s = 0.0
+            for x, y in zip(a, b, strict=True):
+                s += x * y
+            return 0.0 if norm(a) * norm(b) == 0 else s / (norm(a) * norm(b))
+
+        v = spark.createDataFrame(plain, "id long, vector array<double>").coalesce(2)
+        got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in retrieval.top_k(retrieval.stated(v), v, 7).collect()}
+        for i, a in plain:
+            if i % 20 == 0 and i < 400:
+                best = sorted((cosine(a, b) for k, b in plain if k != i), reverse=True)[:7]
+                assert [got[i, r][1] for r in range(1, 8)] == pytest.approx(best, abs=1e-15)
+                vectors = dict(plain)
+                assert [got[i, r][1] for r in range(1, 8)] == pytest.approx([cosine(a, vectors[got[i, r][0]]) for r in range(1, 8)], abs=1e-15)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    q = np.array([a for _, a in rows[:50]])
+    seen = []
+    monkeypatch.setattr(retrieval._Batch, "exact", lambda self, r, c: seen.append(len(r)) or np.zeros(len(r)))
+    batch = retrieval._Batch(np.arange(50), q, retrieval._units(q, np.float32), np.arange(50), q, True)
+    assert np.abs(np.where(np.isinf(batch.near), 0, batch.near - retrieval._scores(q, q))).max() < batch.slack and not seen
+
+
+def test_word_sum_drops_less_used_words(spark):
+    rows = [(i, f"common w{i} x{i} common") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    whole = {r.id: r.vector for r in embedding.word_sum(df, "id", dim=8).collect()}
+    place, numbers, _ = embedding._most_used({"a": 0, "b": 1, "c": 2}, np.arange(12, dtype=np.uint32).reshape(3, 4), np.array([1, 5, 3]), 2)
+    assert list(place) == ["b", "c"] and numbers[:2].tolist() == [[4, 5, 6, 7], [8, 9, 10, 11]]
+    one = {i: sum(embedding.word_vector(w, 8) for w in t.split()) for i, t in rows}
+    assert all(whole[i] == pytest.approx(list(one[i] / math.sqrt((one[i] ** 2).sum()))) for i in whole)
+
+
 def test_word_sum(spark):
     df = spark.createDataFrame([(1, "Sets, sets!"), (2, "sets"), (3, " "), (4, None), (5, "...")], "id long, text string")
     got = {r.id: r.vector for r in embedding.word_sum(df, "id", dim=8).collect()}
