@@ -9,6 +9,7 @@ from rankwell.operators import bootstrap
 from rankwell.plans import base as B
 from rankwell.plans.base import METRIC_SQL, RATERS_SQL, read, register
 from rankwell.plans.evaluation import ANSWERED_SQL, HUMAN_SQL, answered, human, metric
+from rankwell.sources.folders import scratch
 
 #: Compared pairs of strategies: the later stage first.
 PAIRS = [(4, 3), (7, 6)]
@@ -75,7 +76,9 @@ SELECT pair // 10 AS sb, pair % 10 AS sa, wins, ties, losses, round(m, 4) AS mea
 def sta03(spark, d):
     """Wins, ties, losses, mean difference with its interval, effect size and what follows."""
     m = metric(spark, d).select("strategy", F.lit("recall").alias("metric"), "qid", F.col("recall").alias("score"))
-    rows = A.deltas(m, PAIRS).where("delta is not null")
+    path = scratch(spark, "deltas")  # made once for the interval and the counts
+    A.deltas(m, PAIRS).where("delta is not null").write.parquet(path)
+    rows = spark.read.parquet(path)
     ci = bootstrap.interval(rows, ["sb", "sa"], "qid", "delta")
     x = F.col("delta")
     s = rows.groupBy("sb", "sa").agg(F.count_if(x > 0).alias("wins"), F.count_if(x == 0).alias("ties"), F.count_if(x < 0).alias("losses"), F.round(F.avg(x), 4).alias("mean_diff"), F.round(A.cohens_d(x), 4).alias("d"))

@@ -174,6 +174,20 @@ def test_bootstrap(spark):
     assert (one.low, one.high) == want
 
 
+def test_bootstrap_in_blocks(spark, monkeypatch):
+    """Many small blocks, shares and tasks draw what one task does, and no draw is a row of Spark."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(g, k, rng.random() - 0.4) for g, n in (("a", 47), ("b", 5), ("c", 1)) for k in range(n)] + [("a", 99, None)], "g string, k long, v double")
+    whole = sorted(tuple(r) for r in bootstrap.interval(df, ["g"], "k", "v").collect())
+    monkeypatch.setattr(bootstrap, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(bootstrap, "HELD_ROWS", 10)
+    monkeypatch.setattr(bootstrap, "TASK_RESAMPLES", 130)
+    assert sorted(tuple(r) for r in bootstrap.interval(df, ["g"], "k", "v").collect()) == whole and len(whole) == 3
+    row = bootstrap.numbered(df.where("v is not null"), "k", ("g",))
+    assert row.groupBy("g").agg(F.count_distinct("i").alias("n"), F.max("i").alias("last")).where("n != last + 1").count() == 0
+    assert bootstrap._means(row, ["g"], 1000, 42).groupBy("g").count().where("count != 1000").count() == 0
+
+
 def test_sentences_go_on_after_abbreviations(spark):
     cases = {
         "See etc. The end": ["See etc.", "The end"], "Compare e.g. this one.": ["Compare e.g. this one."], "Ver seção. Nova": ["Ver seção. Nova"], "A SRA.\n Costa saiu! Fim": ["A SRA. Costa saiu!", "Fim"],
