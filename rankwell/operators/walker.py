@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 STRING = r'"(?:[^"\\]|\\.)*+"'
 #: Keys whose value must be a canonical id, and the one value that may stand in its place. Fixed values.
 ID_KEYS, UNMAPPED = ["passage_id", "canonical_passage_id"], "UNMAPPED_NEEDS_REVIEW"
+#: Records of a task on average: what tasks hold follows this and not the table.
+TASK_RECORDS = 25_000
 
 
 def depth(text: Column) -> Column:
@@ -32,13 +34,15 @@ def walk(records: DataFrame, text: str, key: list[str], stop: list[str] | None =
     keys in stop nothing is walked.  A text that is no JSON, or repeats a key, is one row of kind INVALID
     without a path; a null text and a text without members give none.
     """
-    most = records.agg(F.max(depth(F.col(text)))).first()[0] or 0  # one number
-    own = records.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("_text"))
-    now = own.select(*key, F.lit("").alias("path"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("keyed"), F.try_parse_json("_text").alias("v"), F.col("_text").isNotNull().alias("open"), F.array().cast("array<struct<path:string,name:string,keyed:boolean,kind:string,value:string>>").alias("above"))
+    most, n = records.agg(F.max(depth(F.col(text))), F.count(text)).first()  # two numbers
+    tasks = max(records.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_RECORDS))
+    own = records.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("_text")).repartition(tasks, *key)
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("INVALID"))
-    shown = lambda v: F.when(F.startswith(kind(v), F.lit("STRING")), F.variant_get(v, "$", "string")).when(~F.is_variant_null(v), F.to_json(v))
-    for _ in range(most):
-        view = F.coalesce(F.col("open") & (F.startswith(kind(F.col("v")), F.lit("OBJECT")) | F.startswith(kind(F.col("v")), F.lit("ARRAY"))), F.lit(False))
+    now = own.select(*key, F.lit("").alias("path"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("keyed"), F.try_parse_json("_text").alias("v"), F.col("_text").isNotNull().alias("open"), F.array().cast("array<struct<path:string,name:string,keyed:boolean,kind:string,value:string>>").alias("above"))
+    now = now.withColumn("_kind", kind(F.col("v")))  # a kind is made once, when its value is met
+    shown = F.when(F.startswith("_kind", F.lit("STRING")), F.variant_get("v", "$", "string")).when(~F.is_variant_null("v"), F.to_json("v"))
+    for _ in range(most or 0):
+        view = F.coalesce(F.col("open") & (F.startswith("_kind", F.lit("OBJECT")) | F.startswith("_kind", F.lit("ARRAY"))), F.lit(False))
         now = now.withColumn("inner", F.when(view, F.col("v")))
         step = now.lateralJoin(now.sparkSession.tvf.variant_explode_outer(F.col("inner").outer()).toDF("_pos", "_key", "_value"))
         below = F.col("inner").isNotNull() & F.col("_pos").isNotNull()
@@ -46,11 +50,11 @@ def walk(records: DataFrame, text: str, key: list[str], stop: list[str] | None =
         name = F.coalesce("_key", "name")
         v = F.when(below, F.col("_value")).otherwise(F.col("v"))
         # a container's own row travels with its first member, as one of an empty container does by itself
-        mine = F.array(F.struct("path", "name", "keyed", kind(F.col("v")).alias("kind"), shown(F.col("v")).alias("value")))
+        mine = F.array(F.struct("path", "name", "keyed", F.col("_kind").alias("kind"), shown.alias("value")))
         above = F.when(~below, F.col("above")).when(F.col("_pos") == 0, F.concat("above", F.when(F.col("path") == "", F.slice(mine, 1, 0)).otherwise(mine))).otherwise(F.slice("above", 1, 0))
         goes_on = below & ~F.coalesce(name.isin(stop or []) & F.col("_key").isNotNull(), F.lit(False))
-        now = step.select(*key, F.when(below, path).otherwise(F.col("path")).alias("path"), F.when(below, name).otherwise(F.col("name")).alias("name"), F.when(below, F.col("_key").isNotNull()).otherwise(F.col("keyed")).alias("keyed"), v.alias("v"), goes_on.alias("open"), above.alias("above"))
-    last = F.array(F.struct("path", "name", "keyed", kind(F.col("v")).alias("kind"), shown(F.col("v")).alias("value")))
+        now = step.select(*key, F.when(below, path).otherwise(F.col("path")).alias("path"), F.when(below, name).otherwise(F.col("name")).alias("name"), F.when(below, F.col("_key").isNotNull()).otherwise(F.col("keyed")).alias("keyed"), v.alias("v"), F.when(below, kind(F.col("_value"))).otherwise(F.col("_kind")).alias("_kind"), goes_on.alias("open"), above.alias("above"))
+    last = F.array(F.struct("path", "name", "keyed", F.col("_kind").alias("kind"), shown.alias("value")))
     whole = F.when((F.col("path") == "") & F.col("v").isNotNull(), F.col("above")).otherwise(F.concat("above", last))
     return now.select(*key, F.explode(whole).alias("n")).select(*key, "n.*")
 

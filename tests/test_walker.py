@@ -89,3 +89,13 @@ def test_nfkc_of_every_character(spark):
     rows = [(i, "x" + "".join(points[i : i + 256]) + "e\u0301", "p", "n") for i in range(0, len(points), 256)] + [(-1, None, "p", "n"), (-2, "", "p", "n"), (-3, "plain é", "p", "n")]
     got = {x.id: x.t for x in G.nfkc(spark.createDataFrame(rows, RECORDS), "t").collect()}
     assert got == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t, *_ in rows}
+
+
+def test_tasks_follow_the_records(spark, monkeypatch):
+    """More records make more tasks, not larger ones, and what is grouped by record needs no further shuffle."""
+    monkeypatch.setattr(W, "TASK_RECORDS", 10)
+    df = spark.range(400).select("id", F.format_string('{"a": [{"b": %d}, {"b": null}], "c": "x"}', "id").alias("t"))
+    found = W.walk(df, "t", ["id"])
+    assert found.rdd.getNumPartitions() == 40
+    per = found.groupBy("path").agg(F.count_distinct("id").alias("n"), F.count("*").alias("all"))
+    assert {r.path: (r.n, r.all) for r in per.collect()} == {p: (400, 400) for p in ("a", "a[0]", "a[0].b", "a[1]", "a[1].b", "c")}
