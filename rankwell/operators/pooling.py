@@ -55,12 +55,28 @@ def blinded(qrels: DataFrame, negatives: int = 5) -> DataFrame:
     return some.select("qid", "passage", F.row_number().over(shuffle).alias("position"))
 
 
-def review_queue(pooled: DataFrame, risky: Column, rate: float = 0.2) -> DataFrame:
-    """Second queue: the risky pairs, and at least one and about rate of each question's others, drawn by hash."""
-    flagged = pooled.withColumn("risky", risky)
+def routed(pooled: DataFrame, risky: Column, rate: float = 0.2) -> DataFrame:
+    """qid, passage, risky, second: whether a pair is in the second queue, which has the risky pairs and at least one and about rate of each question's others, drawn by hash."""
+    flagged = pooled.select("qid", "passage", risky.alias("risky")).repartition("qid")
     by = Window.partitionBy("qid", "risky")
-    drawn = flagged.withColumn("r", F.row_number().over(by.orderBy(keyed("b:", F.col("qid"), ":", F.col("passage"))))).withColumn("n", F.count("*").over(by))
-    return drawn.where(F.col("risky") | (F.col("r") <= F.greatest(F.lit(1), F.round(F.col("n") * rate)))).select("qid", "passage", "risky")
+    drawn = flagged.withColumn("r", F.row_number().over(by.orderBy(F.unhex(keyed("b:", F.col("qid"), ":", F.col("passage")))))).withColumn("n", F.count("*").over(by))
+    return drawn.select("qid", "passage", "risky", (F.col("risky") | (F.col("r") <= F.greatest(F.lit(1), F.round(F.col("n") * rate)))).alias("second"))
+
+
+def review_queue(pooled: DataFrame, risky: Column, rate: float = 0.2) -> DataFrame:
+    """Second queue: the risky pairs, and at least one and about rate of each question's others."""
+    return routed(pooled, risky, rate).where("second").select("qid", "passage", "risky")
+
+
+def merge_exports(rows: DataFrame) -> DataFrame:
+    """origin and status of each pair that a queue or an export has.
+
+    rows (qid, passage, origin): an export's rows have its name, those of the queue that was asked a null.
+    """
+    asked = F.col("origin").isNull()
+    one = rows.groupBy("qid", "passage").agg(F.min("origin").alias("origin"), F.count_if(~asked).alias("n"), F.some(asked).alias("asked"))
+    status = F.when(F.col("n") > 1, "NOT_DISJOINT").when(F.col("n") == 0, "MISSING").when(~F.col("asked"), "UNKNOWN").otherwise("OK")
+    return one.select("qid", "passage", "origin", status.alias("status"))
 
 
 def prioritised(rows: DataFrame, annotator: str) -> DataFrame:

@@ -129,7 +129,7 @@ def reranked(run):
     """run in the order of a second stage: by passage number, ties by the old rank."""
     from pyspark.sql import Window
 
-    by = Window.partitionBy("strategy", "qid").orderBy("passage", F.col("rank"))
+    by = Window.partitionBy("qid", "strategy").orderBy("passage", F.col("rank"))
     return run.withColumn("pre_rank", F.col("rank")).withColumn("rank", F.row_number().over(by))
 
 
