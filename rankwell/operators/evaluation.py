@@ -129,12 +129,15 @@ def human_metrics(run: DataFrame, qrels: DataFrame, k: int, known: Column) -> Da
 
 
 def reranker_damage(pre: DataFrame, post: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """What reranking lost: relevant entries of the uncut list before, those of them not among the k after, recall both ways."""
-    after = post.where(F.col("rank") <= k).select(*KEYS, "passage").distinct().withColumn("kept", F.lit(True))
+    """What reranking lost: relevant entries of the uncut list before, those of them not among the k after, recall both ways.
+
+    A passage of a list becomes one row first, so that judgements are joined once and nothing is counted as distinct.
+    """
+    after = post.where(F.col("rank") <= k).select(*KEYS, "passage", F.lit(None).cast("int").alias("rank"))
+    entries = pre.select(*KEYS, "passage", F.col("rank").cast("int").alias("rank")).unionByName(after)
+    one = entries.groupBy(*KEYS, "passage").agg(F.count("rank").alias("n"), F.coalesce(F.min("rank") <= k, F.lit(False)).alias("before"), (F.count("*") > F.count("rank")).alias("kept"))
     good = F.col("grade") >= 1
-    j = judged(pre, qrels).join(after, [*KEYS, "passage"], "left")
-    lost = F.count_distinct(F.when(good & F.col("kept").isNull(), F.col("passage")))
-    per = j.groupBy(*KEYS).agg(F.count_if(good).alias("pre_relevant"), lost.alias("dropped"), F.count_distinct(F.when(good & (F.col("rank") <= k), F.col("passage"))).alias("pre_hits"), F.count_distinct(F.when(good & F.col("kept").isNotNull(), F.col("passage"))).alias("post_hits"))
+    per = judged(one, relevant(qrels)).where(F.col("n") > 0).groupBy(*KEYS).agg(F.sum(F.when(good, F.col("n")).otherwise(0)).alias("pre_relevant"), F.count_if(good & ~F.col("kept")).alias("dropped"), F.count_if(good & F.col("before")).alias("pre_hits"), F.count_if(good & F.col("kept")).alias("post_hits"))
     rate = F.when(F.col("pre_relevant") > 0, F.col("dropped").cast("double") / F.col("pre_relevant")).otherwise(0.0)
     delta = (F.col("post_hits") - F.col("pre_hits")).cast("double") / F.col("n_rel")
     return per.join(gold_size(qrels), "qid", "left").select(*KEYS, "pre_relevant", "dropped", rate.alias("dropped_rate"), delta.alias("delta_recall"))

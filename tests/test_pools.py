@@ -1,7 +1,6 @@
 """Queues, exports and samples of pools: what they come to, and how often they go through the table."""
 
-from pyspark.sql import functions as F
-
+from rankwell.operators import evaluation as E
 from rankwell.operators import pooling as P
 from rankwell.plans import registry
 
@@ -23,3 +22,15 @@ def test_exports_are_merged_in_one_pass(spark):
     assert plan(registry.QUERIES["ann05_merge_exports"](spark, SF)).count("Relation [") == 2
 
 
+def test_damage_and_summaries_count_nothing_as_distinct(spark):
+    for name in ("evl13_reranker_damage", "map03_evidence_summary"):
+        assert "Expand" not in plan(registry.QUERIES[name](spark, SF)), name
+
+
+def test_damage_by_hand(spark):
+    pre = spark.createDataFrame([("s", 1, 7, 1), ("s", 1, 8, 2), ("s", 1, 7, 3), ("s", 1, 9, 4), ("s", 2, 5, 1)], "strategy string, qid long, passage long, rank int")
+    post = spark.createDataFrame([("s", 1, 9, 1), ("s", 1, 8, 2), ("s", 1, 7, 3), ("s", 1, 7, 4), ("s", 2, 5, 1)], "strategy string, qid long, passage long, rank int")
+    qrels = spark.createDataFrame([(1, 7, 2), (1, 9, 1), (1, 8, 0), (1, 6, 3)], "qid long, passage long, grade int")
+    got = {r.qid: tuple(r)[2:] for r in E.reranker_damage(pre, post, qrels, 2).collect()}
+    # 7 twice and 9 are relevant; 7 is lost, 9 comes up; three passages of the question are relevant
+    assert got == {1: (3, 1, 1 / 3, 0.0), 2: (0, 0, 0.0, None)}
