@@ -14,6 +14,14 @@ def keyed(*parts) -> Column:
     return F.sha2(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), 256)
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """rows dealt by question over all of the session's shuffle partitions.
+
+    Pairs of numbers shrink so much in a shuffle that partitions merged by their bytes would be tasks of many millions of rows.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
+
+
 def record_kind(strategies: list) -> Column:
     """FINAL or DROPPED: only strategies with a second stage can drop."""
     return F.when(F.col("strategy").isin(strategies) & F.col("post_rank").isNull(), "DROPPED").otherwise("FINAL")
@@ -33,18 +41,23 @@ def duplicates(final: DataFrame) -> DataFrame:
 
 
 def outside(evidence: DataFrame, pooled: DataFrame) -> DataFrame:
-    """qid, passage of every passage of a question's chapter that is not in its pool.  Questions meet passages by chapter, never all."""
+    """qid, passage of every passage of a question's chapter that is not in its pool.  Questions meet passages by chapter, never all.
+
+    Pairs and pool meet in one aggregate, of a question's rows together, so that pairs, the most rows by far, are shuffled once.
+    """
     asked = evidence.select("qid", "chapter").distinct()
     known = evidence.select("chapter", "passage").distinct()
-    return asked.join(known, "chapter").select("qid", "passage").distinct().join(pooled.select("qid", "passage"), ["qid", "passage"], "left_anti")
+    pairs = asked.join(known, "chapter").select("qid", "passage", F.lit(False).alias("in_pool"))
+    both = pairs.unionByName(pooled.select("qid", "passage", F.lit(True).alias("in_pool")))
+    return together(both).groupBy("qid", "passage").agg(F.max("in_pool").alias("in_pool")).where(~F.col("in_pool")).select("qid", "passage")
 
 
 def audit_sample(rows: DataFrame, rate: float = 0.1, seed: str = "42") -> DataFrame:
-    """At least one and about rate of each question's rows."""
+    """At least one and about rate of each question's rows.  Hashes are made where a question's rows are together, so none is shuffled."""
     by = Window.partitionBy("qid")
-    order = by.orderBy(keyed(f"{seed}:", F.col("qid"), ":", F.col("passage")))
+    order = by.orderBy(F.unhex(keyed(f"{seed}:", F.col("qid"), ":", F.col("passage"))))
     n = F.count("*").over(by)
-    return rows.withColumn("r", F.row_number().over(order)).withColumn("n", n).where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * rate))).select("qid", "passage")
+    return together(rows).withColumn("r", F.row_number().over(order)).withColumn("n", n).where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * rate))).select("qid", "passage")
 
 
 def blinded(qrels: DataFrame, negatives: int = 5) -> DataFrame:

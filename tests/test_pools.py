@@ -34,3 +34,10 @@ def test_damage_by_hand(spark):
     got = {r.qid: tuple(r)[2:] for r in E.reranker_damage(pre, post, qrels, 2).collect()}
     # 7 twice and 9 are relevant; 7 is lost, 9 comes up; three passages of the question are relevant
     assert got == {1: (3, 1, 1 / 3, 0.0), 2: (0, 0, 0.0, None)}
+
+
+def test_a_pooled_pair_without_a_passage_is_not_outside(spark):
+    e = spark.createDataFrame([(1, 4, None), (1, 4, 7), (2, 4, 8)], "qid long, chapter long, passage long")
+    pool = spark.createDataFrame([(1, None), (2, 8)], "qid long, passage long")
+    got = sorted((r.qid, r.passage or 0) for r in P.outside(e, pool).collect())
+    assert got == [(1, 7), (1, 8), (2, 0), (2, 7)]
