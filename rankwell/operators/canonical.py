@@ -41,7 +41,11 @@ def text(value: Column) -> Column:
 
 def number(value: Column) -> Column:
     """A float by the fewest digits that give it back: plain from 1e-4 up to below 1e16, else with an exponent of two digits and more."""
-    found = F.coalesce(*[F.when(F.format_string(f"%.{p}e", value).try_cast("double") == value, F.format_string(f"%.{p}e", value)) for p in range(17)])
+    shape = [F.format_string(f"%.{p}e", value) for p in range(17)]
+    tried = F.coalesce(*[F.when(s.try_cast("double") == value, s) for s in shape])
+    # two decimals of up to 15 digits never give the same float, so if its text has no more, these are the fewest
+    own = F.length(F.btrim(F.translate(F.substring_index(value.cast("string"), "E", 1), "-.", ""), F.lit("0")))
+    found = F.coalesce(_bound(own, lambda n: F.coalesce(*[F.when(n == p + 1, shape[p]) for p in range(15)])), tried)
 
     def shown(s: Column) -> Column:
         sign, parts = F.regexp_extract(s, "^-", 0), F.regexp_extract(s, r"^-?([\d.]+)e", 1)

@@ -24,9 +24,14 @@ EVIDENCE = T.ArrayType(ITEM)
 FATAL = ["LEAKAGE_DETECTED", "NON_CANONICAL_ID", "UNAUTHORIZED_TOOL"]
 
 
-def snapshot(evidence: Column) -> Column:
-    """Hash of the evidence in order."""
-    return F.sha2(F.concat(F.lit('{"evidence":'), canonical.json(evidence, EVIDENCE), F.lit("}")).cast("binary"), 256)
+def written(items: Column) -> Column:
+    """Canonical JSON of each item."""
+    return F.transform(items, lambda x: canonical.json(x, ITEM))
+
+
+def snapshot(texts: Column) -> Column:
+    """Hash of the evidence in order, of its items' canonical JSON; an item is written once, however many snapshots hold it."""
+    return F.sha2(F.concat(F.lit('{"evidence":['), F.array_join(texts, ","), F.lit("]}")).cast("binary"), 256)
 
 
 def _empty(kind: T.DataType) -> Column:
@@ -47,8 +52,8 @@ def fold(calls: DataFrame, logical: int = 3, retries: int = 2, idle: int = 2) ->
     most = logical + retries + 1  # no more calls can be made, and the last shows that the budget is gone
     call = F.struct("seq", "tool_id", "arguments", "status", "retry", "found")
     lists = calls.where("query_id is not null").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(call)), 1, most).alias("calls"), F.count("*").alias("n_calls"))
-    state = T.StructType([T.StructField("steps", T.ArrayType(STEP)), T.StructField("evidence", EVIDENCE), T.StructField("hash", T.StringType()), T.StructField("logical", T.IntegerType()), T.StructField("retries", T.IntegerType()), T.StructField("idle", T.IntegerType()), T.StructField("stop", T.StringType())])
-    zero = F.struct(_empty(T.ArrayType(STEP)).alias("steps"), _empty(EVIDENCE).alias("evidence"), snapshot(_empty(EVIDENCE)).alias("hash"), F.lit(logical).alias("logical"), F.lit(retries).alias("retries"), F.lit(0).alias("idle"), F.lit(None).cast("string").alias("stop"))
+    state = T.StructType([T.StructField("steps", T.ArrayType(STEP)), T.StructField("evidence", EVIDENCE), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("hash", T.StringType()), T.StructField("logical", T.IntegerType()), T.StructField("retries", T.IntegerType()), T.StructField("idle", T.IntegerType()), T.StructField("stop", T.StringType())])
+    zero = F.struct(_empty(T.ArrayType(STEP)).alias("steps"), _empty(EVIDENCE).alias("evidence"), _empty(T.ArrayType(T.StringType())).alias("texts"), snapshot(_empty(T.ArrayType(T.StringType()))).alias("hash"), F.lit(logical).alias("logical"), F.lit(retries).alias("retries"), F.lit(0).alias("idle"), F.lit(None).cast("string").alias("stop"))
 
     def bound(value: Column, fn) -> Column:
         return F.get(F.transform(F.array(value), fn), F.lit(0))
@@ -71,17 +76,16 @@ def fold(calls: DataFrame, logical: int = 3, retries: int = 2, idle: int = 2) ->
             count = F.size(new)
             idle_now = F.when(count > 0, 0).otherwise(s["idle"] + 1)
             why = F.when(gone, "BUDGET_EXHAUSTED").when(c["status"].isin(FATAL), c["status"]).when(idle_now >= idle, "REPEATED_CALL_NO_NEW_EVIDENCE")
-            digest = F.when(count > 0, snapshot(evidence)).otherwise(s["hash"])
 
-            def row(h: Column) -> Column:
+            def row(texts: Column, h: Column) -> Column:
                 values = {
                     "action": F.concat(F.lit("retrieve:"), c["tool_id"]), "arguments_sha256": F.sha2(F.coalesce(c["arguments"], F.lit("")).cast("binary"), 256), "budget_logical": F.greatest(left_logical, F.lit(0)).cast("string"), "budget_retries": F.greatest(left_retries, F.lit(0)).cast("string"),
                     "state_after_hash": h, "state_before_hash": s["hash"], "status": F.when(gone, "NOT_MADE").otherwise(c["status"]), "stop_reason": why, "evidence_delta_count": count, "step_index": F.size(s["steps"]),
                 }
                 made = F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in STEP])
-                return F.struct(F.concat(s["steps"], F.array(made)).alias("steps"), evidence.alias("evidence"), h.alias("hash"), F.greatest(left_logical, F.lit(0)).alias("logical"), F.greatest(left_retries, F.lit(0)).alias("retries"), idle_now.alias("idle"), why.alias("stop")).cast(state)
+                return F.struct(F.concat(s["steps"], F.array(made)).alias("steps"), evidence.alias("evidence"), texts.alias("texts"), h.alias("hash"), F.greatest(left_logical, F.lit(0)).alias("logical"), F.greatest(left_retries, F.lit(0)).alias("retries"), idle_now.alias("idle"), why.alias("stop")).cast(state)
 
-            return bound(digest, row)
+            return bound(F.concat(s["texts"], written(new)), lambda texts: bound(F.when(count > 0, snapshot(texts)).otherwise(s["hash"]), lambda h: row(texts, h)))
 
         return F.when(s["stop"].isNotNull(), s).otherwise(bound(fresh, after))
 
