@@ -4,6 +4,8 @@ import hashlib
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from rankwell.operators import trajectory
 from rankwell.plans import agents, registry
 
@@ -71,3 +73,11 @@ def test_registered_trajectories(spark):
     for q, own in calls.items():
         stop, steps, evidence, whole = replay(q, own)
         assert (got[q].stop, got[q].n_steps, got[q].evidence_sha256, got[q].trajectory_sha256) == (stop, len(steps), evidence, whole), q
+
+
+def test_an_item_is_written_once(spark):
+    """Snapshots are made of texts that are there, so canonical JSON of an item stands in the plan once and not in each snapshot's loop over the evidence."""
+    plan = trajectory.snapshot(F.col("texts"))
+    df = spark.createDataFrame([(['{"a":1}', '{"a":2}'],), ([],)], "texts array<string>")
+    got = [r.h for r in df.select(plan.alias("h")).collect()]
+    assert got == [hashlib.sha256(x.encode()).hexdigest() for x in ('{"evidence":[{"a":1},{"a":2}]}', '{"evidence":[]}')]
