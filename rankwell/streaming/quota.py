@@ -21,6 +21,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 OUT = "event_id long, user_id long, ts timestamp, admitted boolean"
 #: Slots of a window by which silences are found: one of a window and a slot at most is always seen.
 SLOTS = 8
+#: Parts of the users whose streaming state is kept together.
+BUCKETS = 2048
 
 
 def _judge(times: list[int], held: deque, limit: int, width: int) -> list[bool]:
@@ -78,57 +80,87 @@ def admitted(events: DataFrame, limit: int, seconds: float) -> DataFrame:
 
 
 class _Admission(StatefulProcessor):
-    """State of a user: times of admitted events, and events that the watermark has not passed; a timer wakes it for the first of either."""
+    """State of a bucket of users: times of admitted events, and events that the watermark has not passed; a timer wakes it for the first of either.
+
+    Both are kept as packed columns, an entry for each batch of input, as every entry is a call to the state store.
+    """
 
     def __init__(self, limit: int, width: int):
         self.limit, self.width = limit, width
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "ts long")
-        self.pending = handle.getListState("pending", "ts long, event_id long")
+        self.held = handle.getListState("held", "packed binary")
+        self.pending = handle.getListState("pending", "packed binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        for b in rows:
-            us = b["ts"].astype("datetime64[us]").astype("int64").tolist()
-            self.pending.appendList([(int(t), int(e)) for t, e in zip(us, b["event_id"].tolist(), strict=True)])
-        return self._pass(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        new = [np.stack([b[c].to_numpy(np.int64) for c in ("user_id", "us", "event_id")]) for b in rows]
+        self.pending.appendList([(x.tobytes(),) for x in new])
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        first = min((int(x[1].min()) for x in new if x.size), default=mark)
+        if first < mark:
+            yield from self._pass(mark)
+        else:  # older ones that are due have a timer
+            self._wake(first // 1000 + 1, keep=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        return self._pass(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        return self._pass(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _wake(self, at: int | None, keep: bool = False) -> None:
+        """Sets the bucket's only timer; keep leaves one that is not later."""
+        old = list(self.handle.listTimers())
+        if keep and old and min(old) <= at:
+            return
+        for t in old:
+            self.handle.deleteTimer(t)
+        if at is not None:
+            self.handle.registerTimer(at)
 
-    def _pass(self, key, mark: int):
+    @staticmethod
+    def _read(state, n: int) -> np.ndarray:
+        return np.concatenate([np.zeros((n, 0), np.int64), *(np.frombuffer(x[0], np.int64).reshape(n, -1) for x in state.get())], axis=1)
+
+    def _pass(self, mark: int):
         """Judges what the watermark has passed, lets state expire, and sets the next timer."""
         import pandas as pd
 
-        pending = sorted(tuple(x) for x in self.pending.get())
-        held = deque(x[0] for x in self.held.get())
-        ready = [x for x in pending if x[0] < mark]
-        wait = pending[len(ready) :]
-        flags = _judge([t for t, _ in ready], held, self.limit, self.width)
-        while held and mark - held[0] >= self.width:
-            held.popleft()
-        for state, rows in ((self.pending, wait), (self.held, [(t,) for t in held])):
-            state.put(rows) if rows else state.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if wait or held:
-            wake = wait[0][0] if wait else held[-1] + self.width
-            self.handle.registerTimer(max(wake // 1000 + 1, mark // 1000 + 1))
-        if ready:
-            yield pd.DataFrame({"event_id": [e for _, e in ready], "user_id": key[0], "ts": pd.to_datetime([t for t, _ in ready], unit="us"), "admitted": flags})
+        pending, held = self._read(self.pending, 3), self._read(self.held, 2)
+        ready, wait = pending[:, pending[1] < mark], pending[:, pending[1] >= mark]
+        ready = ready[:, np.lexsort((ready[2], ready[1], ready[0]))]
+        users, starts = np.unique(ready[0], return_index=True)
+        old = np.isin(held[0], users)
+        open_: dict[int, list[int]] = {}
+        for u, t in held[:, old].T.tolist():
+            open_.setdefault(u, []).append(t)
+        times, flags, kept = ready[1].tolist(), [], []
+        for u, lo, hi in zip(users.tolist(), starts.tolist(), [*starts[1:].tolist(), len(times)], strict=True):
+            own = deque(sorted(open_.get(u, ())))
+            flags += _judge(times[lo:hi], own, self.limit, self.width)
+            kept += [(u, t) for t in own]
+        held = np.concatenate([held[:, ~old], np.array(kept, np.int64).reshape(-1, 2).T], axis=1)
+        held = held[:, mark - held[1] < self.width]
+        for state, rows in ((self.pending, wait), (self.held, held)):
+            state.put([(np.ascontiguousarray(rows).tobytes(),)]) if rows.size else state.clear()
+        nexts = [int(x) for x in ([wait[1].min()] if wait.size else []) + ([held[1].min() + self.width] if held.size else [])]
+        self._wake(max(min(nexts) // 1000, mark // 1000) + 1 if nexts else None)
+        if len(times):
+            yield pd.DataFrame({"event_id": ready[2], "user_id": ready[0], "us": ready[1], "admitted": flags})
 
     def close(self) -> None:
         pass
 
 
-def admitted_stream(events: DataFrame, limit: int, seconds: float, late: str = "1 hour") -> DataFrame:
+def admitted_stream(events: DataFrame, limit: int, seconds: float, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Streaming form: events wait until the watermark has passed them and are judged in order of time.
 
-    A user's state goes once nothing waits and the last admitted event has left the window.
+    Users share the state of their bucket, each judged by itself: calls to the state store follow the
+    buckets and not the users.  A user's part goes once nothing waits and the admitted events have left the window.
     Events later than the watermark are dropped by Spark, which counts them in the query's
-    progress.  State lies in RocksDB, which the session is set to.
+    progress.  State lies in RocksDB, which the session is set to; buckets must stay as they are for a checkpoint.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    cols = events.where("user_id is not null and ts is not null").withWatermark("ts", late).select("event_id", "user_id", "ts")
-    return cols.groupBy("user_id").transformWithStateInPandas(_Admission(limit, int(seconds * 1_000_000)), OUT, "append", "eventTime")
+    cols = events.where("user_id is not null and ts is not null").withWatermark("ts", late)
+    user, event = F.col("user_id").cast("long"), F.col("event_id").cast("long")
+    cols = cols.select(F.pmod(F.xxhash64(user), F.lit(buckets)).alias("bucket"), user.alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), event.alias("event_id"), "ts")
+    done = cols.groupBy("bucket").transformWithStateInPandas(_Admission(limit, int(seconds * 1_000_000)), "event_id long, user_id long, us long, admitted boolean", "append", "eventTime")
+    return done.select("event_id", "user_id", F.timestamp_micros("us").alias("ts"), "admitted")
