@@ -15,10 +15,14 @@ def pages_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("document_id"), F.lit(1).alias("page_number"), "text")
 
 
+def cuts(text: Column, width: int, step: int) -> Column:
+    """(offset, text) of each stretch of a text, blank ones too."""
+    at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
+    return F.transform(at, lambda i: F.struct(i.alias("offset"), F.substr(text, i + 1, F.lit(width)).alias("text")))
+
+
 def _cut(pages: DataFrame, width: int, step: int) -> DataFrame:
-    at = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))
-    parts = F.transform(at, lambda i: F.struct(i.alias("offset"), F.substr(F.col("text"), i + 1, F.lit(width)).alias("text")))
-    return pages.select(*KEYS, F.posexplode(parts).alias("ordinal", "c")).select(*KEYS, "ordinal", "c.offset", "c.text").where(F.trim("text") != "")
+    return pages.select(*KEYS, F.posexplode(cuts(F.col("text"), width, step)).alias("ordinal", "c")).select(*KEYS, "ordinal", "c.offset", "c.text").where(F.trim("text") != "")
 
 
 def _page_id(suffix: Column) -> Column:

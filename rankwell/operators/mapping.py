@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwell.operators.chunking import KEYS, cuts
+
 UNMAPPED = "UNMAPPED_NEEDS_REVIEW"
 SECRET = r"(?i)(api[_-]?key|authorization|bearer|password|secret|token)\s*[:=]"
 
@@ -19,12 +21,29 @@ def collapsed(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def contains_either(a: Column, b: Column) -> Column:
-    """One of two texts holds the other, as they are or with blanks collapsed."""
-    x, y = collapsed(a), collapsed(b)
+def contains_either(a: Column, b: Column, flat: Column | None = None) -> Column:
+    """One of two texts holds the other, as they are or with blanks collapsed; flat is the second one collapsed, if known.
+
+    Spark evaluates what occurs twice in a row beforehand, so a long text that meets many rows should be collapsed before.
+    """
+    x, y = collapsed(a), collapsed(b) if flat is None else flat
     return F.contains(a, b) | F.contains(b, a) | F.contains(x, y) | F.contains(y, x)
 
 
+def holders(pages: DataFrame, passages: DataFrame, width: int, step: int) -> DataFrame:
+    """document_id, chunk (its offset), holders: passages of the page that hold a chunk of it or are held by it.
+
+    Pages meet passages whole and are cut in the row, so that no text travels with each chunk
+    and blanks of a passage are collapsed once.
+    """
+    both = pages.select(*KEYS, "text").join(passages.select(*KEYS, F.col("text").alias("whole")), KEYS)
+    parts = F.filter(cuts(F.col("text"), width, step), lambda c: F.trim(c["text"]) != "")
+    held = lambda w: F.transform(parts, lambda c: F.struct(c["offset"].alias("chunk"), contains_either(c["text"], w["whole"], w["flat"]).alias("hit")))
+    bound = F.array(F.struct("whole", collapsed(F.col("whole")).alias("flat")))
+    each = both.select("document_id", F.explode(F.get(F.transform(bound, held), F.lit(0))).alias("c"))
+    return each.groupBy("document_id", "c.chunk").agg(F.count_if("c.hit").alias("holders"))
+
+
 def map_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     """chunk_id, passage_id, status, confidence: one row for each chunk.
 
@@ -45,9 +64,9 @@ def map_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     c = c.withColumn("sure", sure).select("chunk_id", "document_id", "page_number", "text", "sure", status.alias("rule"))
     done = c.where("sure is not null").select("chunk_id", F.col("sure").alias("passage_id"), F.col("rule").alias("status"), F.lit(1.0).alias("confidence"))
     # only what no equality settled is compared with its page's passages
-    p = passages.select("document_id", "page_number", F.col("text").alias("whole"), F.struct("registry_pos", "passage_id").alias("p"))
+    p = passages.select("document_id", "page_number", F.col("text").alias("whole"), collapsed(F.col("text")).alias("flat"), F.struct("registry_pos", "passage_id").alias("p"))
     open_ = c.where("sure is null").join(p, ["document_id", "page_number"], "left")
-    hit = (F.col("text") != "") & contains_either(F.col("text"), F.col("whole")) & (F.col("page_number") > 0)
+    hit = (F.col("text") != "") & contains_either(F.col("text"), F.col("whole"), F.col("flat")) & (F.col("page_number") > 0)
     g = open_.groupBy("chunk_id", "text").agg(F.count("p").alias("of_page"), F.min("p").alias("only"), F.count_if(hit).alias("n"), F.min(F.when(hit, F.col("p"))).alias("best"))
     lone = (F.col("text") == "") & (F.col("of_page") == 1)
     found = F.when(F.col("n") > 0, F.col("best.passage_id")).when(lone, F.col("only.passage_id"))
