@@ -73,5 +73,5 @@ def chk07_tree(spark, d):
 @register("chk07_notebook_tree", f"{_tree_sql((2048, 768, 256), 20)} SELECT CAST(level AS INTEGER) AS level, count(*) AS n, CAST(sum(n) AS BIGINT) AS tokens, count(DISTINCT parent_id) AS parents FROM nodes GROUP BY level")
 def chk07_notebook(spark, d):
     """Sizes of the notebook's tree, by level; tokens shared by neighbours count for each."""
-    n = S.tree(_prose(spark, d), (2048, 768, 256))
+    n = S.tree(_prose(spark, d), (2048, 768, 256), texts=False)
     return n.groupBy("level").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.count_distinct("parent_id").alias("parents"))
