@@ -154,29 +154,42 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = True)
         same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * v.itemsize))).ravel(), return_inverse=True)[1].ravel()
         return np.sort(_firsts((own,), same, k + 1))
 
-    def best(kept, batch):
-        s, n = batch.near, len(batch.q)
-        r0, own0, s0, least = kept if kept is not None else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.full(n, -np.inf))
-        bar = least
-        if np.isinf(least).any() and s.shape[1] > k:  # not all have k yet: the batch's own k-th is a bar as well
-            bar = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-        r, c = np.nonzero((s >= (bar - batch.slack)[:, None].astype(s.dtype)) & (s > -np.inf))
-        if not len(r):
-            return r0, own0, s0, least
-        r, own, s = np.r_[r0, r], np.r_[own0, batch.own[c]], np.r_[s0, batch.exact(r, c)]
-        there = np.isfinite(s)
-        r, own, s = r[there], own[there], s[there]
+    def taken(kept):
+        """What is kept with the waiting candidates among it, at most k of each query, and each query's k-th score."""
+        held, least, waiting, _ = kept
+        r, own, s = (np.concatenate(x) for x in zip(held, *waiting, strict=True))
         at = _firsts((own, -s), r, k)
         r, own, s = r[at], own[at], s[at]
-        full = np.flatnonzero(np.bincount(r, minlength=n) == k)
-        worst = np.full(n, np.inf)
+        full = np.flatnonzero(np.bincount(r, minlength=len(least)) == k)
+        worst = np.full(len(least), np.inf)
         np.minimum.at(worst, r, s)
-        least = np.full(n, -np.inf)
+        least = np.full(len(least), -np.inf)
         least[full] = worst[full]
-        return r, own, s, least
+        return (r, own, s), least, [], 0
+
+    def best(kept, batch):
+        s, n = batch.near, len(batch.q)
+        held, least, waiting, n_waiting = kept if kept is not None else ((np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)), np.full(n, -np.inf), [], 0)
+        if not s.size:
+            return held, least, waiting, n_waiting
+        bar, open_ = least, np.isinf(least).any()
+        if open_ and s.shape[1] > k:  # not all have k yet: the batch's own k-th is a bar as well
+            bar = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+        low = (bar - batch.slack).astype(s.dtype)
+        # few queries find anything in a batch; exact scores may be no numbers, near ones are
+        some = np.flatnonzero((np.fmax.reduce(s, 1) if batch.slack == 0 else s.max(1)) >= low)
+        near = s[some] if len(some) < n else s
+        at = np.flatnonzero((near >= low[some, None]) & (near > -np.inf))
+        r, c = some[at // s.shape[1]], at % s.shape[1]
+        exact = batch.exact(r, c)
+        there = np.isfinite(exact)
+        waiting = [*waiting, (r[there], batch.own[c[there]], exact[there])]
+        n_waiting += int(there.sum())
+        # candidates are sorted in once they are many: until then the bar is a little low, which only lets more in
+        return taken((held, least, waiting, n_waiting)) if open_ or n_waiting > n * k // 4 else (held, least, waiting, n_waiting)
 
     def rows(ids, kept):
-        r, own, s, _ = kept
+        r, own, s = taken(kept)[0]
         return ids[r], own, s
 
     schema = "query_id long, item_id long, score double"
